@@ -182,7 +182,7 @@ def looks_broken(text: str) -> bool:
 
 # --- smoothed character n-gram model ------------------------------------------------------------
 
-TRI_BITS, BI_BITS = 17, 16
+TRI_BITS, BI_BITS = 22, 20
 
 
 def _codes(text: str) -> np.ndarray:
@@ -205,7 +205,7 @@ class CharModel:
     """Interpolated trigram and bigram model over hashed counts, add-``alpha`` smoothed."""
 
     def __init__(self, bi: np.ndarray, tri: np.ndarray, uni: dict[int, int], alpha: float = 0.05):
-        self.bi, self.tri, self.alpha = bi.astype(np.float64), tri.astype(np.float64), alpha
+        self.bi, self.tri, self.alpha = bi.astype(np.float32), tri.astype(np.float32), alpha
         self.uni = uni
         self.total = max(1.0, float(sum(uni.values())))
         self.cache: dict[str, float] = {}
