@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltworks.llm import garbled
+from siltworks.llm import garbled, prose
 from siltworks.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,14 @@ def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model, margin = garbled.train_model(docs, table(spark, sf, "pages"))
     return garbled.repair_documents(docs, model, margin).where("garbled").select("doc_id", "restored")
+
+
+@query
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return prose.found(table(spark, sf, "documents"))
+
+
+@query
+def p1_text_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics, verdict and reasons of every document."""
+    return prose.text_stats(table(spark, sf, "documents"))
