@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltworks.llm import garbled, prose
+from siltworks.llm import garbled, language, partenum, prose
 from siltworks.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,20 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_text_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics, verdict and reasons of every document."""
     return prose.text_stats(table(spark, sf, "documents"))
+
+
+@query
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return language.found(table(spark, sf, "documents"))
+
+
+@query
+def p2_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Language, confidence and single-language stretches of every document."""
+    docs = table(spark, sf, "documents")
+    return language.detect(docs, language.train(docs)).select("doc_id", "lang", "confidence", "langs", "segments")
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return partenum.found(table(spark, sf, "documents"))
