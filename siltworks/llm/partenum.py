@@ -34,6 +34,7 @@ THRESHOLD = 0.8
 N2, K2 = 4, 2
 CELLS = 64
 _COMBOS = list(itertools.combinations(range(N2), N2 - K2))
+_COMBO_ARRAY = np.array(_COMBOS)
 
 
 def bands(threshold: float, top: int = 1 << 26) -> np.ndarray:
@@ -72,11 +73,33 @@ def signatures(sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple[np
         row = (np.arange(len(of)) - np.repeat(base[:-1] // N2, n1)).astype(np.uint64)
         place = mix64(row * np.uint64(0xC2B2AE3D27D4EB4F) + seed[of])
         keyed = mix64(tot + np.arange(1, N2 + 1, dtype=np.uint64)[None, :] * np.uint64(0x165667B19E3779F9))
-        for c in _COMBOS:
-            sub = keyed[:, c].sum(axis=1)
-            # Sets of one instance that are empty here still meet: an empty projection is equal to another.
-            out.append(mix64(sub + place + np.uint64(sum(1 << j for j in c))))
-            who.append(of)
+        cnt = np.bincount(part, minlength=m).reshape(-1, N2)
+        for j, c in enumerate(_COMBOS):
+            full = cnt[:, c].sum(axis=1) > 0
+            out.append(mix64(keyed[full][:, c].sum(axis=1) + place[full] + np.uint64(j)))
+            who.append(of[full])
+        # An empty projection says nothing, so its part is signed by what is left of its other
+        # elements after every deletion of at most k2 of them: again equal for some choice.
+        bare = (cnt[:, _COMBO_ARRAY].sum(axis=2) == 0).any(axis=1)
+        if bare.any():
+            order = np.argsort(part, kind="stable")
+            sp, sv = part[order], value[order]
+            rows = np.flatnonzero(bare)
+            first = np.searchsorted(sp, rows * N2)
+            last = np.searchsorted(sp, rows * N2 + N2)
+            for r, f, l in zip(rows.tolist(), first.tolist(), last.tolist()):
+                d = min(K2, int(k[of[r]]))
+                v = sv[f:l]
+                total = v.sum(dtype=np.uint64)
+                subs = [np.array([total])]
+                if d >= 1:
+                    subs.append(total - v)
+                if d >= 2 and len(v) > 1:
+                    i, j2 = np.triu_indices(len(v), 1)
+                    subs.append(total - v[i] - v[j2])
+                x = mix64(np.concatenate(subs) + place[r] + np.uint64(0x51ED270B))
+                out.append(x)
+                who.append(np.full(len(x), of[r]))
     return np.concatenate(out), np.concatenate(who)
 
 
