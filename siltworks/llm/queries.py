@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltworks.llm import garbled, language, partenum, prose
+from siltworks.llm import garbled, language, partenum, prose, toxic
 from siltworks.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,15 @@ def p2_languages(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return partenum.found(table(spark, sf, "documents"))
+
+
+@query
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return toxic.found(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxic documents per source."""
+    docs = table(spark, sf, "documents")
+    return toxic.rates(docs, toxic.train(docs, table(spark, sf, "labels")))
