@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltworks.llm import garbled, language, partenum, prose, toxic
+from siltworks.llm import garbled, language, partenum, personal, prose, toxic
 from siltworks.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,14 @@ def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Toxic documents per source."""
     docs = table(spark, sf, "documents")
     return toxic.rates(docs, toxic.train(docs, table(spark, sf, "labels")))
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.found(table(spark, sf, "documents"))
+
+
+@query
+def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with items, masked by typed placeholders and pseudonyms."""
+    return personal.detect(table(spark, sf, "documents")).where("size(items) > 0").select("doc_id", "masked")
