@@ -81,7 +81,7 @@ _W = rf"{_CAP}[^\W\d_]*(?:['’\-]?{_CAP}[^\W\d_]+|['’\-][^\W\d_]+)*"
 _PARTS = _PART.replace(" ", _S)
 _SUR = rf"(?:{_PARTS}{_S})?{_W}"
 _FIRST_LAST = re.compile(rf"(?<![\w@.+-])({_W})((?:{_S}{_CAP}\.)*){_S}({_SUR})(?![\w@])")
-_LAST_FIRST = re.compile(rf"(?<![\w@.+-])((?:{_PARTS}{_S})?{_W}),{_S}({_W})(?:{_S}{_CAP}\.)*(?![\w@])", re.U)
+_LAST_FIRST = re.compile(rf"(?<![\w@.+-])((?:(?:{_PARTS}|{_PARTS.upper()}){_S})?{_W}),{_S}({_W})(?:{_S}{_CAP}\.)*(?![\w@])", re.U)
 _INITIAL = re.compile(rf"(?<![\w@.+-])({_CAP}\.(?:{_S}?{_CAP}\.)*){_S}({_SUR})(?![\w@])")
 _GIVEN_INITIAL = re.compile(rf"(?<![\w@.+-])({_W}){_S}({_CAP})\.(?!\w)")
 _CUE = re.compile(
@@ -154,6 +154,13 @@ def _soften(text: str) -> str:
 
 def _names(t: str) -> list[tuple[int, int]]:
     out = []
+    for m in _LAST_FIRST.finditer(t):
+        last, start = m.group(1), m.start()
+        if last[0].islower() and (x := re.match(rf"{_PARTS}{_S}", last)) and last[x.end() :].isupper():
+            start += x.end()
+            last = last[x.end() :]
+        if fold(m.group(2)) in GIVEN and (last.isupper() and len(last) > 2 or _CUE.search(t[max(0, start - 25) : start])) and fold(last).split()[-1] not in GIVEN:
+            out.append((start, m.end(2)))
     at = 0
     while m := _FIRST_LAST.search(t, at):
         g = fold(m.group(1))
@@ -165,9 +172,6 @@ def _names(t: str) -> list[tuple[int, int]]:
             at = m.end()
         else:
             at = m.end(1)
-    for m in _LAST_FIRST.finditer(t):
-        if fold(m.group(2)) in GIVEN and (m.group(1).isupper() and len(m.group(1)) > 2 or _CUE.search(t[max(0, m.start() - 25) : m.start()])) and fold(m.group(1)).split()[-1] not in GIVEN:
-            out.append(m.span())
     for m in _INITIAL.finditer(t):
         before = t[max(0, m.start() - 25) : m.start()]
         if _CUE.search(before) or _AFTER.match(t, m.end()) or "-" in m.group(2) or " " in m.group(2):
