@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltworks.llm import garbled, language, partenum, personal, prose, toxic
+from siltworks.llm import garbled, language, partenum, personal, prose, toxic, wrappers
 from siltworks.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with items, masked by typed placeholders and pseudonyms."""
     return personal.detect(table(spark, sf, "documents")).where("size(items) > 0").select("doc_id", "masked")
+
+
+@query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.found(table(spark, sf, "pages"))
