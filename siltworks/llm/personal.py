@@ -79,9 +79,10 @@ _TITLE = r"(?:(?:Mr|Mrs|Ms|Dr|Prof|Sir|Dame|Herr|Frau|M|Mme|Mlle|Monsieur|Madame
 _PART = r"(?:van der|van den|van de|van|von der|von|de la|de los|del|de|di|da|dos|al|el|ter|ten|le|la)"
 _W = rf"{_CAP}[^\W\d_]*(?:['’\-]?{_CAP}[^\W\d_]+|['’\-][^\W\d_]+)*"
 _PARTS = _PART.replace(" ", _S)
+_PARTS_UP = _PART.upper().replace(" ", _S)
 _SUR = rf"(?:{_PARTS}{_S})?{_W}"
 _FIRST_LAST = re.compile(rf"(?<![\w@.+-])({_W})((?:{_S}{_CAP}\.)*){_S}({_SUR})(?![\w@])")
-_LAST_FIRST = re.compile(rf"(?<![\w@.+-])((?:(?:{_PARTS}|{_PARTS.upper()}){_S})?{_W}),{_S}({_W})(?:{_S}{_CAP}\.)*(?![\w@])", re.U)
+_LAST_FIRST = re.compile(rf"(?<![\w@.+-])((?:(?:{_PARTS}|{_PARTS_UP}){_S})?{_W}),{_S}({_W})(?:{_S}{_CAP}\.)*(?![\w@])", re.U)
 _INITIAL = re.compile(rf"(?<![\w@.+-])({_CAP}\.(?:{_S}?{_CAP}\.)*){_S}({_SUR})(?![\w@])")
 _GIVEN_INITIAL = re.compile(rf"(?<![\w@.+-])({_W}){_S}({_CAP})\.(?!\w)")
 _CUE = re.compile(
