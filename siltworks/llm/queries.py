@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltworks.llm import garbled, language, partenum, personal, prose, toxic, wrappers
+from siltworks.llm import garbled, language, mixing, packing, partenum, personal, prose, reading, toxic, wrappers
 from siltworks.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,37 @@ def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return wrappers.found(table(spark, sf, "pages"))
+
+
+@query
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of every piece of every document, for each container size."""
+    return packing.pack(table(spark, sf, "documents"), table(spark, sf, "pack_specs"))
+
+
+@query
+def p8_fill_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_rates(packing.pack(table(spark, sf, "documents"), table(spark, sf, "pack_specs")))
+
+
+@query
+def p9_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Copies of every document in each mix."""
+    return mixing.rates(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).select("mix_name", "doc_id", "source", "n_tokens", "repeats")
+
+
+@query
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "mix_targets")
+    return mixing.shares(mixing.rates(table(spark, sf, "documents"), targets), targets)
+
+
+@query
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.found(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Reading levels per source."""
+    return reading.profile(table(spark, sf, "documents"), table(spark, sf, "labels"))
