@@ -58,6 +58,39 @@ def forward_backward(em: np.ndarray, lengths: np.ndarray, trans: np.ndarray, sta
     return marg, pair, z
 
 
+def posterior(em: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Marginals of sequences of descending length, time first: ``em[T, B, K]`` to ``[T, B, K]``.
+
+    The sequences still running at a step are the first rows, so steps past an end cost nothing.
+    """
+    T, B, K = em.shape
+    live = np.searchsorted(-lengths, -np.arange(T), side="left")
+    e = np.exp(em - em.max(axis=2, keepdims=True))
+    A = np.exp(trans).astype(em.dtype)
+    alpha = np.zeros((T, B, K), dtype=em.dtype)
+    scale = np.ones((T, B, 1), dtype=em.dtype)
+    one = np.ones((K, 1), dtype=em.dtype)
+    a = np.exp(start).astype(em.dtype) * e[0]
+    scale[0] = a @ one
+    alpha[0] = a / scale[0]
+    for t in range(1, T):
+        n = live[t]
+        a = alpha[t - 1, :n] @ A
+        a *= e[t, :n]
+        s = a @ one
+        scale[t, :n] = s
+        np.divide(a, s, out=alpha[t, :n])
+    e /= scale
+    AT = np.ascontiguousarray(A.T)
+    beta = np.ones((B, K), dtype=em.dtype)
+    for t in range(T - 1, 0, -1):
+        n = live[t]
+        alpha[t, :n] *= beta[:n]
+        beta[:n] = (e[t, :n] * beta[:n]) @ AT
+    alpha[0] *= beta
+    return alpha
+
+
 class Crf:
     """Labels, hashed emission weights, transitions and start scores."""
 
@@ -69,39 +102,49 @@ class Crf:
         self.w = np.zeros((1 << bits, k), dtype=np.float32)
         self.trans = np.zeros((k, k))
         self.start = np.zeros(k)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def emission(self, token: str) -> np.ndarray:
-        v = self.cache.get(token)
-        if v is None:
-            v = self.w[feature_ids(self.features(token), self.bits)].sum(0)
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            self.cache[token] = v
-        return v
-
-    def batch(self, seqs: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.array([len(s) for s in seqs])
-        em = np.zeros((len(seqs), int(lengths.max()), len(self.labels)))
-        get = self.emission
-        for i, s in enumerate(seqs):
-            em[i, : len(s)] = [get(w) for w in s]
-        return em, lengths
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((1024, k), dtype=np.float32)
+
+    def ids(self, words: Sequence[str]) -> list[int]:
+        """Rows of the emission table; a word met first is scored and added."""
+        get = self.index.get
+        out = [get(w, -1) for w in words]
+        if -1 in out:
+            for i, j in enumerate(out):
+                if j < 0:
+                    out[i] = self._add(words[i])
+        return out
+
+    def _add(self, w: str) -> int:
+        j = self.index.get(w)
+        if j is None:
+            j = self.index[w] = len(self.index)
+            if j >= len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(1024, len(self.table)), len(self.labels)), dtype=np.float32)])
+            self.table[j] = self.w[feature_ids(self.features(w), self.bits)].sum(0)
+        return j
 
     def marginals(self, seqs: Sequence[Sequence[str]], cells: int = 150_000) -> list[np.ndarray]:
         """Label marginals per token of each sequence (whole sequences, whatever their length)."""
-        out: list[np.ndarray] = [np.zeros((0, len(self.labels)))] * len(seqs)
-        order = sorted((i for i in range(len(seqs)) if len(seqs[i])), key=lambda i: len(seqs[i]))
+        if len(self.index) > 400_000:
+            self.index = {}
+        out: list[np.ndarray] = [np.zeros((0, len(self.labels)), dtype=np.float32)] * len(seqs)
+        ids = [np.array(self.ids(s), dtype=np.int64) for s in seqs]
+        order = sorted((i for i in range(len(seqs)) if len(ids[i])), key=lambda i: -len(ids[i]))
         a = 0
         while a < len(order):
-            b = a + 1
-            while b < len(order) and len(seqs[order[b]]) * (b + 1 - a) <= cells and len(seqs[order[b]]) <= 1.3 * len(seqs[order[a]]) + 8:
-                b += 1
-            ids = order[a:b]
-            em, lengths = self.batch([seqs[i] for i in ids])
-            m, _, _ = forward_backward(em, lengths, self.trans, self.start)
-            for j, i in enumerate(ids):
-                out[i] = m[j, : lengths[j]]
+            T = len(ids[order[a]])
+            b = min(len(order), a + max(1, cells // T))
+            while b > a + 1 and len(ids[order[b - 1]]) * 3 < T:
+                b -= 1
+            group = order[a:b]
+            lengths = np.array([len(ids[i]) for i in group])
+            grid = np.zeros((T, len(group)), dtype=np.int64)
+            for r, i in enumerate(group):
+                grid[: lengths[r], r] = ids[i]
+            m = posterior(self.table[grid], lengths, self.trans, self.start)
+            for r, i in enumerate(group):
+                out[i] = m[: lengths[r], r]
             a = b
         return out
 
@@ -174,8 +217,8 @@ class Crf:
                 gs += ds * ds
                 self.start += rate * ds / np.sqrt(gs)
         self.w = w.astype(np.float32)
-        self.cache = {}
+        self.index = {}
         return self
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"index": {}, "table": self.table[:1024]}

@@ -16,7 +16,6 @@ sentence gets the language of its words.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -47,7 +46,6 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-@lru_cache(maxsize=100_000)
 def features(w: str) -> tuple[str, ...]:
     c = w[0]
     if c.isdigit():
@@ -131,11 +129,13 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
     return Crf(LANGUAGES, features, bits=15).fit(seqs, tags, epochs=4)
 
 
-def analyse(texts: list[str], model: Crf) -> list[list[tuple[int, int, str, float, bool]]]:
-    """Per text its sentences as ``(start, end, language, confidence, running sentence)``."""
-    plain, seqs, cuts = [], [], []
+def analyse(texts: list[str], model: Crf) -> list[tuple[list[tuple[int, int, str, float, bool]], bool]]:
+    """Per text its sentences as ``(start, end, language, confidence, running sentence)``, and whether
+    running sentences hold half of its words."""
+    plain, seqs, cuts, verdict = [], [], [], []
     for t in texts:
-        us = P.units(t)
+        us, n = P.segment(t)
+        verdict.append(n > 0 and 2 * sum(u.words for u in us if u.prose) >= n)
         if not us:
             us = [P.Unit(0, len(t), t, 0, False)] if t.strip() else []
         toks, cut = [], [0]
@@ -146,18 +146,19 @@ def analyse(texts: list[str], model: Crf) -> list[list[tuple[int, int, str, floa
         seqs.append(toks)
         cuts.append(cut)
     out = []
-    for us, toks, cut, m in zip(plain, seqs, cuts, model.marginals(seqs)):
+    for us, toks, cut, m, v in zip(plain, seqs, cuts, model.marginals(seqs), verdict):
         row = []
-        if len(toks):
-            weight = np.array([len(w) if w[0].isalpha() else 0 for w in toks])
-            acc = np.concatenate([np.zeros((1, m.shape[1])), np.cumsum(m * weight[:, None], axis=0)])
-            tot = acc[cut[1:]] - acc[cut[:-1]]
-            for u, v in zip(us, tot):
-                s = v.sum()
-                if s > 0:
-                    b = int(v.argmax())
-                    row.append((u.start, u.end, LANGUAGES[b], float(v[b] / s), u.prose))
-        out.append(row)
+        if toks:
+            # Digits and marks carry no language.
+            weight = np.fromiter((len(w) if w[0].isalpha() else 0 for w in toks), dtype=np.float32, count=len(toks))
+            x = m * weight[:, None]
+            tot = np.add.reduceat(np.concatenate([x, np.zeros((1, x.shape[1]), dtype=x.dtype)]), cut[:-1], axis=0)
+            best, size = tot.argmax(axis=1).tolist(), tot.sum(axis=1).tolist()
+            top = tot.max(axis=1).tolist()
+            for i, u in enumerate(us):
+                if cut[i + 1] > cut[i] and size[i] > 0:
+                    row.append((u.start, u.end, LANGUAGES[best[i]], top[i] / size[i], u.prose))
+        out.append((row, v))
     return out
 
 
@@ -185,14 +186,9 @@ def detect(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
         m = kept.setdefault("m", bm.value)
         clean = [P.normalise(t) if t and t.strip() else "" for t in texts]
         prose_, lang, conf, langs, segs = [], [], [], [], []
-        for t, row in zip(clean, analyse(clean, m)):
+        for t, (row, verdict) in zip(clean, analyse(clean, m)):
             ls = languages_of(row)
-            if row:
-                n = P.count_words(t)
-                p = sum(P.count_words(t[a:b]) for a, b, _, _, ok in row if ok)
-                prose_.append(n > 0 and 2 * p >= n)
-            else:
-                prose_.append(False if t else None)
+            prose_.append(verdict if t else None)
             lang.append(ls[0][0] if ls else "und")
             conf.append(ls[0][1] if ls else 0.0)
             langs.append([k for k, _ in ls])
@@ -226,9 +222,8 @@ def found(docs: DataFrame) -> DataFrame:
         m = kept.setdefault("m", bm.value)
         clean = [P.normalise(t) for t in texts]
         oi, ol = [], []
-        for i, t, s, row in zip(ids, clean, stated, analyse(clean, m)):
-            n = P.count_words(t)
-            if not n or 2 * sum(P.count_words(t[a:b]) for a, b, _, _, ok in row if ok) < n:
+        for i, s, (row, prose) in zip(ids, stated, analyse(clean, m)):
+            if not prose:
                 continue
             ks = {k for k, _ in languages_of(row)}
             s = re.split(r"[-_]", (s or "").strip().lower())[0]

@@ -11,7 +11,6 @@ long texts are read whole; repeated rows each give a row; an empty table gives n
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
@@ -49,6 +48,8 @@ _LOG = re.compile(r"^\s*(?:\d{9,}|\d{4}-\d\d-\d\d[T ]\d|\[\d|\d\d:\d\d:\d\d)\s*.
 # A line of words and ordinary punctuation only, as most lines of prose are.
 _PLAIN = re.compile(r"[\"“‘«¿¡]?[^\W\d_][^{}\[\]<>=|\t;#*:_\\/+@()^~]*$")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
+_NUMBER = re.compile(r"(?<!\w)\d")
 _OPS = re.compile(r"[{}\[\]<>=_#^~\\+*/@$%]")
 _CLOSED = re.compile(r"[.!?…。！？][\"'”’»)\]」』]*\s*$")
 _ABBREV = re.compile(r"(?:^|[\s(])(?:[A-Z]|no|No|NO|nº|Mr|Mrs|Ms|Dr|Prof|St|Sr|Sra|Nr|M|Mme|Hr|Fr|vs|etc|ca|z\.B|e\.g|i\.e|Inc|Ltd|Co|Jr|tel|Tel|ext)\.$")
@@ -62,9 +63,9 @@ class Unit(NamedTuple):
     prose: bool
 
 
-@lru_cache(maxsize=200_000)
-def _is_common(w: str) -> bool:
-    return w.lower() in _ALL_COMMON
+# As written in running text, at the start of a sentence and in capitals.
+_CASED = frozenset(x for w in _ALL_COMMON for x in (w, w.capitalize(), w.upper()))
+_is_common = _CASED.__contains__
 
 
 def line_kind(line: str) -> str:
@@ -133,9 +134,9 @@ def _sentence_stats(s: str) -> tuple[int, int, bool, int]:
     if n < 2:
         return n, 0, False, 0
     common = sum(map(_is_common, ws))
-    alpha = n - sum(map(str.isdigit, [w[0] for w in ws]))
+    alpha = n - len(_NUMBER.findall(s)) if _DIGIT.search(s) else n
     seps = s.count(",") + s.count("|") + s.count(";") + s.count(" - ") + s.count("•") + s.count(" / ")
-    sym = len(_OPS.findall(s))
+    sym = len(_OPS.findall(s)) if _OPS.search(s) else 0
     good = (
         bool(_CLOSED.search(s))
         and 3 <= n <= 160
@@ -153,32 +154,37 @@ _PREPOSITIONS = frozenset("of at for with from by between against in on to about
 _AFTER_PREPOSITION = frozenset("is was are were has had can of and or but not if by with from as so who there at for".split())
 
 
+_MISFIT_PAIRS = frozenset((a, b) for x, y in ((_DETERMINERS, _AFTER_DETERMINER), (_PREPOSITIONS, _AFTER_PREPOSITION)) for a in x for b in y)
+
+
 def _misfits(ws: list[str]) -> int:
-    """Pairs in which an English closed-class word is followed by one that cannot follow it; strings
-    of random common words are full of them."""
-    low = [w.lower() for w in ws]
-    return sum(
-        a == b or (a in _DETERMINERS and b in _AFTER_DETERMINER) or (a in _PREPOSITIONS and b in _AFTER_PREPOSITION)
-        for a, b in zip(low, low[1:])
-    )
+    """Pairs in which an English closed-class word is followed by one that cannot follow it, or a
+    word by itself; strings of random common words are full of them."""
+    low = list(map(str.lower, ws))
+    nxt = low[1:]
+    return sum(map(_MISFIT_PAIRS.__contains__, zip(low, nxt))) + sum(map(str.__eq__, low, nxt))
 
 
-def units(text: str) -> list[Unit]:
-    """All sentences of the text in order, with the verdict on each; list, table, code, log and
-    noise lines are not units."""
+def segment(text: str) -> tuple[list[Unit], int]:
+    """All sentences of the text in order with the verdict on each, and the number of all words;
+    list, table, code, log and noise lines are not units."""
     blocks: list[tuple[int, int]] = []
     pos, start, last = 0, None, 0
+    total_words = 0
     for line in text.split("\n"):
-        k = line_kind(line)
+        k = "flow" if _PLAIN.match(line) and "   " not in line and (" " in line or len(line) < 40) else line_kind(line)
         if k == "bullet" and _DASH_TALK.match(line) and sum(map(_is_common, WORD.findall(line))) >= 2:
             k = "flow"
         if k == "flow" or (k in ("table", "code") and start is not None and _CLOSED.search(line) and sum(map(_is_common, WORD.findall(line))) >= 3):
             if start is None:
                 start = pos
             last = pos + len(line)
-        elif start is not None:
-            blocks.append((start, last))
-            start = None
+        else:
+            if start is not None:
+                blocks.append((start, last))
+                start = None
+            if k != "blank":
+                total_words += count_words(line)
         pos += len(line) + 1
     if start is not None:
         blocks.append((start, last))
@@ -196,16 +202,21 @@ def units(text: str) -> list[Unit]:
             if good:
                 total += n
                 common += c
+        total_words += words
         ok = total > 0 and common >= 0.12 * total and bad < (0.05 if 2 * lower > words else 0.12) * words
         for x, y, s, n, c, good in raw:
             out.append(Unit(x, y, s, n, ok and good and (c > 0 or n >= 4)))
-    return out
+    return out, total_words
+
+
+def units(text: str) -> list[Unit]:
+    return segment(text)[0]
 
 
-def prose_share(text: str, us: list[Unit] | None = None) -> tuple[int, int]:
+def prose_share(text: str) -> tuple[int, int]:
     """Words in running sentences, and all words."""
-    us = units(text) if us is None else us
-    return sum(u.words for u in us if u.prose), count_words(text)
+    us, n = segment(text)
+    return sum(u.words for u in us if u.prose), n
 
 
 def normalise(text: str) -> str:

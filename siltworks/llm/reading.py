@@ -44,43 +44,65 @@ SAMPLES = {
 }
 
 
-def sentence_features(words: list[str], commas: int) -> list[float]:
-    n = len(words)
-    low = [w.lower() for w in words]
-    length = [len(w) for w in words]
-    syl = [max(1, len(_VOWELS.findall(w))) for w in low]
-    return [
-        sum(length) / n,
-        sum(syl) / n,
-        sum(x > 6 for x in length) / n,
-        sum(x >= 3 for x in syl) / n,
-        sum(x >= 5 for x in syl) / n,
-        sum(x <= 4 for x in length) / n,
-        sum(bool(_ABSTRACT.search(w)) and len(w) > 6 for w in low) / n,
-        sum(w in P._ALL_COMMON for w in low) / n,
-        sum(w in _SUBORDINATE for w in low) / n,
-        commas / n,
-        float(np.log1p(n)),
-        max(length) / 10.0,
-    ]
+class _Words:
+    """Feature rows of words, each computed once."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.rows = np.zeros((4096, 9), dtype=np.float32)
+
+    def ids(self, words: list[str]) -> list[int]:
+        get = self.index.get
+        out = [get(w, -1) for w in words]
+        if -1 in out:
+            for i, j in enumerate(out):
+                if j < 0:
+                    out[i] = self._add(words[i])
+        return out
+
+    def _add(self, w: str) -> int:
+        j = self.index.get(w)
+        if j is None:
+            if len(self.index) > 400_000:
+                self.index.clear()
+            j = self.index[w] = len(self.index)
+            if j >= len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            low, n = w.lower(), len(w)
+            syl = max(1, len(_VOWELS.findall(low)))
+            self.rows[j] = (n, syl, n > 6, syl >= 3, syl >= 5, n <= 4, n > 6 and bool(_ABSTRACT.search(low)), low in P._ALL_COMMON, low in _SUBORDINATE)
+        return j
+
+
+_WORDS = _Words()
 
 
 def doc_features(sentences: list[str]) -> list[float] | None:
-    rows, weight = [], []
+    """Word-weighted medians over the sentences of: mean letters and syllables, shares of long, of
+    polysyllabic, of very polysyllabic, of short, of abstract, of common and of subordinating words,
+    commas per word, log of length, and the longest word."""
+    words, starts, sizes, commas = [], [], [], []
     for s in sentences:
         ws = P.WORD.findall(s)
         if len(ws) >= 3:
-            rows.append(sentence_features(ws, s.count(",") + s.count(";")))
-            weight.append(len(ws))
-    if not rows:
+            starts.append(len(words))
+            sizes.append(len(ws))
+            commas.append(s.count(",") + s.count(";"))
+            words += ws
+    if not words:
         return None
-    x, w = np.array(rows), np.array(weight, dtype=float)
-    out = []
-    for c in range(x.shape[1]):
-        o = np.argsort(x[:, c], kind="stable")
-        cum = np.cumsum(w[o])
-        out.append(float(x[o[np.searchsorted(cum, cum[-1] / 2)], c]))
-    return out
+    ids = _WORDS.ids(words)
+    r = _WORDS.rows[ids]
+    n = np.array(sizes, dtype=np.float64)
+    x = np.empty((len(sizes), 12))
+    x[:, :9] = np.add.reduceat(r, starts, axis=0) / n[:, None]
+    x[:, 9] = np.array(commas) / n
+    x[:, 10] = np.log1p(n)
+    x[:, 11] = np.maximum.reduceat(r[:, 0], starts) / 10.0
+    o = np.argsort(x, axis=0, kind="stable")
+    cum = np.cumsum(n[o], axis=0)
+    at = (cum < cum[-1] / 2).sum(axis=0)
+    return x[o[at, np.arange(12)], np.arange(12)].tolist()
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,12 +188,10 @@ def levels(docs: DataFrame, ranker: Ranker, model: Crf, keep: tuple[str, ...] =
         r, m = kept.setdefault("m", bm.value)
         clean = [P.normalise(t) if t and t.strip() else "" for t in texts]
         eng, lev, sc = [], [], []
-        for t, row in zip(clean, L.analyse(clean, m)):
-            ss = [t[a:b] for a, b, _, _, ok in row if ok]
-            n = P.count_words(t)
-            f = doc_features(ss) if ss else None
-            prose = bool(n) and 2 * sum(map(P.count_words, ss)) >= n
-            eng.append(prose and [k for k, _ in L.languages_of(row)] == ["en"])
+        for t, (row, prose) in zip(clean, L.analyse(clean, m)):
+            english = prose and [k for k, _ in L.languages_of(row)] == ["en"]
+            f = doc_features([t[a:b] for a, b, _, _, ok in row if ok]) if prose else None
+            eng.append(english)
             k, v = r.level(f) if f else (None, None)
             lev.append(k)
             sc.append(v)
