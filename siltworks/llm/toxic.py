@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from siltworks.llm import prose as P
 from siltworks.llm.batches import map_columns
-from siltworks.llm.crf import Crf, feature_ids
+from siltworks.llm.crf import Crf, feature_ids, posterior
 
 #: Most rated documents of each kind used for fitting.
 TRAIN_ROWS = 500
@@ -142,7 +142,7 @@ class Tagger:
 
     def __init__(self) -> None:
         self.crf = Crf(["ok", "toxic"], lambda key: position_features(*key.split("\x00")), bits=self.BITS)
-        self.parts: dict = {}
+        self._reset()
 
     @staticmethod
     def keys(words: list[str]) -> list[str]:
@@ -154,73 +154,118 @@ class Tagger:
         self.crf.fit([self.keys(w) for w, _ in data], [t for _, t in data], epochs=8, rate=0.5, batch=512)
         return self
 
-    def _sum(self, name: str) -> float:
-        w = self.crf.w[feature_ids([name], self.BITS)[0]]
-        return float(w[1] - w[0])
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Toxic-over-ok emission scores of one sentence."""
-        P_ = self.parts
-        fl = flags([undisguise(w)[0] for w in words])
-        w = ["<", "<", *words, ">"]
-        out = np.empty(len(words))
-        base = P_.get(fl)
-        if base is None:
-            base = P_[fl] = self._sum("f:" + fl) + self._sum("bias")
-        for i in range(len(words)):
-            p2, p, c, n = w[i], w[i + 1], w[i + 2], w[i + 3]
-            v = P_.get((c, fl, 0))
+    def _sum(self, *names: str) -> float:
+        w = self.crf.w[feature_ids(names, self.BITS)]
+        return float((w[:, 1] - w[:, 0]).sum())
+
+    def _word(self, w: str) -> int:
+        """The number of a word; its emission parts under each set of flags are made once."""
+        j = self.words.get(w)
+        if j is None:
+            j = self.words[w] = len(self.names)
+            self.names.append(w)
+            b, k = undisguise(w)[0], word_class(w)
+            own = self._sum("c:" + b, "k:" + k, "pre:" + b[:4])
+            self.own.append([own + self._sum("f:" + f, "bias", "fk:" + f + k) for f in ("", "R", "Y", "RY")])
+            self.flag.append((b in _REPORT) + 2 * (b in _SECOND))
+        return j
+
+    def _pair(self, key: int) -> tuple[float, float]:
+        """What a word pair adds to its second and to its first word."""
+        a, b = self.names[key >> 32], self.names[key & 0xFFFFFFFF]
+        x, y = undisguise(a)[0], undisguise(b)[0]
+        k, l = word_class(a), word_class(b)
+        return self._sum("p:" + x, "pk:" + k + l, "b:" + x + "_" + y), self._sum("n:" + y, "nk:" + k + l, "b2:" + x + "_" + y)
+
+    def _skip(self, key: int) -> float:
+        return self._sum("s:" + undisguise(self.names[key >> 32])[0] + "_" + undisguise(self.names[key & 0xFFFFFFFF])[0])
+
+    def scores(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Toxic-over-ok emission scores of all tokens of all sentences, and the sentences' starts.
+
+        Sentences are laid end to end with two markers before and one after each, so that pairs are
+        looked up in one pass.
+        """
+        if len(self.names) > 300_000 or len(self.pairs) + len(self.skips) > 3_000_000:
+            self._reset()
+        seq: list[str] = []
+        starts = []
+        for ws in sents:
+            seq += ("<", "<")
+            starts.append(len(seq))
+            seq += ws
+            seq.append(">")
+        get = self.words.get
+        ids = [get(w, -1) for w in seq]
+        if -1 in ids:
+            ids = [self._word(w) if j < 0 else j for w, j in zip(seq, ids)]
+        ids = np.array(ids, dtype=np.int64)
+        size = np.array([len(w) for w in sents])
+        st = np.array(starts)
+        sid = np.repeat(np.arange(len(sents)), size + 3)
+        fl = np.array(self.flag)[ids]
+        f = np.zeros(len(sents), dtype=np.int64)
+        np.bitwise_or.at(f, sid, fl)
+        out = np.array(self.own)[ids, f[sid]]
+        key = (ids[:-1] << 32) | ids[1:]
+        u, inv = np.unique(key, return_inverse=True)
+        pairs = self.pairs
+        rows = []
+        for k in u.tolist():
+            v = pairs.get(k)
             if v is None:
-                b, k = undisguise(c)[0], word_class(c)
-                v = P_[c, fl, 0] = self._sum("c:" + b) + self._sum("k:" + k) + self._sum("pre:" + b[:4]) + self._sum("fk:" + fl + k)
-            x = P_.get((p, c))
+                v = pairs[k] = self._pair(k)
+            rows.append(v)
+        v = np.array(rows)[inv]
+        out[1:] += v[:, 0]
+        out[:-1] += v[:, 1]
+        key = (ids[:-2] << 32) | ids[2:]
+        u, inv = np.unique(key, return_inverse=True)
+        skips = self.skips
+        rows = []
+        for k in u.tolist():
+            x = skips.get(k)
             if x is None:
-                a, b = undisguise(p)[0], undisguise(c)[0]
-                x = P_[p, c] = (
-                    self._sum("p:" + a) + self._sum("pk:" + word_class(p) + word_class(c)) + self._sum("b:" + a + "_" + b),
-                    self._sum("n:" + b) + self._sum("nk:" + word_class(p) + word_class(c)) + self._sum("b2:" + a + "_" + b),
-                )
-            y = P_.get((c, n))
-            if y is None:
-                a, b = undisguise(c)[0], undisguise(n)[0]
-                y = P_[c, n] = (
-                    self._sum("p:" + a) + self._sum("pk:" + word_class(c) + word_class(n)) + self._sum("b:" + a + "_" + b),
-                    self._sum("n:" + b) + self._sum("nk:" + word_class(c) + word_class(n)) + self._sum("b2:" + a + "_" + b),
-                )
-            z = P_.get((p2, c, 2))
-            if z is None:
-                z = P_[p2, c, 2] = self._sum("s:" + undisguise(p2)[0] + "_" + undisguise(c)[0])
-            out[i] = base + v + x[0] + y[1] + z
-        if len(P_) > 2_000_000:
-            P_.clear()
-        return out
+                x = skips[k] = self._skip(k)
+            rows.append(x)
+        out[2:] += np.array(rows)[inv]
+        return out, st
 
     def marginals(self, sents: list[list[str]]) -> list[np.ndarray]:
         """Probability of toxic per token of each sentence, by forward-backward over padded batches."""
-        from siltworks.llm.crf import forward_backward
-
+        if not sents:
+            return []
+        flat, st = self.scores(sents)
         out: list[np.ndarray] = [np.zeros(0)] * len(sents)
-        order = sorted((i for i in range(len(sents)) if sents[i]), key=lambda i: len(sents[i]))
+        size = np.array([len(s) for s in sents])
+        order = np.argsort(-size, kind="stable")
         a = 0
-        while a < len(order):
-            b = min(len(order), a + 512)
-            while b > a + 1 and len(sents[order[b - 1]]) > 1.5 * len(sents[order[a]]) + 8:
-                b -= 1
+        while a < len(order) and size[order[a]]:
+            T = int(size[order[a]])
+            b = min(len(order), a + max(1, 100_000 // T))
+            b = a + int((size[order[a:b]] * 2 >= T).sum())
             ids = order[a:b]
-            lengths = np.array([len(sents[i]) for i in ids])
-            em = np.zeros((len(ids), int(lengths.max()), 2))
-            for r, i in enumerate(ids):
-                em[r, : lengths[r], 1] = self.scores(sents[i])
-            m, _, _ = forward_backward(em, lengths, self.crf.trans, self.crf.start)
-            for r, i in enumerate(ids):
-                out[i] = m[r, : lengths[r], 1]
+            n = size[ids]
+            t = np.arange(T)[:, None]
+            at = np.minimum(st[ids][None, :] + t, len(flat) - 1)
+            em = np.zeros((T, len(ids), 2), dtype=np.float32)
+            em[:, :, 1] = np.where(t < n[None, :], flat[at], 0.0)
+            m = posterior(em, n, self.crf.trans, self.crf.start)[:, :, 1]
+            for r, i in enumerate(ids.tolist()):
+                out[i] = m[: n[r], r]
             a = b
         return out
 
+    def _reset(self) -> None:
+        self.words: dict[str, int] = {}
+        self.names: list[str] = []
+        self.own: list[list[float]] = []
+        self.flag: list[int] = []
+        self.pairs: dict[int, tuple[float, float]] = {}
+        self.skips: dict[int, float] = {}
+
     def __getstate__(self) -> dict:
-        d = dict(self.__dict__, parts={})
-        d["crf"] = None
-        return d | {"w": self.crf.w, "trans": self.crf.trans, "start": self.crf.start}
+        return {"w": self.crf.w, "trans": self.crf.trans, "start": self.crf.start}
 
     def __setstate__(self, s: dict) -> None:
         self.__init__()
