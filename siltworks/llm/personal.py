@@ -82,9 +82,7 @@ _PARTS = _PART.replace(" ", _S)
 _PARTS_UP = _PART.upper().replace(" ", _S)
 _SUR = rf"(?:{_PARTS}{_S})?{_W}"
 _FIRST_LAST = re.compile(rf"(?<![\w@.+-])({_W})((?:{_S}{_CAP}\.)*){_S}({_SUR})(?![\w@])")
-_LAST_FIRST = re.compile(rf"(?<![\w@.+-])((?:(?:{_PARTS}|{_PARTS_UP}){_S})?{_W}),{_S}({_W})(?:{_S}{_CAP}\.)*(?![\w@])", re.U)
 _INITIAL = re.compile(rf"(?<![\w@.+-])({_CAP}\.(?:{_S}?{_CAP}\.)*){_S}({_SUR})(?![\w@])")
-_GIVEN_INITIAL = re.compile(rf"(?<![\w@.+-])({_W}){_S}({_CAP})\.(?!\w)")
 _CUE = re.compile(
     r"(?:name is|named|signed by|thanks to|asked|applicant,|contact:|belongs to|call me|author:?|by|dear|from|and|mein name ist|formular von|erreichbar ist|gezeichnet von|m['’]appelle|signé par|joindre|me llamo|firmado por|localizar a|contactar a|chamo|assinado por|меня зовут|photo:|editor:?|guest:?|hello|hi)\s+$|(?:^|[\n;,|\t])\s*$",
     re.I,
@@ -143,36 +141,84 @@ def repair_map(text: str) -> tuple[str, list[int] | None]:
 _CAPS_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
+_UPPER, _LOWER = re.compile("[A-Z]+"), re.compile("[a-z]+")
+
+
 def _soften(text: str) -> str:
     """A text in capitals as words with one capital, character for character."""
-    up = sum(1 for c in text if c.isupper())
-    low = sum(1 for c in text if c.islower())
-    if up < 20 or up < 6 * low:
+    up = len("".join(_UPPER.findall(text)))
+    if up < 20 or up < 6 * len("".join(_LOWER.findall(text))):
         return text
     out = _CAPS_WORD.sub(lambda m: m.group()[0] + m.group()[1:].lower() if len(m.group().lower()) == len(m.group()) else m.group(), text)
     return out if len(out) == len(text) else text
 
 
+_CAPITAL = re.compile(r"(?<![\w@.+-])[A-ZÀ-ÖØ-Þ][^\W\d_]+")
+_SURNAME_BEFORE = re.compile(rf"(?<![\w@.+-])((?:(?:{_PARTS}|{_PARTS_UP}){_S})?{_W}),{_S}$")
+_NAME_BEFORE = re.compile(rf"(?<![\w@.+-])({_W})((?:{_S}{_CAP}\.)*){_S}({_SUR})$")
+_CUE_WORDS = re.compile(
+    r"(?:[Nn]ame is|signed by|[Tt]hanks to|I asked|applicant,|[Cc]ontact:|belongs to|[Nn]ame ist|[Ff]ormular von|[Ee]rreichbar ist|m['’]appelle|signé par|joindre|[Mm]e llamo|firmado por|localizar a|[Cc]hamo|assinado por|[Мм]еня зовут)\s+"
+)
+_LIVES = re.compile(r"\s+(?:still\s+lives\s+at|lives\s+at|wohnt)\b")
+_IS_GIVEN: dict[str, bool] = {}
+
+
+def _given(w: str) -> bool:
+    v = _IS_GIVEN.get(w)
+    if v is None:
+        if len(_IS_GIVEN) > 200_000:
+            _IS_GIVEN.clear()
+        v = _IS_GIVEN[w] = fold(w) in GIVEN
+    return v
+
+
+# Literals of which one must occur for a pattern to match; a substring test costs next to nothing.
+_CUE_LITERALS = ("ame is", "igned by", "hanks to", "I asked", "pplicant,", "ontact:", "elongs to", "ame ist", "ormular von", "rreichbar ist", "appelle", "signé par", "joindre", "e llamo", "irmado por", "ocalizar a", "hamo", "ssinado por", "еня зовут")
+_STREET_LITERALS = (
+    ("Lane", "Street", "Road", "Walk", "Court", "Avenue", "Close", "Drive", "Way", "Hill", "Terrace", "Crescent", "Square", "Row", "Place", "Gardens", "Grove", "Mews", "Yard", "Boulevard", "Parade", "Wharf", "St", "Rd", "Ave", "Ln", "Blvd", "gate"),
+    ("rue", "avenue", "boulevard", "impasse", "place", "allée", "chemin", "quai", "cours", "route", "square", "passage", "sentier"),
+    ("Calle", "Avenida", "Avda", "Plaza", "Camino", "Paseo", "Ronda", "Travesía", "Carrera", "Rua", "Praça", "Travessa", "Largo", "Via", "Piazza"),
+    ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring", "steig", "graben", "markt", "hof", "Am ", "Am\n", "An ", "An\n", "Auf ", "Im ", "In ", "Zum ", "Zur ", "Unter ", "Hinter ", "Straße", "Strasse", "Weg", "Gasse", "Platz", "Allee", "Ufer", "Ring"),
+    ("ул", "проспект", "пр.", "переулок"),
+)
+_NUMBERED_STREET = re.compile(rf"\d[a-zA-Z]?,?(?:{S}){_CAP}")
+
+
+def _any(t: str, literals: tuple[str, ...]) -> bool:
+    for x in literals:
+        if x in t:
+            return True
+    return False
+
+
 def _names(t: str) -> list[tuple[int, int]]:
-    out = []
-    for m in _LAST_FIRST.finditer(t):
-        last, start = m.group(1), m.start()
-        if last[0].islower() and (x := re.match(rf"{_PARTS}{_S}", last)) and last[x.end() :].isupper():
-            start += x.end()
-            last = last[x.end() :]
-        if fold(m.group(2)) in GIVEN and (last.isupper() and len(last) > 2 or _CUE.search(t[max(0, start - 25) : start])) and fold(last).split()[-1] not in GIVEN:
-            out.append((start, m.end(2)))
-    at = 0
-    while m := _FIRST_LAST.search(t, at):
-        g = fold(m.group(1))
-        if g in GIVEN and fold(m.group(3)) not in GIVEN | _PLACES:
+    out: list[tuple[int, int]] = []
+    for h in _CAPITAL.finditer(t):
+        if not _given(h.group()):
+            continue
+        i = h.start()
+        m = _SURNAME_BEFORE.search(t[max(0, i - 48) : i])
+        if m:
+            last, start = m.group(1), max(0, i - 48) + m.start()
+            if last[0].islower() and (x := re.match(rf"{_PARTS}{_S}", last)) and last[x.end() :].isupper():
+                start += x.end()
+                last = last[x.end() :]
+            if (last.isupper() and len(last) > 2 or _CUE.search(t[max(0, start - 25) : start])) and fold(last).split()[-1] not in GIVEN:
+                out.append((start, h.end()))
+                continue
+        m = _FIRST_LAST.match(t, i)
+        if m and fold(m.group(3)) not in GIVEN | _PLACES:
             out.append(m.span())
-            at = m.end()
-        elif g not in _PLACES and (_STRONG_CUE.search(t[max(0, m.start() - 25) : m.start()]) or (_AFTER.match(t, m.end()) and g not in ("he", "she"))) and re.search(r"[a-zà-ÿ]", m.group(1)):
+    # Given names that the list lacks, where a phrase announces a name.
+    for c in _CUE_WORDS.finditer(t) if _any(t, _CUE_LITERALS) else ():
+        m = _FIRST_LAST.match(t, c.end())
+        if m and fold(m.group(1)) not in _PLACES and re.search(r"[a-zà-ÿ]", m.group(1)):
             out.append(m.span())
-            at = m.end()
-        else:
-            at = m.end(1)
+    for c in _LIVES.finditer(t):
+        a = max(0, c.start() - 60)
+        m = _NAME_BEFORE.search(t[a : c.start()])
+        if m and fold(m.group(1)) not in _PLACES:
+            out.append((a + m.start(), c.start()))
     for m in _INITIAL.finditer(t):
         before = t[max(0, m.start() - 25) : m.start()]
         if _CUE.search(before) or _AFTER.match(t, m.end()) or "-" in m.group(2) or " " in m.group(2):
@@ -181,6 +227,12 @@ def _names(t: str) -> list[tuple[int, int]]:
     return out
 
 
+# A cluster of seven digits, or digits led by capitals: without one there is no number to look for.
+_A_DIGIT = re.compile(r"\d")
+_CLUSTER = re.compile(r"\d(?:[ \xa0.\-/()\r\n]{0,3}\d){6}")
+_LETTERED = re.compile(r"[A-Z]\s?\d\d\s?\d\d|[A-Z]\d\d[A-Z]\d")
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """Items ``(kind, start, end)`` in positions of ``text``."""
     clean, back = repair_map(text)
@@ -205,15 +257,18 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 continue
             for m in p.finditer(low):
                 add("email", *m.span())
-    if any(c.isdigit() for c in t):
-        for _, p in _ID:
+    if _A_DIGIT.search(t):
+        cluster = _CLUSTER.search(t) is not None
+        for _, p in _ID if cluster or _LETTERED.search(clean) else ():
             for m in p.finditer(clean):
                 if not _NOT_BEFORE.search(clean[max(0, m.start() - 20) : m.start()]) or re.search(r"(?:insurance|passport|security|tax)\W+(?:no|number)\.?\W*$", clean[max(0, m.start() - 30) : m.start()], re.I):
                     add("id_number", *m.span())
-        for p in _ADDRESS:
+        for i, p in enumerate(_ADDRESS):
+            if not _any(t, _STREET_LITERALS[i]) or (i == 0 and not _NUMBERED_STREET.search(t)):
+                continue
             for m in p.finditer(t):
                 add("address", *m.span())
-        for i, p in enumerate(_PHONE):
+        for p in _PHONE if cluster else ():
             for m in p.finditer(t):
                 n = sum(c.isdigit() for c in m.group())
                 if n < 8 or n > 15 or _NOT_BEFORE.search(t[max(0, m.start() - 20) : m.start()]):
