@@ -130,8 +130,9 @@ def _blocks(bits: int, threshold: float):
                 sig, who = signatures(sets, threshold)
                 bucket = (sig >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(sig), np.int32)
                 rest = (sig >> np.uint64(32 - bits)).astype(np.uint32)
-                order = np.lexsort((rest, who, bucket))
-                bucket, who, rest = bucket[order], who[order], rest[order]
+                # Hash range, set and remainder in one number, sorted at once.
+                key = np.sort((bucket.astype(np.uint64) << np.uint64(41)) | (who.astype(np.uint64) << np.uint64(32)) | rest.astype(np.uint64))
+                bucket, who, rest = (key >> np.uint64(41)).astype(np.int32), ((key >> np.uint64(32)) & np.uint64(511)).astype(np.int64), key.astype(np.uint32)
                 home = (mix64(idv.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(idv), np.int32)
                 cols: list[list] = [[], [], [], [], [], []]
                 edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
@@ -170,7 +171,7 @@ def _candidates(t: pa.Table) -> pa.Table:
         sk_n.append(np.frombuffer(n, np.int32))
         sk += [k[j : j + CELLS] for j in range(0, len(k), CELLS)]
     own, sig = np.concatenate(ids), np.concatenate(sigs)
-    order = np.lexsort((own, sig))
+    order = np.argsort(sig, kind="stable")
     own, sig = own[order], sig[order]
     cut = np.flatnonzero(np.diff(sig)) + 1
     st, en = np.concatenate([[0], cut]), np.concatenate([cut, [len(sig)]])
@@ -263,12 +264,12 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         .mapInArrow(_bound(threshold), "a long, b long")
     )
     wanted = durable(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = map_columns(
+    sets = durable(map_columns(
         base.join(wanted, "id", "left_semi").dropDuplicates(["id"]),
         ["id", "t"],
         "id long, s binary",
         lambda ids, ts: [ids, [shingle_hashes(normalize_one(t), N).tobytes() for t in ts]],
-    )
+    ))
     exact = (
         near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
