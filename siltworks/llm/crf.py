@@ -12,14 +12,20 @@ from collections.abc import Callable, Sequence
 import numpy as np
 
 
-def feature_ids(names: Sequence[str], bits: int) -> list[int]:
+def feature_ids(names: Sequence[str | int], bits: int) -> list[int]:
+    """Table rows of features: names are hashed, numbers are hashes already."""
     m = (1 << bits) - 1
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & m for n in names]
+    return [(n if isinstance(n, int) else zlib.crc32(n.encode("utf-8", "surrogatepass"))) & m for n in names]
 
 
-def _logsumexp(a: np.ndarray, axis: int) -> np.ndarray:
-    m = a.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
+def mix(a, b, salt: int):
+    """A hash of two 32-bit hashes, the same for numbers and for unsigned 64-bit arrays."""
+    k = [0x9E3779B1, 0x85EBCA77, salt * 0xC2B2AE3D & 0xFFFFFFFF, 0xFFFFFFFF, 0x2C1B3C6D, 15, 12]
+    if isinstance(a, np.ndarray):
+        k = [np.uint64(x) for x in k]
+    x = (a * k[0] + b * k[1] + k[2]) & k[3]
+    x = ((x ^ (x >> k[5])) * k[4]) & k[3]
+    return x ^ (x >> k[6])
 
 
 def forward_backward(em: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from siltworks.llm import prose as P
 from siltworks.llm.batches import map_columns
-from siltworks.llm.crf import Crf, feature_ids, posterior
+from siltworks.llm.crf import Crf, feature_ids, mix, posterior
 
 #: Most rated documents of each kind used for fitting.
 TRAIN_ROWS = 500
@@ -125,14 +126,25 @@ def flags(words: list[str]) -> str:
     return ("R" if s & _REPORT else "") + ("Y" if s & _SECOND else "")
 
 
-def position_features(p2: str, p: str, c: str, n: str, fl: str) -> list[str]:
-    k = word_class(c)
-    base = undisguise(c)[0]
+@lru_cache(maxsize=300_000)
+def hashes(w: str) -> tuple[int, int]:
+    """Hashes of a token's plain form and of its class."""
+    return zlib.crc32(undisguise(w)[0].encode("utf-8", "surrogatepass")), zlib.crc32(("k:" + word_class(w)).encode())
+
+
+# Salts of the pair features: classes with the word before and after, words with the word before,
+# after and two before.
+_CLASS_BEFORE, _CLASS_AFTER, _BEFORE, _AFTER, _TWO_BEFORE = 1, 2, 3, 4, 5
+
+
+def position_features(p2: str, p: str, c: str, n: str, fl: str) -> list[str | int]:
+    base, k = undisguise(c)[0], word_class(c)
+    (hc, kc), (hp, kp), (hn, kn), (h2, _) = hashes(c), hashes(p), hashes(n), hashes(p2)
     return [
-        "c:" + base, "k:" + k, "pre:" + base[:4], "p:" + undisguise(p)[0], "n:" + undisguise(n)[0],
-        "pk:" + word_class(p) + k, "nk:" + k + word_class(n), "b:" + undisguise(p)[0] + "_" + base, "b2:" + base + "_" + undisguise(n)[0],
-        "s:" + undisguise(p2)[0] + "_" + base, "f:" + fl, "fk:" + fl + k, "bias",
-    ]
+        "c:" + base, "k:" + k, "pre:" + base[:4], "f:" + fl, "fk:" + fl + k, "bias",
+        "p:" + undisguise(p)[0], "n:" + undisguise(n)[0],
+        mix(kp, kc, _CLASS_BEFORE), mix(kc, kn, _CLASS_AFTER), mix(hp, hc, _BEFORE), mix(hc, hn, _AFTER), mix(h2, hc, _TWO_BEFORE),
+    ]
 
 
 class Tagger:
@@ -142,6 +154,7 @@ class Tagger:
 
     def __init__(self) -> None:
         self.crf = Crf(["ok", "toxic"], lambda key: position_features(*key.split("\x00")), bits=self.BITS)
+        self._w: np.ndarray | None = None
         self._reset()
 
     @staticmethod
@@ -155,38 +168,26 @@ class Tagger:
         return self
 
     def _sum(self, *names: str) -> float:
-        w = self.crf.w[feature_ids(names, self.BITS)]
-        return float((w[:, 1] - w[:, 0]).sum())
+        return float(self.w[feature_ids(names, self.BITS)].sum())
 
     def _word(self, w: str) -> int:
-        """The number of a word; its emission parts under each set of flags are made once."""
+        """The number of a word; its own parts of the scores are made once."""
         j = self.words.get(w)
         if j is None:
-            j = self.words[w] = len(self.names)
-            self.names.append(w)
+            j = self.words[w] = len(self.words)
             b, k = undisguise(w)[0], word_class(w)
-            own = self._sum("c:" + b, "k:" + k, "pre:" + b[:4])
-            self.own.append([own + self._sum("f:" + f, "bias", "fk:" + f + k) for f in ("", "R", "Y", "RY")])
-            self.flag.append((b in _REPORT) + 2 * (b in _SECOND))
+            own = self._sum("c:" + b, "k:" + k, "pre:" + b[:4], "bias")
+            self.own.append([own + self._sum("f:" + f, "fk:" + f + k) for f in ("", "R", "Y", "RY")] + [self._sum("p:" + b), self._sum("n:" + b)])
+            self.hash.append([*hashes(w), (b in _REPORT) + 2 * (b in _SECOND)])
         return j
 
-    def _pair(self, key: int) -> tuple[float, float]:
-        """What a word pair adds to its second and to its first word."""
-        a, b = self.names[key >> 32], self.names[key & 0xFFFFFFFF]
-        x, y = undisguise(a)[0], undisguise(b)[0]
-        k, l = word_class(a), word_class(b)
-        return self._sum("p:" + x, "pk:" + k + l, "b:" + x + "_" + y), self._sum("n:" + y, "nk:" + k + l, "b2:" + x + "_" + y)
-
-    def _skip(self, key: int) -> float:
-        return self._sum("s:" + undisguise(self.names[key >> 32])[0] + "_" + undisguise(self.names[key & 0xFFFFFFFF])[0])
-
     def scores(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Toxic-over-ok emission scores of all tokens of all sentences, and the sentences' starts.
 
-        Sentences are laid end to end with two markers before and one after each, so that pairs are
-        looked up in one pass.
+        Sentences are laid end to end with two markers before and one after each; the features of
+        pairs are hashed for all of them at once.
         """
-        if len(self.names) > 300_000 or len(self.pairs) + len(self.skips) > 3_000_000:
+        if len(self.words) > 300_000:
             self._reset()
         seq: list[str] = []
         starts = []
@@ -201,35 +202,19 @@ class Tagger:
             ids = [self._word(w) if j < 0 else j for w, j in zip(seq, ids)]
         ids = np.array(ids, dtype=np.int64)
         size = np.array([len(w) for w in sents])
-        st = np.array(starts)
-        sid = np.repeat(np.arange(len(sents)), size + 3)
-        fl = np.array(self.flag)[ids]
+        own = np.array(self.own, dtype=np.float32)
+        facts = np.array(self.hash, dtype=np.uint64)
+        h, k = facts[ids, 0], facts[ids, 1]
         f = np.zeros(len(sents), dtype=np.int64)
-        np.bitwise_or.at(f, sid, fl)
-        out = np.array(self.own)[ids, f[sid]]
-        key = (ids[:-1] << 32) | ids[1:]
-        u, inv = np.unique(key, return_inverse=True)
-        pairs = self.pairs
-        rows = []
-        for k in u.tolist():
-            v = pairs.get(k)
-            if v is None:
-                v = pairs[k] = self._pair(k)
-            rows.append(v)
-        v = np.array(rows)[inv]
-        out[1:] += v[:, 0]
-        out[:-1] += v[:, 1]
-        key = (ids[:-2] << 32) | ids[2:]
-        u, inv = np.unique(key, return_inverse=True)
-        skips = self.skips
-        rows = []
-        for k in u.tolist():
-            x = skips.get(k)
-            if x is None:
-                x = skips[k] = self._skip(k)
-            rows.append(x)
-        out[2:] += np.array(rows)[inv]
-        return out, st
+        sid = np.repeat(np.arange(len(sents)), size + 3)
+        np.bitwise_or.at(f, sid, facts[ids, 2].astype(np.int64))
+        out = own[ids, f[sid]]
+        m = np.uint64((1 << self.BITS) - 1)
+        W = self.w
+        out[1:] += own[ids[:-1], 4] + W[mix(k[:-1], k[1:], _CLASS_BEFORE) & m] + W[mix(h[:-1], h[1:], _BEFORE) & m]
+        out[:-1] += own[ids[1:], 5] + W[mix(k[:-1], k[1:], _CLASS_AFTER) & m] + W[mix(h[:-1], h[1:], _AFTER) & m]
+        out[2:] += W[mix(h[:-2], h[2:], _TWO_BEFORE) & m]
+        return out, np.array(starts)
 
     def marginals(self, sents: list[list[str]]) -> list[np.ndarray]:
         """Probability of toxic per token of each sentence, by forward-backward over padded batches."""
@@ -258,14 +243,17 @@ class Tagger:
 
     def _reset(self) -> None:
         self.words: dict[str, int] = {}
-        self.names: list[str] = []
         self.own: list[list[float]] = []
-        self.flag: list[int] = []
-        self.pairs: dict[int, tuple[float, float]] = {}
-        self.skips: dict[int, float] = {}
+        self.hash: list[list[int]] = []
+
+    @property
+    def w(self) -> np.ndarray:
+        if self._w is None:
+            self._w = np.ascontiguousarray(self.crf.w[:, 1] - self.crf.w[:, 0])
+        return self._w
 
     def __getstate__(self) -> dict:
-        return {"w": self.crf.w, "trans": self.crf.trans, "start": self.crf.start}
+        return {"w": self.crf.w.astype(np.float32), "trans": self.crf.trans, "start": self.crf.start}
 
     def __setstate__(self, s: dict) -> None:
         self.__init__()
@@ -379,7 +367,7 @@ def score_texts(texts: list[str | None], tagger: Tagger) -> list[tuple[float, li
     out: list[tuple[float, list[dict]]] = [(0.0, []) for _ in texts]
     salad: dict[int, bool] = {}
     for i, (a, b), ws, m in zip(owner, where, sents, tagger.marginals(sents)):
-        v = float(m.mean())
+        v = float(m.sum()) / len(m)
         s, xs = out[i]
         if v < THRESHOLD and m.max() >= THRESHOLD:
             hot = np.flatnonzero(m >= THRESHOLD)
@@ -388,7 +376,7 @@ def score_texts(texts: list[str | None], tagger: Tagger) -> list[tuple[float, li
         if v >= THRESHOLD:
             if i not in salad:
                 all_words = P.WORD.findall(clean[i])
-                salad[i] = P._misfits(all_words) > 0.04 * len(all_words)
+                salad[i] = P._misfits([w.lower() for w in all_words]) > 0.04 * len(all_words)
             if salad[i]:
                 continue
             sp = tokens(clean[i][a:b])
