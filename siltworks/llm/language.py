@@ -31,7 +31,6 @@ TRAIN_WORDS = 120
 #: Least confidence of a sentence that adds its language to the document's.
 SURE = 0.75
 
-_TOKEN = re.compile(rf"[^\W\d_{P.CJK}]+(?:['’][^\W\d_{P.CJK}]+)*|[{P.CJK}]+|\d+|[^\w\s]")
 _NATIVE = {"ru": re.compile("[а-яё]", re.I), "zh": P._CJK}
 
 
@@ -39,11 +38,15 @@ _ADDRESS = re.compile(r"\S*@\S+|\b(?:https?://|www\.)\S+")
 
 
 def tokens(text: str) -> list[str]:
-    """Words, numbers and marks; digits and marks carry no language and take it from around them,
-    addresses are left out."""
+    """Words in lower case, without those of addresses."""
     if "@" in text or "://" in text or "www." in text:
         text = _ADDRESS.sub(" ", text)
-    return _TOKEN.findall(text.lower())
+    return P.WORD.findall(text.lower())
+
+
+def unit_tokens(u: P.Unit) -> list[str]:
+    """The words of a sentence; addresses are left out."""
+    return u.low if "@" not in u.text and "://" not in u.text else tokens(u.text)
 
 
 def features(w: str) -> tuple[str, ...]:
@@ -104,7 +107,7 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
         used[k] = used.get(k, 0) + 1
         for u in P.units(t)[:40]:
             if u.prose and lexicon_language(u.text) in (k, None):
-                by[k].append(tokens(u.text)[:TRAIN_WORDS])
+                by[k].append(unit_tokens(u)[:TRAIN_WORDS])
     rng = np.random.default_rng(11)
     for k in LANGUAGES:
         lex = sorted(P.COMMON.get(k, ())) or [[c] for c in ()]
@@ -137,10 +140,10 @@ def analyse(texts: list[str], model: Crf) -> list[tuple[list[tuple[int, int, str
         us, n = P.segment(t)
         verdict.append(n > 0 and 2 * sum(u.words for u in us if u.prose) >= n)
         if not us:
-            us = [P.Unit(0, len(t), t, 0, False)] if t.strip() else []
+            us = [P.Unit(0, len(t), t, 0, False, tokens(t))] if t.strip() else []
         toks, cut = [], [0]
         for u in us:
-            toks += tokens(u.text)
+            toks += unit_tokens(u)
             cut.append(len(toks))
         plain.append(us)
         seqs.append(toks)
@@ -149,8 +152,8 @@ def analyse(texts: list[str], model: Crf) -> list[tuple[list[tuple[int, int, str
     for us, toks, cut, m, v in zip(plain, seqs, cuts, model.marginals(seqs), verdict):
         row = []
         if toks:
-            # Digits and marks carry no language.
-            weight = np.fromiter((len(w) if w[0].isalpha() else 0 for w in toks), dtype=np.float32, count=len(toks))
+            # Numbers carry no language.
+            weight = np.array([0 if w[0].isdigit() else len(w) for w in toks], dtype=np.float32)
             x = m * weight[:, None]
             tot = np.add.reduceat(np.concatenate([x, np.zeros((1, x.shape[1]), dtype=x.dtype)]), cut[:-1], axis=0)
             best, size = tot.argmax(axis=1).tolist(), tot.sum(axis=1).tolist()

@@ -61,6 +61,7 @@ class Unit(NamedTuple):
     text: str
     words: int
     prose: bool
+    low: list[str]  # the words in lower case
 
 
 # As written in running text, at the start of a sentence and in capitals.
@@ -122,29 +123,29 @@ def count_words(s: str) -> int:
     return len(WORD.findall(_CJK_RUN.sub(" ", s) if cjk else s)) + (cjk + 1) // 2
 
 
-def _sentence_stats(s: str) -> tuple[int, int, bool, int]:
-    """Words, common words, whether the form is that of a running sentence, and misfitting pairs."""
+def _sentence_stats(s: str) -> tuple[int, int, bool, int, list[str]]:
+    """Words, common words, whether the form is that of a running sentence, misfitting pairs, and the
+    words in lower case."""
+    low = list(map(str.lower, WORD.findall(s)))
     cjk = 0 if s.isascii() else sum(map(len, _CJK_RUN.findall(s)))
     if cjk > 4:
-        n = count_words(s)
         common = sum(c in _ZH_COMMON for c in s)
-        return n, common, bool(_CLOSED.search(s)) and common * 40 >= cjk, 0
-    ws = WORD.findall(s)
-    n = len(ws)
+        return count_words(s), common, bool(_CLOSED.search(s)) and common * 40 >= cjk, 0, low
+    n = len(low)
     if n < 2:
-        return n, 0, False, 0
-    common = sum(map(_is_common, ws))
+        return n, 0, False, 0, low
+    common = sum(map(_is_common, low))
     alpha = n - len(_NUMBER.findall(s)) if _DIGIT.search(s) else n
     seps = s.count(",") + s.count("|") + s.count(";") + s.count(" - ") + s.count("•") + s.count(" / ")
     sym = len(_OPS.findall(s)) if _OPS.search(s) else 0
     good = (
-        bool(_CLOSED.search(s))
-        and 3 <= n <= 160
+        3 <= n <= 160
         and alpha >= 0.7 * n
         and seps <= 0.22 * n + 1
         and sym <= 0.04 * len(s) + 1
+        and bool(_CLOSED.search(s))
     )
-    return n, common, good, _misfits(ws) if common > 0.4 * n else 0
+    return n, common, good, _misfits(low) if common > 0.4 * n else 0, low
 
 
 # Words that cannot stand side by side in English prose; fixed values.
@@ -157,17 +158,16 @@ _AFTER_PREPOSITION = frozenset("is was are were has had can of and or but not if
 _MISFIT_PAIRS = frozenset((a, b) for x, y in ((_DETERMINERS, _AFTER_DETERMINER), (_PREPOSITIONS, _AFTER_PREPOSITION)) for a in x for b in y)
 
 
-def _misfits(ws: list[str]) -> int:
-    """Pairs in which an English closed-class word is followed by one that cannot follow it, or a
-    word by itself; strings of random common words are full of them."""
-    low = list(map(str.lower, ws))
+def _misfits(low: list[str]) -> int:
+    """Pairs of lower-case words in which an English closed-class word is followed by one that cannot
+    follow it, or a word by itself; strings of random common words are full of them."""
     nxt = low[1:]
     return sum(map(_MISFIT_PAIRS.__contains__, zip(low, nxt))) + sum(map(str.__eq__, low, nxt))
 
 
 def segment(text: str) -> tuple[list[Unit], int]:
     """All sentences of the text in order with the verdict on each, and the number of all words;
-    list, table, code, log and noise lines are not units."""
+    list, table, code, log and noise lines are not units.  Noise counts by the pieces between white space."""
     blocks: list[tuple[int, int]] = []
     pos, start, last = 0, None, 0
     total_words = 0
@@ -184,7 +184,7 @@ def segment(text: str) -> tuple[list[Unit], int]:
                 blocks.append((start, last))
                 start = None
             if k != "blank":
-                total_words += count_words(line)
+                total_words += len(line.split()) if k == "noise" else count_words(line)
         pos += len(line) + 1
     if start is not None:
         blocks.append((start, last))
@@ -194,18 +194,18 @@ def segment(text: str) -> tuple[list[Unit], int]:
         raw, total, common, words, bad, lower = [], 0, 0, 0, 0, 0
         for x, y in sentences(flow):
             s = flow[x:y]
-            n, c, good, misfit = _sentence_stats(s)
+            n, c, good, misfit, low = _sentence_stats(s)
             words += n
             bad += misfit
             lower += n if s.lstrip()[:1].islower() else 0
-            raw.append((a + x, a + y, s, n, c, good))
+            raw.append((a + x, a + y, s, n, c, good, low))
             if good:
                 total += n
                 common += c
         total_words += words
         ok = total > 0 and common >= 0.12 * total and bad < (0.05 if 2 * lower > words else 0.12) * words
-        for x, y, s, n, c, good in raw:
-            out.append(Unit(x, y, s, n, ok and good and (c > 0 or n >= 4)))
+        for x, y, s, n, c, good, low in raw:
+            out.append(Unit(x, y, s, n, ok and good and (c > 0 or n >= 4), low))
     return out, total_words
 
 
