@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -92,8 +93,13 @@ def undo_utf8_run(run: str) -> str | None:
     """Reverse a UTF-8 text read as one-byte characters, for one run of non-ASCII characters."""
     for b, a in CHAINS[:8]:
         r = undo(run, b, a)
-        if r is not None and len(r) < len(run) and all(_PLAUSIBLE.match(c) for c in r if c > "\x7f"):
-            return r
+        if r is not None and len(r) < len(run):
+            if all(_PLAUSIBLE.match(c) for c in r if c > "\x7f"):
+                return r
+            # Garbled twice: the first step back may leave controls that the second resolves.
+            again = undo_utf8_run(r) if not r.isascii() else None
+            if again is not None:
+                return again
     return None
 
 
@@ -102,21 +108,26 @@ _RU = {c: i for i, c in enumerate("оеаинтсрвлкмдпуяыьгзбч
 _INVERTED = re.compile(r"(?<![А-Яа-яЁё])[а-яё][А-ЯЁ]{2,}")
 
 
+_CASE_BREAK = re.compile(r"[a-zß-öø-ÿа-яё][A-ZÀ-ÖØ-ÞА-ЯЁ]")
+
+
+@lru_cache(maxsize=4096)
+def _letter_value(c: str) -> float:
+    if c.isalpha():
+        k = _RU.get(c.lower())
+        return -6.0 if k is None else 3 - 0.2 * k
+    return -6.0 if c > "\x7f" else 0.0
+
+
 def _ru_score(s: str) -> float:
-    n = sc = 0
-    prev = " "
-    for c in s:
-        if c.isalpha():
-            n += 1
-            k = _RU.get(c.lower())
-            sc += -6 if k is None else 3 - 0.2 * k
-            if c.isupper() and prev.isalpha() and prev.islower():
-                sc -= 4
-        elif c > "\x7f":
-            n += 1
-            sc -= 6
-        prev = c
-    return sc / max(n, 1)
+    """Mean value of the letters as Russian prose, with a loss for capitals within words."""
+    n = sc = 0.0
+    for c, k in Counter(s).items():
+        v = _letter_value(c)
+        if v:
+            n += k
+            sc += k * v
+    return (sc - 4 * len(_CASE_BREAK.findall(s))) / max(n, 1)
 
 
 def undo_single_byte(text: str) -> str | None:
