@@ -84,11 +84,11 @@ _SUR = rf"(?:{_PARTS}{_S})?{_W}"
 _FIRST_LAST = re.compile(rf"(?<![\w@.+-])({_W})((?:{_S}{_CAP}\.)*){_S}({_SUR})(?![\w@])")
 _INITIAL = re.compile(rf"(?<![\w@.+-])({_CAP}\.(?:{_S}?{_CAP}\.)*){_S}({_SUR})(?![\w@])")
 _CUE = re.compile(
-    r"(?:name is|named|signed by|thanks to|asked|applicant,|contact:|belongs to|call me|author:?|by|dear|from|and|mein name ist|formular von|erreichbar ist|gezeichnet von|m['’]appelle|signé par|joindre|me llamo|firmado por|localizar a|contactar a|chamo|assinado por|меня зовут|photo:|editor:?|guest:?|hello|hi)\s+$|(?:^|[\n;,|\t])\s*$",
+    r"(?:name is|name:|nom:|nombre:|nome:|named|signed by|thanks to|asked|applicant,|contact:|belongs to|call me|author:?|by|dear|from|and|mein name ist|formular von|erreichbar ist|gezeichnet von|m['’]appelle|signé par|joindre|me llamo|firmado por|localizar a|contactar a|chamo|assinado por|меня зовут|photo:|editor:?|guest:?|hello|hi)\s+$|(?:^|[\n;,|\t])\s*$",
     re.I,
 )
 _STRONG_CUE = re.compile(
-    r"(?:name is|signed by|thanks to|i asked|applicant,|contact:|belongs to|mein name ist|formular von|erreichbar ist|m['’]appelle|signé par|joindre|me llamo|firmado por|localizar a|chamo|assinado por|меня зовут)\s+$",
+    r"(?:name is|name:|nom:|nombre:|nome:|signed by|thanks to|i asked|applicant,|contact:|belongs to|mein name ist|formular von|erreichbar ist|m['’]appelle|signé par|joindre|me llamo|firmado por|localizar a|chamo|assinado por|меня зовут)\s+$",
     re.I,
 )
 _AFTER = re.compile(r"\s+(?:still\s+lives\s+at|lives\s+at|wohnt)", re.I)
@@ -261,7 +261,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
         cluster = _CLUSTER.search(t) is not None
         for _, p in _ID if cluster or _LETTERED.search(clean) else ():
             for m in p.finditer(clean):
-                if not _NOT_BEFORE.search(clean[max(0, m.start() - 20) : m.start()]) or re.search(r"(?:insurance|passport|security|tax)\W+(?:no|number)\.?\W*$", clean[max(0, m.start() - 30) : m.start()], re.I):
+                if not _NOT_BEFORE.search(clean[max(0, m.start() - 20) : m.start()]) or re.search(r"(?:insurance|passport|security|tax|id|identity)\W+(?:no|number)\.?\W*$", clean[max(0, m.start() - 30) : m.start()], re.I):
                     add("id_number", *m.span())
         for i, p in enumerate(_ADDRESS):
             if not _any(t, _STREET_LITERALS[i]) or (i == 0 and not _NUMBERED_STREET.search(t)):
