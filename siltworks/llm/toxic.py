@@ -6,7 +6,7 @@ sentences of labelled documents: those of documents rated clean are untagged thr
 of documents rated toxic are tagged where their word pairs hardly occur in clean documents.
 Forward-backward marginals give toxic spans with offsets, a score per sentence and per document.
 
-At most ``TRAIN_ROWS`` labelled documents of each rating are used for fitting.
+At most ``TRAIN_ROWS`` documents rated toxic and ``CLEAN_ROWS`` rated clean are used for fitting.
 
 Defined results: null or blank text scores 0 with no spans; repeated rows give equal rows; documents
 without a rating are scored like others; a null source is a source of its own in the rates.
@@ -27,8 +27,8 @@ from siltworks.llm import prose as P
 from siltworks.llm.batches import map_columns
 from siltworks.llm.crf import Crf, feature_ids, mix, posterior
 
-#: Most rated documents of each kind used for fitting.
-TRAIN_ROWS = 500
+#: Most documents rated toxic, and most rated clean, used for fitting.
+TRAIN_ROWS, CLEAN_ROWS = 500, 2500
 THRESHOLD = 0.5
 
 # Words of abuse by kind, without accents; fixed values.
@@ -107,8 +107,15 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m.group()) for m in (_TOKEN if _SPELLED.search(text) else _FAST).finditer(text)]
 
 
-def words_of(text: str, spelled: bool = True) -> list[str]:
-    return (_TOKEN if spelled and _SPELLED.search(text) else _FAST).findall(text.lower())
+_MASKED = re.compile(r"[*@$#]")
+_SIMPLE = re.compile(r"\w+|[^\w\s]")
+
+
+def words_of(text: str, spelled: bool = True, masked: bool = True) -> list[str]:
+    """Tokens in lower case; ``spelled`` and ``masked`` say whether the text may hold such disguises."""
+    if spelled and _SPELLED.search(text):
+        return _TOKEN.findall(text.lower())
+    return (_FAST if masked else _SIMPLE).findall(text.lower())
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
@@ -202,13 +209,13 @@ class Tagger:
             ids = [self._word(w) if j < 0 else j for w, j in zip(seq, ids)]
         ids = np.array(ids, dtype=np.int64)
         size = np.array([len(w) for w in sents])
-        own = np.array(self.own, dtype=np.float32)
-        facts = np.array(self.hash, dtype=np.uint64)
+        if len(self.arrays[0]) < len(self.own):
+            n = len(self.arrays[0])
+            self.arrays = (np.concatenate([self.arrays[0], np.array(self.own[n:], dtype=np.float32)]), np.concatenate([self.arrays[1], np.array(self.hash[n:], dtype=np.uint64)]))
+        own, facts = self.arrays
         h, k = facts[ids, 0], facts[ids, 1]
-        f = np.zeros(len(sents), dtype=np.int64)
-        sid = np.repeat(np.arange(len(sents)), size + 3)
-        np.bitwise_or.at(f, sid, facts[ids, 2].astype(np.int64))
-        out = own[ids, f[sid]]
+        f = np.bitwise_or.reduceat(facts[ids, 2], np.array(starts) - 2).astype(np.int64)
+        out = own[ids, np.repeat(f, size + 3)]
         m = np.uint64((1 << self.BITS) - 1)
         W = self.w
         out[1:] += own[ids[:-1], 4] + W[mix(k[:-1], k[1:], _CLASS_BEFORE) & m] + W[mix(h[:-1], h[1:], _BEFORE) & m]
@@ -216,13 +223,16 @@ class Tagger:
         out[2:] += W[mix(h[:-2], h[2:], _TWO_BEFORE) & m]
         return out, np.array(starts)
 
-    def marginals(self, sents: list[list[str]]) -> list[np.ndarray]:
-        """Probability of toxic per token of each sentence, by forward-backward over padded batches."""
+    def marginals(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of toxic per token of all sentences, by forward-backward over padded batches,
+        and the place where each sentence's tokens begin."""
         if not sents:
-            return []
+            return np.zeros(0, dtype=np.float32), np.zeros(1, dtype=np.int64)
         flat, st = self.scores(sents)
-        out: list[np.ndarray] = [np.zeros(0)] * len(sents)
+        # All marginals end to end, each sentence followed by one zero.
         size = np.array([len(s) for s in sents])
+        at = np.concatenate([[0], np.cumsum(size + 1)])
+        every = np.zeros(int(at[-1]), dtype=np.float32)
         order = np.argsort(-size, kind="stable")
         a = 0
         while a < len(order) and size[order[a]]:
@@ -232,19 +242,19 @@ class Tagger:
             ids = order[a:b]
             n = size[ids]
             t = np.arange(T)[:, None]
-            at = np.minimum(st[ids][None, :] + t, len(flat) - 1)
+            inside = t < n[None, :]
             em = np.zeros((T, len(ids), 2), dtype=np.float32)
-            em[:, :, 1] = np.where(t < n[None, :], flat[at], 0.0)
+            em[:, :, 1] = np.where(inside, flat[np.minimum(st[ids][None, :] + t, len(flat) - 1)], 0.0)
             m = posterior(em, n, self.crf.trans, self.crf.start)[:, :, 1]
-            for r, i in enumerate(ids.tolist()):
-                out[i] = m[: n[r], r]
+            every[(at[ids][None, :] + t)[inside]] = m[inside]
             a = b
-        return out
+        return every, at
 
     def _reset(self) -> None:
         self.words: dict[str, int] = {}
         self.own: list[list[float]] = []
         self.hash: list[list[int]] = []
+        self.arrays = (np.zeros((0, 6), dtype=np.float32), np.zeros((0, 3), dtype=np.uint64))
 
     @property
     def w(self) -> np.ndarray:
@@ -331,9 +341,13 @@ def mine(toxic: list[str], clean: list[str]) -> list[tuple[list[str], list[int]]
             strong = sum(v > 2.2 for v in ps)
             if ps and (strong >= max(2, 0.25 * len(ps)) or (lex >= 2 and strong >= 2)) and np.mean(ps) > 0.7:
                 out.append((s, [1] * len(s)))
+    # Clean sentences with words of the lexicons teach most; of the others every eighth is enough.
+    k = 0
     for d in cs:
         for s in d:
-            out.append((s, [0] * len(s)))
+            k += 1
+            if k % 8 == 0 or any(word_class(w) != "-" for w in s):
+                out.append((s, [0] * len(s)))
     return out
 
 
@@ -342,7 +356,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Tagger:
     t = docs.select("doc_id", "text").where("length(trim(text)) > 0")
     src = t.join(r, "doc_id").select("m", "text", F.xxhash64("doc_id").alias("h"))
     w = Window.partitionBy("m").orderBy("h")
-    rows = src.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TRAIN_ROWS).select("m", "text", "h").collect()
+    rows = src.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.when(F.col("m") == 1, TRAIN_ROWS).otherwise(CLEAN_ROWS)).select("m", "text", "h").collect()
     rows = sorted(rows, key=lambda x: (x.m, x.h))
     return fit([x.text for x in rows if x.m == 1], [x.text for x in rows if x.m == 0])
 
@@ -357,28 +371,33 @@ def score_texts(texts: list[str | None], tagger: Tagger) -> list[tuple[float, li
     for i, t in enumerate(texts):
         t = P.normalise(t) if t and t.strip() else ""
         clean.append(t)
-        spelled = bool(_SPELLED.search(t))
+        spelled, masked = bool(_SPELLED.search(t)), bool(_MASKED.search(t))
         for a, b in pieces(t):
-            ws = words_of(t[a:b], spelled)
-            if sum(map(str.isalpha, [w[0] for w in ws])) >= 3:
+            ws = words_of(t[a:b], spelled, masked)
+            if len(ws) >= 3 and sum(map(str.isalpha, ws)) >= 2:
                 owner.append(i)
                 where.append((a, b))
                 sents.append(ws)
     out: list[tuple[float, list[dict]]] = [(0.0, []) for _ in texts]
     salad: dict[int, bool] = {}
-    for i, (a, b), ws, m in zip(owner, where, sents, tagger.marginals(sents)):
-        v = float(m.sum()) / len(m)
+    every, at = tagger.marginals(sents)
+    if not sents:
+        return out
+    size = np.diff(at) - 1
+    mean = (np.add.reduceat(every, at[:-1]) / np.maximum(size, 1)).tolist()
+    top = np.maximum.reduceat(every, at[:-1]).tolist()
+    for j, (i, (a, b), ws) in enumerate(zip(owner, where, sents)):
+        v = mean[j]
         s, xs = out[i]
-        if v < THRESHOLD and m.max() >= THRESHOLD:
-            hot = np.flatnonzero(m >= THRESHOLD)
-            if sum(word_class(ws[j])[0] in "ISV" for j in hot) >= 2:
-                v = float(np.sort(m)[-min(4, len(m)) :].mean())
+        if v < THRESHOLD <= top[j]:
+            v = max(v, _part_score(every[at[j] : at[j + 1] - 1], ws))
         if v >= THRESHOLD:
             if i not in salad:
                 all_words = P.WORD.findall(clean[i])
                 salad[i] = P._misfits([w.lower() for w in all_words]) > 0.04 * len(all_words)
             if salad[i]:
                 continue
+            m = every[at[j] : at[j + 1] - 1]
             sp = tokens(clean[i][a:b])
             on = np.flatnonzero(m >= THRESHOLD)
             if len(on) and len(sp) == len(m):
@@ -387,6 +406,19 @@ def score_texts(texts: list[str | None], tagger: Tagger) -> list[tuple[float, li
     return out
 
 
+def _part_score(m: np.ndarray, ws: list[str]) -> float:
+    """The score of a sentence that is toxic in part: two or more words of the lexicons among the
+    tagged, or a long tagged end, as where a heading runs into the sentence."""
+    hot = np.flatnonzero(m >= THRESHOLD)
+    if sum(word_class(ws[j])[0] in "ISV" for j in hot) >= 2:
+        return float(np.sort(m)[-min(4, len(m)) :].mean())
+    cold = np.flatnonzero(m < THRESHOLD)
+    tail = m[cold[-1] + 1 :] if len(cold) else m
+    if len(tail) >= 7 and 3 * len(tail) >= len(m):
+        return float(tail.mean())
+    return 0.0
+
+
 def score(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     bm = docs.sparkSession.sparkContext.broadcast(tagger)
     kept: dict = {}
