@@ -130,27 +130,29 @@ class Crf:
             self.table[j] = self.w[feature_ids(self.features(w), self.bits)].sum(0)
         return j
 
-    def marginals(self, seqs: Sequence[Sequence[str]], cells: int = 150_000) -> list[np.ndarray]:
-        """Label marginals per token of each sequence (whole sequences, whatever their length)."""
+    def marginals(self, seqs: Sequence[Sequence[str]], cells: int = 150_000) -> np.ndarray:
+        """Label marginals of all tokens of all sequences end to end (whole sequences, whatever their
+        length)."""
         if len(self.index) > 400_000:
             self.index = {}
-        out: list[np.ndarray] = [np.zeros((0, len(self.labels)), dtype=np.float32)] * len(seqs)
-        ids = [np.array(self.ids(s), dtype=np.int64) for s in seqs]
-        order = sorted((i for i in range(len(seqs)) if len(ids[i])), key=lambda i: -len(ids[i]))
+        size = np.array([len(s) for s in seqs], dtype=np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        flat = np.array(self.ids([w for s in seqs for w in s]), dtype=np.int64)
+        out = np.zeros((len(flat), len(self.labels)), dtype=np.float32)
+        order = np.argsort(-size, kind="stable")
+        order = order[size[order] > 0]
         a = 0
         while a < len(order):
-            T = len(ids[order[a]])
+            T = int(size[order[a]])
             b = min(len(order), a + max(1, cells // T))
-            while b > a + 1 and len(ids[order[b - 1]]) * 3 < T:
-                b -= 1
+            b = a + int((size[order[a:b]] * 3 >= T).sum())
             group = order[a:b]
-            lengths = np.array([len(ids[i]) for i in group])
-            grid = np.zeros((T, len(group)), dtype=np.int64)
-            for r, i in enumerate(group):
-                grid[: lengths[r], r] = ids[i]
-            m = posterior(self.table[grid], lengths, self.trans, self.start)
-            for r, i in enumerate(group):
-                out[i] = m[: lengths[r], r]
+            n = size[group]
+            t = np.arange(T)[:, None]
+            inside = t < n[None, :]
+            place = np.where(inside, at[group][None, :] + t, 0)
+            m = posterior(self.table[flat[place]], n, self.trans, self.start)
+            out[place[inside]] = m[inside]
             a = b
         return out
 

@@ -169,6 +169,19 @@ def undo_lines(text: str, b: str, a: str) -> str | None:
 _NEEDS_TABLE = re.compile("[À-ÿ]{3}|[Ѐ-џ]{4}|[─-╿]{2}")
 
 
+def _suspect() -> re.Pattern:
+    """Pairs of characters that some one-byte table gives for the first two bytes of a UTF-8 character."""
+    lead, cont = set(), set()
+    for b in {b for b, a in CHAINS if a == "utf-8" and b in _MAPS}:
+        lead |= {chr(c) for c, x in _MAPS[b].items() if 0xC2 <= x <= 0xF4 and c > 127}
+        cont |= {chr(c) for c, x in _MAPS[b].items() if 0x80 <= x <= 0xBF and c > 127}
+    # A superset of the pairs, as one class after another: quicker than an alternation.
+    return re.compile("[" + "".join(map(re.escape, sorted(lead))) + "][" + "".join(map(re.escape, sorted(cont))) + "]")
+
+
+_SUSPECT = _suspect()
+
+
 def light_repair(text: str, rounds: int = 3) -> str:
     """Deterministic repair without a corpus model; returns ``text`` itself when nothing applies."""
     if text.isascii() and "&#" not in text:
@@ -177,7 +190,8 @@ def light_repair(text: str, rounds: int = 3) -> str:
         new = text
         if "&#" in new:
             new = NUMREF.sub(lambda m: html.unescape(m.group()), new)
-        new = NONASCII.sub(lambda m: undo_utf8_run(m.group()) or m.group(), new)
+        if _SUSPECT.search(new):
+            new = NONASCII.sub(lambda m: undo_utf8_run(m.group()) or m.group(), new)
         if new == text:
             break
         text = new

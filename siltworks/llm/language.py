@@ -16,6 +16,7 @@ sentence gets the language of its words.
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -132,47 +133,57 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
     return Crf(LANGUAGES, features, bits=15).fit(seqs, tags, epochs=4)
 
 
-def analyse(texts: list[str], model: Crf) -> list[tuple[list[tuple[int, int, str, float, bool]], bool]]:
-    """Per text its sentences as ``(start, end, language, confidence, running sentence)``, and whether
-    running sentences hold half of its words."""
-    plain, seqs, cuts, verdict = [], [], [], []
-    for t in texts:
+class Sentence(NamedTuple):
+    unit: P.Unit
+    lang: str
+    confidence: float
+
+
+def analyse(texts: list[str], model: Crf) -> list[tuple[list[Sentence], bool]]:
+    """Per text its sentences, and whether running sentences hold half of its words."""
+    out: list[tuple[list[Sentence], bool]] = []
+    seqs: list[list[str]] = []
+    home: list[tuple[int, P.Unit]] = []
+    cut: list[int] = []
+    n_tokens = 0
+    for i, t in enumerate(texts):
         us, n = P.segment(t)
-        verdict.append(n > 0 and 2 * sum(u.words for u in us if u.prose) >= n)
-        if not us:
-            us = [P.Unit(0, len(t), t, 0, False, tokens(t))] if t.strip() else []
-        toks, cut = [], [0]
+        out.append(([], n > 0 and 2 * sum(u.words for u in us if u.prose) >= n))
+        if not us and t.strip():
+            us = [P.Unit(0, len(t), t, 0, False, tokens(t))]
+        toks: list[str] = []
         for u in us:
-            toks += unit_tokens(u)
-            cut.append(len(toks))
-        plain.append(us)
+            ws = unit_tokens(u)
+            if ws:
+                home.append((i, u))
+                cut.append(n_tokens + len(toks))
+                toks += ws
+        n_tokens += len(toks)
         seqs.append(toks)
-        cuts.append(cut)
-    out = []
-    for us, toks, cut, m, v in zip(plain, seqs, cuts, model.marginals(seqs), verdict):
-        row = []
-        if toks:
-            # Numbers carry no language.
-            weight = np.array([0 if w[0].isdigit() else len(w) for w in toks], dtype=np.float32)
-            x = m * weight[:, None]
-            tot = np.add.reduceat(np.concatenate([x, np.zeros((1, x.shape[1]), dtype=x.dtype)]), cut[:-1], axis=0)
-            best, size = tot.argmax(axis=1).tolist(), tot.sum(axis=1).tolist()
-            top = tot.max(axis=1).tolist()
-            for i, u in enumerate(us):
-                if cut[i + 1] > cut[i] and size[i] > 0:
-                    row.append((u.start, u.end, LANGUAGES[best[i]], top[i] / size[i], u.prose))
-        out.append((row, v))
+    if not cut:
+        return out
+    # Numbers carry no language.
+    weight = np.array([0 if w[0].isdigit() else len(w) for s in seqs for w in s], dtype=np.float32)
+    votes = np.add.reduceat(model.marginals(seqs) * weight[:, None], cut, axis=0)
+    size = votes.sum(axis=1)
+    best = votes.argmax(axis=1).tolist()
+    sure = (votes.max(axis=1) / np.maximum(size, 1e-9)).tolist()
+    for (i, u), k, c, z in zip(home, best, sure, size.tolist()):
+        if z > 0:
+            out[i][0].append(Sentence(u, LANGUAGES[k], c))
     return out
 
 
-def languages_of(row: list[tuple[int, int, str, float, bool]]) -> list[tuple[str, float]]:
+def languages_of(row: list[Sentence]) -> list[tuple[str, float]]:
     """Languages with a whole sentence, by share of the text, with mean confidence."""
     size: dict[str, float] = {}
     conf: dict[str, float] = {}
-    whole = [x for x in row if x[4] and x[3] >= SURE and x[1] - x[0] >= (6 if x[2] == "zh" else 24)] or [x for x in row if x[4]] or row
-    for a, b, k, c, _ in whole:
-        size[k] = size.get(k, 0) + b - a
-        conf[k] = conf.get(k, 0) + c * (b - a)
+    running = [x for x in row if x.unit.prose]
+    whole = [x for x in running if x.confidence >= SURE and x.unit.end - x.unit.start >= (6 if x.lang == "zh" else 24)] or running or row
+    for u, k, c in whole:
+        n = u.end - u.start
+        size[k] = size.get(k, 0) + n
+        conf[k] = conf.get(k, 0) + c * n
     return [(k, conf[k] / size[k]) for k in sorted(size, key=lambda k: (-size[k], k))]
 
 
@@ -196,7 +207,8 @@ def detect(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
             conf.append(ls[0][1] if ls else 0.0)
             langs.append([k for k, _ in ls])
             merged: list[dict] = []
-            for a, b, k, c, _ in row:
+            for u, k, c in row:
+                a, b = u.start, u.end
                 if merged and merged[-1]["lang"] == k:
                     x = merged[-1]
                     w, v = x["end_pos"] - x["start_pos"], b - a

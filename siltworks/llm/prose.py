@@ -48,7 +48,8 @@ _LOG = re.compile(r"^\s*(?:\d{9,}|\d{4}-\d\d-\d\d[T ]\d|\[\d|\d\d:\d\d:\d\d)\s*.
 # A line of words and ordinary punctuation only, as most lines of prose are.
 _PLAIN = re.compile(r"[\"“‘«¿¡]?[^\W\d_][^{}\[\]<>=|\t;#*:_\\/+@()^~]*$")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_DIGIT = re.compile(r"\d")
+# Digits, separators other than commas, and signs: a sentence without any needs no count of them.
+_SPECIAL = re.compile(r"[\d|;•/{}\[\]<>=_#^~\\+*@$%-]")
 _NUMBER = re.compile(r"(?<!\w)\d")
 _OPS = re.compile(r"[{}\[\]<>=_#^~\\+*/@$%]")
 _CLOSED = re.compile(r"[.!?…。！？][\"'”’»)\]」』]*\s*$")
@@ -105,8 +106,8 @@ def sentences(s: str) -> list[tuple[int, int]]:
         e = m.end()
         if e <= a:
             continue
-        piece = s[a:e]
-        if _ABBREV.search(piece[-8:]) and e < len(s):
+        # Only a short last word can be an abbreviation.
+        if s[e - 1] == "." and e < len(s) and (" " in (tail := s[max(a, e - 6) : e]) or "(" in tail or "\n" in tail or e - a < 6) and _ABBREV.search(s[max(a, e - 8) : e]):
             continue
         out.append((a, e))
         a = e
@@ -135,17 +136,14 @@ def _sentence_stats(s: str) -> tuple[int, int, bool, int, list[str]]:
     if n < 2:
         return n, 0, False, 0, low
     common = sum(map(_is_common, low))
-    alpha = n - len(_NUMBER.findall(s)) if _DIGIT.search(s) else n
-    seps = s.count(",") + s.count("|") + s.count(";") + s.count(" - ") + s.count("•") + s.count(" / ")
-    sym = len(_OPS.findall(s)) if _OPS.search(s) else 0
-    good = (
-        3 <= n <= 160
-        and alpha >= 0.7 * n
-        and seps <= 0.22 * n + 1
-        and sym <= 0.04 * len(s) + 1
-        and bool(_CLOSED.search(s))
-    )
-    return n, common, good, _misfits(low) if common > 0.4 * n else 0, low
+    good = 3 <= n <= 160 and s.count(",") <= 0.22 * n + 1 and bool(_CLOSED.search(s))
+    if good and _SPECIAL.search(s):
+        good = (
+            n - len(_NUMBER.findall(s)) >= 0.7 * n
+            and sum(map(s.count, (",", "|", ";", " - ", "•", " / "))) <= 0.22 * n + 1
+            and len(_OPS.findall(s)) <= 0.04 * len(s) + 1
+        )
+    return n, common, good, _misfits(low) if common > 0.55 * n else 0, low
 
 
 # Words that cannot stand side by side in English prose; fixed values.

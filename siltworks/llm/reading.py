@@ -44,6 +44,10 @@ SAMPLES = {
 }
 
 
+def _parts(u: P.Unit) -> tuple[list[str], int]:
+    return u.low, u.text.count(",") + u.text.count(";")
+
+
 class _Words:
     """Feature rows of words, each computed once."""
 
@@ -77,17 +81,16 @@ class _Words:
 _WORDS = _Words()
 
 
-def doc_features(sentences: list[str]) -> list[float] | None:
-    """Word-weighted medians over the sentences of: mean letters and syllables, shares of long, of
+def doc_features(sentences: list[tuple[list[str], int]]) -> list[float] | None:
+    """Word-weighted medians over the sentences, given as words and commas, of: mean letters and syllables, shares of long, of
     polysyllabic, of very polysyllabic, of short, of abstract, of common and of subordinating words,
     commas per word, log of length, and the longest word."""
     words, starts, sizes, commas = [], [], [], []
-    for s in sentences:
-        ws = P.WORD.findall(s)
+    for ws, k in sentences:
         if len(ws) >= 3:
             starts.append(len(words))
             sizes.append(len(ws))
-            commas.append(s.count(",") + s.count(";"))
+            commas.append(k)
             words += ws
     if not words:
         return None
@@ -162,7 +165,7 @@ def _sample_rows() -> tuple[list[list[float]], list[float]]:
     f, y = [], []
     for k, ts in SAMPLES.items():
         for t in ts:
-            f.append(doc_features([t[a:b] for a, b in P.sentences(t)]))
+            f.append(doc_features([_parts(u) for u in P.units(t)]))
             y.append(float(k))
     return f, y
 
@@ -172,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Ranker:
     src = docs.where("length(trim(text)) > 0").select("doc_id", "text").join(g, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
 
     def fn(ys: list, texts: list) -> list[list]:
-        return [ys, [doc_features([u.text for u in P.units(P.normalise(t)) if u.prose]) for t in texts]]
+        return [ys, [doc_features([_parts(u) for u in P.units(P.normalise(t)) if u.prose]) for t in texts]]
 
     rows = map_columns(src, ["y", "text"], "y double, f array<double>", fn).where("f IS NOT NULL").collect()
     f, y = _sample_rows()
@@ -188,9 +191,9 @@ def levels(docs: DataFrame, ranker: Ranker, model: Crf, keep: tuple[str, ...] =
         r, m = kept.setdefault("m", bm.value)
         clean = [P.normalise(t) if t and t.strip() else "" for t in texts]
         eng, lev, sc = [], [], []
-        for t, (row, prose) in zip(clean, L.analyse(clean, m)):
+        for row, prose in L.analyse(clean, m):
             english = prose and [k for k, _ in L.languages_of(row)] == ["en"]
-            f = doc_features([t[a:b] for a, b, _, _, ok in row if ok]) if prose else None
+            f = doc_features([_parts(x.unit) for x in row if x.unit.prose]) if prose else None
             eng.append(english)
             k, v = r.level(f) if f else (None, None)
             lev.append(k)
