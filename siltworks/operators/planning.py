@@ -94,3 +94,9 @@ def search_params(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
         three(F.exp(F.log(F.lit(1e-4)) + F.rand(seed + 1) * (F.log(F.lit(0.2)) - F.log(F.lit(1e-4))))).alias("init_std"),
         three(F.exp(F.log(F.lit(1e-4)) + F.rand(seed + 2) * (F.log(F.lit(0.1)) - F.log(F.lit(1e-4))))).alias("lr"),
     )
+
+
+def parameter_count(shapes: DataFrame, name: str = "name", elements: str = "numel", embedding: str = "embedding") -> DataFrame:
+    """All parameters, and those without embeddings, of a table of names and element counts."""
+    n = F.col(elements).cast("long")
+    return shapes.agg(F.sum(n).alias("total"), F.sum(F.when(~F.contains(F.lower(name), F.lit(embedding)), n).otherwise(0)).alias("without_embeddings"))

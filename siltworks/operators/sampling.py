@@ -67,3 +67,12 @@ def round_robin(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
 
 def batch_number(df: DataFrame, order: Sequence[str], rows: int = 10_000) -> DataFrame:
     return row_number(df, order, "_rn").withColumn("batch_id", F.floor((F.col("_rn") - 1) / rows).cast("long")).drop("_rn")
+
+
+def interleaved_budget(df: DataFrame, group: str, order: Sequence[str], size: str, target: int) -> DataFrame:
+    """Groups take turns, row by row, until the total reaches ``target``; the crossing row is kept."""
+    return token_budget(round_robin(df, group, order), ["turn", group], size, target)
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    return df.join(ids.select(key), key, "left_anti")

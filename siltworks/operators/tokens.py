@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from siltworks.functions import text as T
 from siltworks.operators.ordered import row_number, running_total
@@ -62,10 +62,16 @@ def rank_stripe(df: DataFrame, order: Sequence[str], rank: int, world: int) -> D
 
 
 def train_draws(df: DataFrame, seed: int, file_col: str = "doc_id") -> DataFrame:
-    """Windows in the order of seeded draws: uniform over files that are not exhausted, each file in
-    its own order."""
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(file_col).cast("string"), F.col("start").cast("string")))
-    return df.withColumn("draw", F.struct((F.col("start")).alias("turn"), key.alias("tie")))
+    """Adds ``arrival``, whose order draws windows uniformly over the files that are not exhausted,
+    each file from its first window on.
+
+    Every file's windows arrive after independent exponential gaps, seeded by file and window; the
+    next arrival then comes from each unfinished file with equal chance, and no global loop is needed.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(file_col).cast("string"), F.col("start").cast("string"))), 1, 8), 16, 10).cast("double")
+    gap = -F.log((h + 0.5) / F.lit(4294967296.0))
+    w = Window.partitionBy(file_col).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("arrival", F.sum(gap).over(w))
 
 
 def random_windows(df: DataFrame, context: int, seed: int, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:

@@ -15,6 +15,7 @@ from siltworks.functions import html, text as T
 from siltworks.functions.normalize import normalize_text
 from siltworks.operators import dedup, filters, models, ordered, planning, runs, sampling, tokens
 from siltworks.plans import pipeline
+from siltworks.sources import files
 from siltworks.session import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -603,3 +604,73 @@ def union_history(spark: SparkSession, sf: str) -> DataFrame:
     h = table(spark, sf, "run_history")
     t = h.where("train_loss IS NOT NULL").select("run_id", "step", "train_loss")
     return t.unionByName(h.where("eval_loss IS NOT NULL").select("run_id", "step", "eval_loss"), allowMissingColumns=True)
+
+
+# --- selections and names of the acquisition steps ---
+
+
+@query("SELECT doc_id, url FROM documents WHERE NOT contains(url, 'c4') AND NOT contains(url, 'cc')")
+def usable_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return files.usable_urls(docs(spark, sf).select("doc_id", "url"))
+
+
+@query("SELECT string_split(url, '/')[-2] AS type, count(*)::BIGINT AS n, min(url) AS first FROM pages WHERE url IS NOT NULL GROUP BY 1")
+def files_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return files.files_by_type(table(spark, sf, "pages").where("url IS NOT NULL"))
+
+
+@query("SELECT shard, regexp_replace(regexp_extract(shard || '.warc.gz', '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') || '_batch_' || lpad((count(*) // 10)::VARCHAR, 3, '0') || '.txt' AS file FROM documents GROUP BY shard")
+def batch_file_names(spark: SparkSession, sf: str) -> DataFrame:
+    n = docs(spark, sf).groupBy("shard").agg(F.count("*").alias("n"))
+    return n.select("shard", files.batch_name(files.file_stem(F.concat("shard", F.lit(".warc.gz"))), F.expr("n div 10")).alias("file"))
+
+
+@query("SELECT shard, source FROM (SELECT DISTINCT shard, source, listed_at FROM shards WHERE listed_at IS NOT NULL) ORDER BY listed_at DESC, shard LIMIT 1")
+def latest_file(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "shards").where("listed_at IS NOT NULL").select("shard", "source", "listed_at").distinct()
+    return s.orderBy(F.col("listed_at").desc(), "shard").limit(1).select("shard", "source")
+
+
+@query("SELECT shard FROM (SELECT DISTINCT shard FROM shards WHERE shard IS NOT NULL) ORDER BY shard LIMIT 50")
+def first_files(spark: SparkSession, sf: str) -> DataFrame:
+    return files.first_files(table(spark, sf, "shards").where("shard IS NOT NULL").select("shard").distinct(), 50, "shard")
+
+
+@query(
+    f"""SELECT doc_id, source, turn, total_before FROM (SELECT *, {_ORDER_TOTAL.format(v='n', o='turn, source')}::BIGINT AS total_before FROM
+ (SELECT doc_id, source, n, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::BIGINT AS turn FROM {_SIZED})) WHERE total_before < 300000"""
+)
+def interleaved_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.interleaved_budget(sized(spark, sf), "source", ["doc_id"], "n", 300_000).select("doc_id", "source", "turn", "total_before")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)")
+def drop_flagged(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.drop_ids(docs(spark, sf).select("doc_id", "source"), table(spark, sf, "labels").where("toxic = 1"), "doc_id")
+
+
+@query(
+    f"""SELECT doc_id, start, round(sum(-ln(((CAST('0x' || substr(md5('3:' || doc_id || ':' || start), 1, 8) AS BIGINT))::DOUBLE + 0.5) / 4294967296.0)) OVER (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING), 6) AS arrival
+ FROM (SELECT doc_id, unnest(range(0, len(tokens) - 64, 64))::INTEGER AS start FROM {_TOK} WHERE len(tokens) > 64)"""
+)
+def train_draws(spark: SparkSession, sf: str) -> DataFrame:
+    w = tokens.eval_windows(tokenized(spark, sf), 64).select("doc_id", "start")
+    return tokens.train_draws(w, 3).select("doc_id", "start", F.round("arrival", 6).alias("arrival"))
+
+
+@query("SELECT sum(numel)::BIGINT AS total, sum(CASE WHEN NOT contains(lower(name), 'embedding') THEN numel ELSE 0 END)::BIGINT AS without_embeddings FROM (VALUES ('token_embeddings.weight', 25728640), ('layers.0.attn.weight', 1048576), ('layers.0.ffn.w1.weight', 1441792), ('lm_head.weight', 25728640)) t(name, numel)")
+def nonembedding_params(spark: SparkSession, sf: str) -> DataFrame:
+    """An inline table of names and element counts; no table holds one."""
+    rows = [("token_embeddings.weight", 25728640), ("layers.0.attn.weight", 1048576), ("layers.0.ffn.w1.weight", 1441792), ("lm_head.weight", 25728640)]
+    return planning.parameter_count(spark.createDataFrame(rows, "name string, numel long"))
+
+
+@query("SELECT run_id, step, (step::BIGINT * 262144) // 524288 AS warmup FROM run_history WHERE step IS NOT NULL")
+def warmup_steps(spark: SparkSession, sf: str) -> DataFrame:
+    h = table(spark, sf, "run_history").where("step IS NOT NULL")
+    return h.select("run_id", "step", planning.warmup_steps(F.col("step").cast("long") * 262144, F.lit(524288)).alias("warmup"))
+
+
+@query()
+def search_params(spark: SparkSession, sf: str) -> DataFrame:
+    return planning.search_params(spark, 30, 42)

@@ -80,3 +80,33 @@ def write_labels(df: DataFrame, path: str, label: str = "label", text: str = "te
 
 def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
+
+
+def write_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> None:
+    """One folder per document, named by its id."""
+    df.select(F.col(id_col), F.col(text).alias("value")).write.mode("overwrite").partitionBy(id_col).option("lineSep", "\n").text(path)
+
+
+def write_split(df: DataFrame, path: str, split: str = "split", text: str = "value") -> None:
+    """One folder per part of a split."""
+    df.select(F.col(split), F.col(text).alias("value")).write.mode("overwrite").partitionBy(split).text(path)
+
+
+def batch_name(stem: "F.Column", number: "F.Column") -> "F.Column":
+    """``<stem>_batch_NNN.txt``."""
+    return F.concat(stem, F.lit("_batch_"), F.lpad(number.cast("string"), 3, "0"), F.lit(".txt"))
+
+
+def file_stem(path: "F.Column") -> "F.Column":
+    """The file's name without folders and its last extension."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(.)\.[^.]*$", "$1")
+
+
+def existing(df: DataFrame, listing: DataFrame, col: str = "path") -> DataFrame:
+    """Rows whose file is in the listing."""
+    return df.join(listing.select(col).distinct(), col, "left_semi")
+
+
+def files_by_type(df: DataFrame, url: str = "url") -> DataFrame:
+    """Number of files and first file per type of URL."""
+    return df.withColumn("type", url_type(url)).groupBy("type").agg(F.count("*").alias("n"), F.min(url).alias("first"))

@@ -83,3 +83,18 @@ def test_windows(spark):
     assert {r.doc_id: r.batch for r in tokens.batches(d, ["doc_id"], 3, 1).collect()} == {1: 0, 2: 0, 3: 0}
     e = tokens.encode(d.selectExpr("doc_id", "if(doc_id = 3, '', 'a b c') AS text"), lambda ts: [[len(w) for w in t.split()] for t in ts], max_length=2)
     assert {r.id: r.tokens for r in e.collect()} == {1: [1, 1], 2: [1, 1], 4: [1, 1]}
+
+
+def test_draws_keep_each_files_order(spark):
+    d = spark.createDataFrame([(f, i * 4) for f in range(5) for i in range(20)], "doc_id long, start int")
+    r = tokens.train_draws(d, 1).orderBy("arrival").collect()
+    for f in range(5):
+        assert [x.start for x in r if x.doc_id == f] == [i * 4 for i in range(20)]
+    assert len({x.doc_id for x in r[:20]}) > 2
+    assert [x.arrival for x in tokens.train_draws(d, 1).orderBy("arrival").collect()] == [x.arrival for x in r]
+
+
+def test_interleaving(spark):
+    d = spark.createDataFrame([(i, "ab"[i % 2] if i < 6 else "a", 10) for i in range(10)], "doc_id long, g string, n long")
+    got = [(r.g, r.turn) for r in sampling.interleaved_budget(d, "g", ["doc_id"], "n", 55).orderBy("turn", "g").collect()]
+    assert got == [("a", 0), ("b", 0), ("a", 1), ("b", 1), ("a", 2), ("b", 2)]

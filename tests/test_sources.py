@@ -62,3 +62,16 @@ def test_stream_equals_batch(spark, tiny, tmp_path):
     q = clean_stream(spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))).select("doc_id").writeStream.format("memory").queryName("clean_rows").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r[0] for r in spark.table("clean_rows").collect()) == sorted(r[0] for r in clean_stream(src).select("doc_id").collect())
+
+
+def test_split_names_and_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(1, "train", "a"), (2, "valid", "b"), (3, "train", "c")], "doc_id long, split string, value string")
+    files.write_split(d, str(tmp_path / "s"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "s" / "split=train")).collect()) == ["a", "c"]
+    files.write_documents(d.withColumnRenamed("value", "text"), str(tmp_path / "d"))
+    assert spark.read.text(str(tmp_path / "d" / "doc_id=2"), wholetext=True).first()[0].strip() == "b"
+    p = spark.createDataFrame([("/x/y/CC-1.warc.wet.gz",), ("plain",)], "path string")
+    assert [r[0] for r in p.select(files.batch_name(files.file_stem(F.col("path")), F.lit(7))).collect()] == ["CC-1.warc.wet_batch_007.txt", "plain_batch_007.txt"]
+    assert files.existing(p, p.limit(1)).count() == 1
