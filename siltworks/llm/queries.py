@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltworks.llm import garbled, language, mixing, packing, partenum, personal, prose, reading, toxic, wrappers
+from siltworks.plans import catalog
 from siltworks.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +55,12 @@ def p2_languages(spark: SparkSession, sf: str) -> DataFrame:
     return language.detect(docs, language.train(docs)).select("doc_id", "lang", "confidence", "langs", "segments")
 
 
+# Every pair that shares a sequence, counted by a plain join: fit for small tables only.
+SQL["p4_found"] = f"""WITH e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM {catalog._SETS} WHERE len(s) > 0),
+ i AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+ SELECT doc_id_a, doc_id_b FROM i WHERE i::DOUBLE / (na + nb - i)::DOUBLE >= 0.8"""
+
+
 @query
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return partenum.found(table(spark, sf, "documents"))

@@ -62,6 +62,8 @@ for _k, _ws in (("G", GROUPS), ("V", VIOLENT), ("S", SEXUAL), ("I", INSULTS)):
 _REPORT, _SECOND = frozenset(REPORT), frozenset(SECOND)
 
 _SPELLED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_*]){2,}[^\W\d_](?!\w)")
+# What every spelled-out word holds, and little else does.
+_SPELL_HINT = re.compile(r"[.\-_*][^\W\d_][.\-_*]")
 _TOKEN = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_*]){2,}[^\W\d_](?!\w)|\w+(?:[*@$#]+\w*)*|[*@$#]+\w+|[^\w\s]")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 
@@ -104,7 +106,7 @@ _FAST = re.compile(r"\w+(?:[*@$#]+\w*)*|[*@$#]+\w+|[^\w\s]")
 
 
 def tokens(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m.group()) for m in (_TOKEN if _SPELLED.search(text) else _FAST).finditer(text)]
+    return [(m.start(), m.end(), m.group()) for m in (_TOKEN if _SPELL_HINT.search(text) and _SPELLED.search(text) else _FAST).finditer(text)]
 
 
 _MASKED = re.compile(r"[*@$#]")
@@ -121,10 +123,10 @@ def words_of(text: str, spelled: bool = True, masked: bool = True) -> list[str]:
 def pieces(text: str) -> list[tuple[int, int]]:
     """Sentences, cut at blank lines too."""
     out, at = [], 0
-    for para in re.split(r"(\n[ \t]*\n)", text):
-        if para.strip():
+    for para in text.split("\n\n"):
+        if para:
             out += [(at + a, at + b) for a, b in P.sentences(para)]
-        at += len(para)
+        at += len(para) + 2
     return out
 
 
@@ -157,7 +159,7 @@ def position_features(p2: str, p: str, c: str, n: str, fl: str) -> list[str | in
 class Tagger:
     """The fitted field, with emissions assembled from cached parts."""
 
-    BITS = 18
+    BITS = 17
 
     def __init__(self) -> None:
         self.crf = Crf(["ok", "toxic"], lambda key: position_features(*key.split("\x00")), bits=self.BITS)
@@ -171,7 +173,7 @@ class Tagger:
         return ["\x00".join((w[i], w[i + 1], w[i + 2], w[i + 3], fl)) for i in range(len(words))]
 
     def fit(self, data: list[tuple[list[str], list[int]]]) -> "Tagger":
-        self.crf.fit([self.keys(w) for w, _ in data], [t for _, t in data], epochs=8, rate=0.5, batch=512)
+        self.crf.fit([self.keys(w) for w, _ in data], [t for _, t in data], epochs=6, rate=0.5, batch=512)
         return self
 
     def _sum(self, *names: str) -> float:
@@ -371,7 +373,7 @@ def score_texts(texts: list[str | None], tagger: Tagger) -> list[tuple[float, li
     for i, t in enumerate(texts):
         t = P.normalise(t) if t and t.strip() else ""
         clean.append(t)
-        spelled, masked = bool(_SPELLED.search(t)), bool(_MASKED.search(t))
+        spelled, masked = bool(_SPELL_HINT.search(t)), bool(_MASKED.search(t))
         for a, b in pieces(t):
             ws = words_of(t[a:b], spelled, masked)
             if len(ws) >= 3 and sum(map(str.isalpha, ws)) >= 2:
