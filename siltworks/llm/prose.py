@@ -36,8 +36,9 @@ CJK = "㐀-鿿豈-﫿"
 _CJK = re.compile(f"[{CJK}]")
 _CJK_RUN = re.compile(f"[{CJK}]+")
 WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
+_LOW_ASCII = re.compile(r"[a-z0-9]+(?:['\-][a-z0-9]+)*")
 # Ends of sentences: closing marks may follow; an abbreviation is handled by the caller.
-_END = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?=\s|$)|(?<=[。！？])[”’」』]?")
+_END = re.compile(r"[.!?…][\"'”’»)\]]*(?=\s|$)|[。！？][”’」』]?")
 _BULLET = re.compile(r"^\s*(?:[-*•·‣▪◦–—]|\(?\d{1,4}[.):,]|\(?[a-z][.)])\s+")
 _TABLE = re.compile(r"\|.*\||\t|;[^;\n]*;|,[^,\n\s]*,[^,\n\s]*,|\S {3,}\S")
 _CODE = re.compile(
@@ -127,8 +128,10 @@ def count_words(s: str) -> int:
 def _sentence_stats(s: str) -> tuple[int, int, bool, int, list[str]]:
     """Words, common words, whether the form is that of a running sentence, misfitting pairs, and the
     words in lower case."""
-    low = list(map(str.lower, WORD.findall(s)))
-    cjk = 0 if s.isascii() else sum(map(len, _CJK_RUN.findall(s)))
+    if s.isascii():
+        low, cjk = _LOW_ASCII.findall(s.lower()), 0
+    else:
+        low, cjk = WORD.findall(s.lower()), sum(map(len, _CJK_RUN.findall(s)))
     if cjk > 4:
         common = sum(c in _ZH_COMMON for c in s)
         return count_words(s), common, bool(_CLOSED.search(s)) and common * 40 >= cjk, 0, low
