@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, NaiveBayesModel
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltworks.functions import text as T
@@ -36,7 +37,7 @@ def train_text_classifier(rows: DataFrame, label: str = "label", text: str = "te
 
 def train_language_id(rows: DataFrame, label: str = "lang", text: str = "text") -> PipelineModel:
     """Character trigrams, hashed, with naive Bayes, on at most ``TRAIN_ROWS`` rows."""
-    chars = F.expr(f"regexp_replace(lower(substring({text}, 1, 4000)), '(?s)(.)', '$1 ')")
+    chars = F.expr(f"regexp_replace(lower({text}), '(?s)(.)', '$1 ')")
     data = rows.where(F.col(label).isNotNull() & (F.length(text) > 20)).select(label, chars.alias("c")).orderBy(F.md5("c")).limit(TRAIN_ROWS)
     return Pipeline(
         stages=[
@@ -50,11 +51,10 @@ def train_language_id(rows: DataFrame, label: str = "lang", text: str = "text")
 
 
 def predict(model: PipelineModel, df: DataFrame, text: str = "text", name: str = "pred") -> DataFrame:
-    """Adds a struct of the best label and its probability."""
+    """Adds a struct of the best label and its probability; rows without text are left out."""
     labels = model.stages[0].labels
-    from pyspark.ml.functions import vector_to_array
-
-    src = df.withColumn("c", F.expr(f"regexp_replace(lower({text}), '(?s)(.)', '$1 ')")) if isinstance(model.stages[-1].__class__.__name__, str) and "NaiveBayes" in model.stages[-1].__class__.__name__ else df.withColumn(text, one_line(text))
+    by_character = isinstance(model.stages[-1], NaiveBayesModel)
+    src = df.withColumn("c", F.expr(f"regexp_replace(lower({text}), '(?s)(.)', '$1 ')")) if by_character else df.withColumn(text, one_line(text))
     stages = PipelineModel(model.stages[1:])
     out = stages.transform(src.where(F.col(text).isNotNull()))
     p = vector_to_array("probability")
