@@ -75,7 +75,7 @@ def decode(raw: bytes) -> str:
         return raw.decode("utf-8")
     except UnicodeDecodeError:
         pass
-    m = re.search(rb"charset\s*=\s*[\"']?([\w-]+)", raw[:2048], re.I)
+    m = re.search(rb"charset\s*=\s*[\"']?([\w-]+)", raw, re.I)
     for c in ([m.group(1).decode("ascii", "replace")] if m else []) + ["gb18030", "cp1252"]:
         try:
             if c.lower() not in ("utf-8", "utf8"):
