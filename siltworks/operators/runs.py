@@ -16,7 +16,6 @@ def parse_log(df: DataFrame, line: str = "line") -> DataFrame:
     p = F.split(head, ", ")
     f = df.where(F.startswith(F.col(line), F.lit("Training step"))).select(
         *[c for c in df.columns if c != line],
-        F.expr("1").alias("_one"),
         F.try_element_at(F.split(F.get(p, F.lit(0)), " "), F.lit(-1)).alias("_a"),
         F.try_element_at(F.split(F.get(p, F.lit(1)), ": "), F.lit(-1)).alias("_b"),
         F.try_element_at(F.split(F.get(p, F.lit(2)), ": "), F.lit(-1)).alias("_c"),
@@ -25,7 +24,7 @@ def parse_log(df: DataFrame, line: str = "line") -> DataFrame:
     out = f.withColumn("step", F.expr("try_cast(_a as bigint)"))
     for name, src in (("train_loss", "_b"), ("smoothed_loss", "_c"), ("lr", "_d")):
         out = out.withColumn(name, F.expr(f"try_cast({src} as double)"))
-    return out.where("step IS NOT NULL AND train_loss IS NOT NULL AND smoothed_loss IS NOT NULL AND lr IS NOT NULL").drop("_one", "_a", "_b", "_c", "_d")
+    return out.where("step IS NOT NULL AND train_loss IS NOT NULL AND smoothed_loss IS NOT NULL AND lr IS NOT NULL").drop("_a", "_b", "_c", "_d")
 
 
 def last_match(x: Column | str, pattern: str) -> Column:
