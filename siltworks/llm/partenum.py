@@ -33,6 +33,8 @@ N = 5
 THRESHOLD = 0.8
 N2, K2 = 4, 2
 CELLS = 64
+#: Bits of a document's number within a block, and most bits of a hash range.
+_WHO, MAX_BITS = 13, 18
 _COMBOS = list(itertools.combinations(range(N2), N2 - K2))
 _COMBO_ARRAY = np.array(_COMBOS)
 
@@ -114,10 +116,13 @@ _BLOCK_DDL = "bucket int, ids binary, counts binary, sigs binary, sketches binar
 
 
 def _blocks(bits: int, threshold: float):
+    # With more hash ranges, more documents go into a block, so that its rows stay of a good size.
+    size = min(1 << _WHO, 512 << max(0, bits - 7))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                x = b.slice(at, 512)
+            for at in range(0, b.num_rows, size):
+                x = b.slice(at, size)
                 ids, sets = [], []
                 for i, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
                     s = shingle_hashes(normalize_one(t), N) if t else ()
@@ -131,8 +136,8 @@ def _blocks(bits: int, threshold: float):
                 bucket = (sig >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(sig), np.int32)
                 rest = (sig >> np.uint64(32 - bits)).astype(np.uint32)
                 # Hash range, set and remainder in one number, sorted at once.
-                key = np.sort((bucket.astype(np.uint64) << np.uint64(41)) | (who.astype(np.uint64) << np.uint64(32)) | rest.astype(np.uint64))
-                bucket, who, rest = (key >> np.uint64(41)).astype(np.int32), ((key >> np.uint64(32)) & np.uint64(511)).astype(np.int64), key.astype(np.uint32)
+                key = np.sort((bucket.astype(np.uint64) << np.uint64(32 + _WHO)) | (who.astype(np.uint64) << np.uint64(32)) | rest.astype(np.uint64))
+                bucket, who, rest = (key >> np.uint64(32 + _WHO)).astype(np.int32), ((key >> np.uint64(32)) & np.uint64((1 << _WHO) - 1)).astype(np.int64), key.astype(np.uint32)
                 home = (mix64(idv.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(idv), np.int32)
                 cols: list[list] = [[], [], [], [], [], []]
                 edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
@@ -252,7 +257,7 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     reps = base.join(member.where("id <> rep").select("id"), "id", "left_anti")
     # Hash ranges grow with the session's shuffle width, and so with the data.
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(20, max(4, int(np.ceil(np.log2(4 * width)))))
+    bits = min(MAX_BITS, max(4, int(np.ceil(np.log2(4 * width)))))
     blocks = reps.mapInArrow(_blocks(bits, threshold), _BLOCK_DDL)
     found = durable(blocks.groupBy("bucket").applyInArrow(_candidates, "a long, b long, n int, sk binary"))
     pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
