@@ -327,7 +327,7 @@ def table_repair(p: str, model: CharModel, margin: float) -> str:
     """Reverse a wrong one-byte table over a whole paragraph, if its spans together gain three
     times the margin and every span can be reversed."""
     whole = undo_single_byte(p) if _NEEDS_TABLE.search(p) else None
-    if whole is not None and model.logp(whole[:600]) / len(whole[:600]) > model.logp(p[:600]) / len(p[:600]) + 0.5:
+    if whole is not None and model.logp(whole) / len(whole) > model.logp(p) / len(p) + 0.5:
         return whole
     spans = [(m.group(), p[max(0, m.start() - 2) : m.start()], p[m.end() : m.end() + 2]) for m in NONASCII.finditer(p)]
     keep = None
