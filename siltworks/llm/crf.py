@@ -110,6 +110,7 @@ class Crf:
         self.start = np.zeros(k)
         self.index: dict[str, int] = {}
         self.table = np.zeros((1024, k), dtype=np.float32)
+        self.size: list[int] = []  # letters of each word of the table, 0 for numbers
 
     def ids(self, words: Sequence[str]) -> list[int]:
         """Rows of the emission table; a word met first is scored and added."""
@@ -127,14 +128,15 @@ class Crf:
             j = self.index[w] = len(self.index)
             if j >= len(self.table):
                 self.table = np.concatenate([self.table, np.zeros((max(1024, len(self.table)), len(self.labels)), dtype=np.float32)])
+            self.size.append(0 if w[0].isdigit() else len(w))
             self.table[j] = self.w[feature_ids(self.features(w), self.bits)].sum(0)
         return j
 
-    def marginals(self, seqs: Sequence[Sequence[str]], cells: int = 150_000) -> np.ndarray:
+    def marginals(self, seqs: Sequence[Sequence[str]], cells: int = 150_000) -> tuple[np.ndarray, np.ndarray]:
         """Label marginals of all tokens of all sequences end to end (whole sequences, whatever their
-        length)."""
+        length), and the tokens' sizes."""
         if len(self.index) > 400_000:
-            self.index = {}
+            self.index, self.size = {}, []
         size = np.array([len(s) for s in seqs], dtype=np.int64)
         at = np.concatenate([[0], np.cumsum(size)])
         flat = np.array(self.ids([w for s in seqs for w in s]), dtype=np.int64)
@@ -154,7 +156,7 @@ class Crf:
             m = posterior(self.table[flat[place]], n, self.trans, self.start)
             out[place[inside]] = m[inside]
             a = b
-        return out
+        return out, np.array(self.size, dtype=np.float32)[flat]
 
     def fit(self, seqs: Sequence[Sequence[str]], tags: Sequence[Sequence[int]], epochs: int = 6, rate: float = 0.5, l2: float = 1e-6, batch: int = 64, seed: int = 7) -> "Crf":
         """Maximise the conditional likelihood with Adagrad over batches of sequences."""
@@ -225,8 +227,8 @@ class Crf:
                 gs += ds * ds
                 self.start += rate * ds / np.sqrt(gs)
         self.w = w.astype(np.float32)
-        self.index = {}
+        self.index, self.size = {}, []
         return self
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"index": {}, "table": self.table[:1024]}
+        return self.__dict__ | {"index": {}, "size": [], "table": self.table[:1024]}

@@ -137,8 +137,9 @@ class Sentence(NamedTuple):
     confidence: float
 
 
-def analyse(texts: list[str], model: Crf) -> list[tuple[list[Sentence], bool]]:
-    """Per text its sentences, and whether running sentences hold half of its words."""
+def analyse(texts: list[str], model: Crf, prose_only: bool = False) -> list[tuple[list[Sentence], bool]]:
+    """Per text its sentences, and whether running sentences hold half of its words; with
+    ``prose_only`` other texts are not labelled."""
     out: list[tuple[list[Sentence], bool]] = []
     seqs: list[list[str]] = []
     home: list[tuple[int, P.Unit]] = []
@@ -146,7 +147,10 @@ def analyse(texts: list[str], model: Crf) -> list[tuple[list[Sentence], bool]]:
     n_tokens = 0
     for i, t in enumerate(texts):
         us, n = P.segment(t)
-        out.append(([], n > 0 and 2 * sum(u.words for u in us if u.prose) >= n))
+        prose = n > 0 and 2 * sum(u.words for u in us if u.prose) >= n
+        out.append(([], prose))
+        if prose_only and not prose:
+            continue
         if not us and t.strip():
             us = [P.Unit(0, len(t), t, 0, False, tokens(t))]
         toks: list[str] = []
@@ -160,9 +164,9 @@ def analyse(texts: list[str], model: Crf) -> list[tuple[list[Sentence], bool]]:
         seqs.append(toks)
     if not cut:
         return out
-    # Numbers carry no language.
-    weight = np.array([0 if w[0].isdigit() else len(w) for s in seqs for w in s], dtype=np.float32)
-    votes = np.add.reduceat(model.marginals(seqs) * weight[:, None], cut, axis=0)
+    # Words vote by their letters; numbers carry no language.
+    marginals, weight = model.marginals(seqs)
+    votes = np.add.reduceat(marginals * weight[:, None], cut, axis=0)
     size = votes.sum(axis=1)
     best = votes.argmax(axis=1).tolist()
     sure = (votes.max(axis=1) / np.maximum(size, 1e-9)).tolist()
@@ -235,7 +239,7 @@ def found(docs: DataFrame) -> DataFrame:
         m = kept.setdefault("m", bm.value)
         clean = [P.normalise(t) for t in texts]
         oi, ol = [], []
-        for i, s, (row, prose) in zip(ids, stated, analyse(clean, m)):
+        for i, s, (row, prose) in zip(ids, stated, analyse(clean, m, prose_only=True)):
             if not prose:
                 continue
             ks = {k for k, _ in languages_of(row)}

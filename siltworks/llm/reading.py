@@ -8,7 +8,8 @@ is that of most of the text.
 At most ``TRAIN_ROWS`` graded documents are used for fitting, with a few graded sample texts so that
 tiny tables still give a usable model.
 
-Defined results: null or blank text, and text without running sentences, has a null level; ratings
+Defined results: text that is not running prose wholly in English (null and blank text too) has a
+null level, for the ranker knows English only; ratings
 of one document are averaged; an empty table gives no rows.
 """
 
@@ -191,9 +192,9 @@ def levels(docs: DataFrame, ranker: Ranker, model: Crf, keep: tuple[str, ...] =
         r, m = kept.setdefault("m", bm.value)
         clean = [P.normalise(t) if t and t.strip() else "" for t in texts]
         eng, lev, sc = [], [], []
-        for row, prose in L.analyse(clean, m):
+        for row, prose in L.analyse(clean, m, prose_only=True):
             english = prose and [k for k, _ in L.languages_of(row)] == ["en"]
-            f = doc_features([_parts(x.unit) for x in row if x.unit.prose]) if prose else None
+            f = doc_features([_parts(x.unit) for x in row if x.unit.prose]) if english else None
             eng.append(english)
             k, v = r.level(f) if f else (None, None)
             lev.append(k)

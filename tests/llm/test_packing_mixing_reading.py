@@ -64,10 +64,10 @@ def test_levels(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, reading_level string")
     labels = spark.createDataFrame([], "doc_id long, reading_level int")
     ranker = R.train(d, labels)
-    model = L.fit([(k, " ".join([t] * 3)) for k, t in PROSE.items()] * 3)
+    model = L.fit([(k, " ".join([t] * 3)) for k, t in PROSE.items()] * 3 + [("en", hard + " The results of the study were not what they had been said to be.")] * 3)
     got = {r.doc_id: (r.english_prose, r.reading_level) for r in R.levels(d, ranker, model).collect()}
-    assert got[1] == (True, 1) and got[2] == (True, 2) and got[3][1] == 3
-    assert got[4][0] is False and got[5] == (False, None) and got[6] == (False, None)
+    assert got[1] == (True, 1) and got[2] == (True, 2) and got[3] == (True, 3)
+    assert got[4] == (False, None) and got[5] == (False, None) and got[6] == (False, None)
     assert R.levels(d.limit(0), ranker, model).count() == 0
 
 
