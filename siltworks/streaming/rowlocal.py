@@ -1,4 +1,4 @@
-"""Row-local filters on streams.  The reference has no streaming; these are the batch expressions,
+"""Row-local filters on streams: an extension.  These are the batch expressions,
 which hold no state and so apply to a stream unchanged."""
 
 from __future__ import annotations
