@@ -89,7 +89,7 @@ def lexicon_language(text: str) -> str | None:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Crf:
     code = F.lower(F.substring(F.trim(F.col(lang_col)), 1, 2))
-    src = docs.select(code.alias("k"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h")).where(F.col("k").isin(LANGUAGES) & (F.length(F.trim("t")) > 200))
+    src = docs.select(code.alias("k"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h")).where(F.col("k").isin(LANGUAGES) & (F.octet_length("t") > 200))
     # The window is a bounded top-k per language: Spark prunes each partition before the shuffle.
     top = src.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("h"))).where(F.col("r") <= 2 * TRAIN_ROWS)
     rows = top.select("k", "t", "h").collect()

@@ -173,10 +173,10 @@ def _sample_rows() -> tuple[list[list[float]], list[float]]:
 
 def train(docs: DataFrame, labels: DataFrame) -> Ranker:
     g = labels.where("reading_level BETWEEN 1 AND 3").groupBy("doc_id").agg(F.avg("reading_level").alias("y"))
-    src = docs.where("length(trim(text)) > 0").select("doc_id", "text").join(g, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    src = docs.select("doc_id", "text").join(g, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
 
     def fn(ys: list, texts: list) -> list[list]:
-        return [ys, [doc_features([_parts(u) for u in P.units(P.normalise(t)) if u.prose]) for t in texts]]
+        return [ys, [doc_features([_parts(u) for u in P.units(P.normalise(t or "")) if u.prose]) for t in texts]]
 
     rows = map_columns(src, ["y", "text"], "y double, f array<double>", fn).where("f IS NOT NULL").collect()
     f, y = _sample_rows()
@@ -207,7 +207,7 @@ def levels(docs: DataFrame, ranker: Ranker, model: Crf, keep: tuple[str, ...] =
 
 
 def found(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    src = docs.where("length(trim(text)) > 0")
+    src = docs.where("text IS NOT NULL")
     return levels(src, train(docs, labels), L.train(docs)).where("english_prose AND reading_level IS NOT NULL").select("doc_id", "reading_level").distinct()
 
 
