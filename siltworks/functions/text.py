@@ -6,7 +6,7 @@ in Java's regular expressions and in RE2.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # White space of Python's str.split; fixed value.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -82,3 +82,13 @@ def with_end_marker(x: Column | str) -> Column:
 def label_line(label: Column | str, x: Column | str) -> Column:
     """``__label__L text`` on one line."""
     return F.concat(F.lit("__label__"), _c(label), F.lit(" "), _c(x))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds (or replaces) columns that are computed exactly once per row.
+
+    A generator of one row keeps the optimizer from copying a costly expression into every place
+    that uses its column, filters among them.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -194,20 +194,26 @@ def greedy_edges(df: DataFrame, id_col: str = "doc_id", text: str = "text", scop
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("scope", pa.string()), ("band", pa.int32()), ("bucket", pa.int64())])
         for b in batches:
-            ids, sc, bands, keys = [], [], [], []
-            for i, t, s in zip(*(b.column(k).to_pylist() for k in range(3))):
-                m = _word_sketch(t or "")
-                if m is None:
-                    m = np.zeros(PERMUTATIONS, np.uint64)
-                for k in range(BANDS):
-                    key = np.uint64(k + 1)
-                    for v in m[k * ROWS : (k + 1) * ROWS]:
-                        key = mix64(np.array([key ^ v]))[0]
-                    ids.append(i)
-                    sc.append(s)
-                    bands.append(k)
-                    keys.append(int(key) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sc, pa.string()), pa.array(bands, pa.int32()), pa.array(keys, pa.int64())], schema=schema)
+            if not b.num_rows:
+                continue
+            none = np.zeros(PERMUTATIONS, np.uint64)
+            m = np.stack([none if (x := _word_sketch(t or "")) is None else x for t in b.column(1).to_pylist()])
+            keys = []
+            for k in range(BANDS):
+                key = np.full(len(m), k + 1, dtype=np.uint64)
+                for v in m[:, k * ROWS : (k + 1) * ROWS].T:
+                    key = mix64(key ^ v)
+                keys.append(key.astype(np.int64))
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([b.column(0)] * BANDS),
+                    pa.concat_arrays([b.column(2)] * BANDS),
+                    pa.array(np.repeat(np.arange(BANDS, dtype=np.int32), n)),
+                    pa.array(np.concatenate(keys)),
+                ],
+                schema=schema,
+            )
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"), (F.col(scope) if scope else F.lit(None)).cast("string").alias("scope"))
     b = durable(src.mapInArrow(run, "id long, scope string, band int, bucket long"))

@@ -36,18 +36,16 @@ def quality_stats(df: DataFrame, text: str = "text") -> DataFrame:
 
     The reason is the first rule that fails; empty texts fail the first.  Limits themselves pass.
     """
-    ws = T.words(text)
-    lines = F.split(F.col(text), "\n")
-    d = df.withColumn("_w", ws).withColumn("_l", lines)
+    d = T.once(df, _w=T.words(text), _l=F.split(F.col(text), "\n"))
     n = F.size("_w").cast("long")
     chars = F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.length(w))
-    d = (
-        d.withColumn("n_words", n)
-        .withColumn("mean_word_len", F.try_divide(chars.cast("double"), n.cast("double")))
-        .withColumn("ellipsis_frac", F.size(F.filter("_l", lambda x: F.endswith(x, F.lit("...")))).cast("double") / F.size("_l").cast("double"))
-        .withColumn("alpha_frac", F.try_divide(F.size(F.filter("_w", lambda w: F.rlike(w, F.lit(r"^\p{L}+$")))).cast("double"), n.cast("double")))
-        .drop("_w", "_l")
-    )
+    d = T.once(
+        d,
+        n_words=n,
+        mean_word_len=F.try_divide(chars.cast("double"), n.cast("double")),
+        ellipsis_frac=F.size(F.filter("_l", lambda x: F.endswith(x, F.lit("...")))).cast("double") / F.size("_l").cast("double"),
+        alpha_frac=F.try_divide(F.size(F.filter("_w", lambda w: F.rlike(w, F.lit(r"^\p{L}+$")))).cast("double"), n.cast("double")),
+    ).drop("_w", "_l")
     reason = (
         F.when(F.col("n_words") < MIN_WORDS, "few_words")
         .when(F.col("n_words") > MAX_WORDS, "many_words")

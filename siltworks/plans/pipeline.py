@@ -11,14 +11,14 @@ from siltworks.session import durable
 
 def clean_documents(docs: DataFrame, languages: tuple[str, ...] = filters.LANGUAGES) -> DataFrame:
     """Flatten, length, language, masks and quality rules, in JVM expressions throughout."""
-    d = docs.withColumn("text", T.flatten("text")).where(filters.long_enough(F.col("text")) & F.col("lang").isin(*languages))
-    return filters.quality_stats(d.withColumn("text", T.mask_all("text"))).where("passes")
+    d = T.once(docs.where(F.col("lang").isin(*languages)), text=T.flatten("text")).where(filters.long_enough(F.col("text")))
+    return filters.quality_stats(T.once(d, text=T.mask_all("text"))).where("passes")
 
 
 def crawl_pipeline(docs: DataFrame, file_col: str, verdicts: DataFrame | None = None) -> DataFrame:
     """Cleaned documents that the given verdicts (``doc_id, keep``) allow and that do not repeat
     themselves, deduplicated by file and then over all."""
-    d = clean_documents(docs)
+    d = durable(clean_documents(docs))
     if verdicts is not None:
         d = d.join(verdicts.where("keep").select("doc_id"), "doc_id", "left_semi")
     rep = filters.repetition_stats(d).where("NOT repetitive").select("doc_id")

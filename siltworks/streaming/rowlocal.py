@@ -11,5 +11,5 @@ from siltworks.operators import filters
 
 def clean_stream(docs: DataFrame) -> DataFrame:
     """Flattened, long enough, masked and passing the quality rules; batch or streaming."""
-    d = docs.withColumn("text", T.flatten("text")).where(filters.long_enough(F.col("text")))
-    return filters.quality_stats(d.withColumn("text", T.mask_all("text"))).where("passes")
+    d = T.once(docs, text=T.flatten("text")).where(filters.long_enough(F.col("text")))
+    return filters.quality_stats(T.once(d, text=T.mask_all("text"))).where("passes")
