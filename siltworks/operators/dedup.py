@@ -38,7 +38,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
 def shingles(df: DataFrame, n: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, grams``: the set of word ``n``-grams of the normalised text."""
     norm = df.select(F.col(id_col).alias("id"), normalize_text(text).alias("_n"))
-    return norm.select("id", T.ngram_set(F.filter(F.split("_n", " "), lambda w: w != ""), n).alias("grams"))
+    return T.once(norm, grams=T.ngram_set(F.filter(F.split("_n", " "), lambda w: w != ""), n)).select("id", "grams")
 
 
 def hashed_sets(df: DataFrame, n: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,12 +140,12 @@ def fuzzy_dedup(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str =
 
 def minhash(df: DataFrame, seeds: int, n: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, seed, value``: the least MD5 of ``seed:gram`` over each document's shingles."""
-    g = shingles(df, n, id_col, text).select("id", F.explode("grams").alias("g"))
-    return (
-        g.select("id", "g", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
-        .groupBy("id", "seed")
-        .agg(F.min(F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("g")))).alias("value"))
+    # A document's shingles are in its own row, so the minima need no shuffle.
+    least = F.transform(
+        F.sequence(F.lit(0), F.lit(seeds - 1)),
+        lambda k: F.struct(k.alias("seed"), F.array_min(F.transform("grams", lambda g: F.md5(F.concat(k.cast("string"), F.lit(":"), g)))).alias("value")),
     )
+    return shingles(df, n, id_col, text).where(F.size("grams") > 0).select("id", F.inline(least))
 
 
 def lsh_candidates(signatures: DataFrame, seeds: int, bands: int) -> DataFrame:

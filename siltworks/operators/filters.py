@@ -57,18 +57,21 @@ def quality_stats(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def repetition_stats(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = 3, threshold: float = 0.3) -> DataFrame:
-    """``id, total, distinct_n, max_freq, repetitive`` per document, from its word ``n``-grams.
+    """``id, total, distinct_n, max_freq, repetitive`` per row, from its word ``n``-grams.
 
-    Counting is a two-level hash aggregation; texts under ten normalised characters, or without
-    ``n``-grams, are not repetitive.
+    A document's sequences are counted within its row, by runs in sorted order, without a shuffle.
+    Texts under ten normalised characters, or without ``n``-grams, are not repetitive.
     """
     norm = df.select(F.col(id_col), normalize_text(text).alias("_n"))
-    grams = norm.select(id_col, F.explode(T.ngrams(F.filter(F.split("_n", " "), lambda w: w != ""), n)).alias("g"))
-    per = (
-        grams.groupBy(id_col, "g").agg(F.count("*").alias("c"))
-        .groupBy(id_col).agg(F.sum("c").alias("total"), F.count("*").alias("distinct_n"), F.max("c").alias("max_freq"))
-    )
-    j = norm.select(id_col, F.length("_n").alias("_len")).join(per, id_col, "left").na.fill(0, ["total", "distinct_n", "max_freq"])
+    d = T.once(norm, _len=F.length("_n"), _g=F.array_sort(T.ngrams(F.filter(F.split("_n", " "), lambda w: w != ""), n)))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit("").alias("last"), zero.alias("run"), zero.alias("best"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(x == acc["last"], acc["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+
+    j = T.once(d, total=F.size("_g").cast("long"), distinct_n=F.size(F.array_distinct("_g")).cast("long"), max_freq=F.aggregate("_g", start, step, lambda a: a["best"]))
     flag = (F.col("_len") >= 10) & (F.col("total") > 0) & (
         (F.try_divide(F.col("distinct_n").cast("double"), F.col("total").cast("double")) < F.lit(1.0) - F.lit(threshold))
         | (F.try_divide(F.col("max_freq").cast("double"), F.col("total").cast("double")) > F.lit(threshold))
