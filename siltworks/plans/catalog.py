@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltworks.functions import html, text as T
@@ -569,7 +570,12 @@ def classifier_eval(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def crawl_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.crawl_pipeline(docs(spark, sf).select("doc_id", "lang", "shard", "text"), "shard").select("doc_id", "shard", "text")
+    def fitted(column: str) -> PipelineModel:
+        # Fitted on texts as the pipeline judges them: flat and masked.
+        return models.train_text_classifier(durable(T.once(rated(spark, sf, column), text=T.mask_all(T.flatten("text")))))
+
+    judges = [(fitted("toxic"), "0"), (fitted("quality"), "1")]
+    return pipeline.crawl_pipeline(docs(spark, sf).select("doc_id", "lang", "shard", "text"), "shard", judges).select("doc_id", "shard", "text")
 
 
 @query(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from siltworks.functions import text as T
-from siltworks.operators import dedup, filters, sampling
+from siltworks.operators import dedup, filters, models, sampling
 from siltworks.session import durable
 
 
@@ -15,12 +19,19 @@ def clean_documents(docs: DataFrame, languages: tuple[str, ...] = filters.LANGUA
     return filters.quality_stats(T.once(d, text=T.mask_all("text"))).where("passes")
 
 
-def crawl_pipeline(docs: DataFrame, file_col: str, verdicts: DataFrame | None = None) -> DataFrame:
-    """Cleaned documents that the given verdicts (``doc_id, keep``) allow and that do not repeat
-    themselves, deduplicated by file and then over all."""
-    d = durable(clean_documents(docs))
-    if verdicts is not None:
-        d = d.join(verdicts.where("keep").select("doc_id"), "doc_id", "left_semi")
+def judged(docs: DataFrame, judges: Sequence[tuple[PipelineModel, str]]) -> DataFrame:
+    """Rows to which every classifier gives its wanted label."""
+    d = docs
+    for k, (model, _) in enumerate(judges):
+        d = models.predict(model, d, name=f"_p{k}")
+    keep = reduce(lambda a, b: a & b, (F.col(f"_p{k}.label") == label for k, (_, label) in enumerate(judges)))
+    return T.once(d, _keep=keep).where("_keep").select(*docs.columns)
+
+
+def crawl_pipeline(docs: DataFrame, file_col: str, judges: Sequence[tuple[PipelineModel, str]]) -> DataFrame:
+    """Cleaned documents that get the wanted label of every classifier in ``judges`` and that do not
+    repeat themselves, deduplicated by file and then over all."""
+    d = durable(judged(clean_documents(docs), judges))
     rep = filters.repetition_stats(d).where("NOT repetitive").select("doc_id")
     return dedup.two_level_dedup(durable(d.join(rep, "doc_id", "left_semi")), file_col)
 
