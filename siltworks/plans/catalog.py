@@ -549,11 +549,15 @@ def classify_toxic(spark: SparkSession, sf: str) -> DataFrame:
     return _classify(spark, sf, "toxic")
 
 
+def language_model(spark: SparkSession, sf: str) -> PipelineModel:
+    d = docs(spark, sf).where("length(text) > 0").select("doc_id", "text", F.lower(F.substring(F.trim("lang"), 1, 2)).alias("lang"))
+    return models.train_language_id(d.where(F.col("lang").isin("en", "fr", "de", "es", "pt", "ru", "zh")))
+
+
 @query()
 def identify_language(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf).where("length(text) > 0").select("doc_id", "text", F.lower(F.substring(F.trim("lang"), 1, 2)).alias("lang"))
-    m = models.train_language_id(d.where(F.col("lang").isin("en", "fr", "de", "es", "pt", "ru", "zh")))
-    return models.predict(m, d.select("doc_id", "text")).select("doc_id", "pred.label", "pred.score")
+    d = docs(spark, sf).where("length(text) > 0").select("doc_id", "text")
+    return models.predict(language_model(spark, sf), d).select("doc_id", "pred.label", "pred.score")
 
 
 @query()
@@ -575,7 +579,8 @@ def crawl_pipeline(spark: SparkSession, sf: str) -> DataFrame:
         return models.train_text_classifier(durable(T.once(rated(spark, sf, column), text=T.mask_all(T.flatten("text")))))
 
     judges = [(fitted("toxic"), "0"), (fitted("quality"), "1")]
-    return pipeline.crawl_pipeline(docs(spark, sf).select("doc_id", "lang", "shard", "text"), "shard", judges).select("doc_id", "shard", "text")
+    d = docs(spark, sf).select("doc_id", "lang", "shard", "text")
+    return pipeline.crawl_pipeline(d, "shard", language_model(spark, sf), judges).select("doc_id", "shard", "text")
 
 
 @query(

@@ -13,9 +13,13 @@ from siltworks.operators import dedup, filters, models, sampling
 from siltworks.session import durable
 
 
-def clean_documents(docs: DataFrame, languages: tuple[str, ...] = filters.LANGUAGES) -> DataFrame:
-    """Flatten, length, language, masks and quality rules, in JVM expressions throughout."""
-    d = T.once(docs.where(F.col("lang").isin(*languages)), text=T.flatten("text")).where(filters.long_enough(F.col("text")))
+def clean_documents(docs: DataFrame, languages: tuple[str, ...] = filters.LANGUAGES, identifier: PipelineModel | None = None) -> DataFrame:
+    """Flatten, length, language, masks and quality rules.  The language is the stored ``lang``, exactly
+    as the queries' SQL has it, or what ``identifier`` finds in the text; ``lang`` then holds that."""
+    d = docs if identifier is not None else docs.where(F.col("lang").isin(*languages))
+    d = T.once(d, text=T.flatten("text")).where(filters.long_enough(F.col("text")))
+    if identifier is not None:
+        d = T.once(models.predict(identifier, d, name="_id"), lang=F.col("_id.label")).where(F.col("lang").isin(*languages)).select(*docs.columns)
     return filters.quality_stats(T.once(d, text=T.mask_all("text"))).where("passes")
 
 
@@ -28,10 +32,10 @@ def judged(docs: DataFrame, judges: Sequence[tuple[PipelineModel, str]]) -> Data
     return T.once(d, _keep=keep).where("_keep").select(*docs.columns)
 
 
-def crawl_pipeline(docs: DataFrame, file_col: str, judges: Sequence[tuple[PipelineModel, str]]) -> DataFrame:
-    """Cleaned documents that get the wanted label of every classifier in ``judges`` and that do not
+def crawl_pipeline(docs: DataFrame, file_col: str, identifier: PipelineModel, judges: Sequence[tuple[PipelineModel, str]]) -> DataFrame:
+    """Cleaned documents, in a language that ``identifier`` finds, that get the wanted label of every classifier in ``judges`` and that do not
     repeat themselves, deduplicated by file and then over all."""
-    d = durable(judged(clean_documents(docs), judges))
+    d = durable(judged(clean_documents(docs, identifier=identifier), judges))
     rep = filters.repetition_stats(d).where("NOT repetitive").select("doc_id")
     return dedup.two_level_dedup(durable(d.join(rep, "doc_id", "left_semi")), file_col)
 

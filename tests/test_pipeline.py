@@ -38,3 +38,14 @@ def test_pipeline_drops_toxic_and_bad_documents(crawl):
     rows += [(text(rng, m), "en", None, None) for _ in range(3) for m, _, _ in kinds]
     got = crawl(rows)
     assert got == {i for i in range(len(rows)) if i % 3 == 0}
+
+
+def test_pipeline_identifies_the_language(crawl):
+    rng = random.Random(6)
+    german = "der stadtrat sagte am montag dass die alte brücke wegen der arbeiten noch bis zum frühling geschlossen bleibt".split()
+    bad = [(text(rng, ADS), "en", 0, 0), (text(rng, TOXIC), "en", 1, 1)] * 4
+    en = [" ".join(rng.sample(FINE, 20) + rng.sample(WORDS, 14) + rng.sample(FINE, 20)) for _ in range(30)]
+    de = [" ".join(rng.sample(german, 16) + rng.sample(WORDS, 14) + rng.sample(german, 16) + rng.sample(german, 16)) for _ in range(30)]
+    rows = [(t, k, 1, 0) for t, k in zip(en, ["en"] * 22 + ["EN", "en-GB", "en_US", None, "", "und", "de", "fr"])]
+    rows += [(t, k, 1, 0) for t, k in zip(de, ["de"] * 28 + ["en", "zh"])]
+    assert crawl(rows + bad) == set(range(30))
