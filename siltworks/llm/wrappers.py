@@ -1,7 +1,7 @@
 """Problem 7: the main body of web pages, by inferred wrappers.
 
-For every host a union-free regular expression over block tokens is inferred from at most
-``SAMPLE`` of its pages: the wrapper so far is aligned with the next page, and mismatches become text
+For every host a union-free regular expression over block tokens is inferred from all its distinct
+pages, in groups whose wrappers are merged: the wrapper so far is aligned with the next page, and mismatches become text
 slots (same place, other text), repeated groups (the place just before occurs again) or optional
 tokens.  Tokens whose text stays fixed are the host's template; texts fixed on several hosts are
 template wherever they occur.  On every page the template and the side regions (links, comments,
@@ -18,14 +18,14 @@ import re
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from siltworks.llm import encoding as E, pageparse as W
 from siltworks.llm.batches import map_columns
 from siltworks.session import durable
 
-#: Most pages of a host used to infer its wrapper.
-SAMPLE = 12
+#: Groups of a host's pages whose wrappers are inferred apart and then merged.
+GROUPS = 64
 
 _DIGITS = re.compile(r"\d+")
 _META = re.compile(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([\w-]+)", re.I)
@@ -93,10 +93,15 @@ def tokens(bs: list[W.Block]) -> list[tuple[str, int]]:
 class Token:
     """One position of a wrapper: a place with a fixed text or a slot, perhaps optional or repeated."""
 
-    __slots__ = ("place", "text", "seen", "slot", "optional", "repeated")
+    __slots__ = ("place", "text", "seen", "slot", "optional", "repeated", "last")
 
-    def __init__(self, place_: str, text: int, optional: bool) -> None:
-        self.place, self.text, self.seen, self.slot, self.optional, self.repeated = place_, text, 1, False, optional, False
+    def __init__(self, place_: str, text: int, optional: bool, source: object = None) -> None:
+        self.place, self.text, self.seen, self.slot, self.optional, self.repeated, self.last = place_, text, 1, False, optional, False, source
+
+    def see(self, source: object) -> None:
+        """Count a page; crawls of one address, one after the other, count once."""
+        self.seen += source is None or source != self.last
+        self.last = source
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -120,8 +125,8 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(wrapper: list[Token], page: list[tuple[str, int]]) -> list[Token]:
-    """The wrapper generalised so that it also generates ``page``."""
+def align(wrapper: list[Token], page: list[tuple[str, int]], source: object = None) -> list[Token]:
+    """The wrapper generalised so that it also generates ``page`` (a crawl of the address ``source``)."""
     where: dict[tuple[str, int], list[int]] = {}
     for i, t in enumerate(wrapper):
         if not t.slot:
@@ -138,15 +143,15 @@ def align(wrapper: list[Token], page: list[tuple[str, int]]) -> list[Token]:
     out: list[Token] = []
     i = j = 0
     for aj, ai in [*anchors, (len(page), len(wrapper))]:
-        out += _gap(wrapper[i:ai], page[j:aj], out)
+        out += _gap(wrapper[i:ai], page[j:aj], out, source)
         if ai < len(wrapper):
-            wrapper[ai].seen += 1
+            wrapper[ai].see(source)
             out.append(wrapper[ai])
         i, j = ai + 1, aj + 1
     return out
 
 
-def _gap(ws: list[Token], ps: list[tuple[str, int]], before: list[Token]) -> list[Token]:
+def _gap(ws: list[Token], ps: list[tuple[str, int]], before: list[Token], source: object) -> list[Token]:
     """Resolve a mismatch between two anchors into slots, repeated groups and optional tokens."""
     out: list[Token] = []
     i = j = 0
@@ -154,7 +159,7 @@ def _gap(ws: list[Token], ps: list[tuple[str, int]], before: list[Token]) -> lis
         w, p = ws[i], ps[j]
         if w.place == p[0]:
             w.slot = w.slot or w.text != p[1]
-            w.seen += 1
+            w.see(source)
             out.append(w)
             i, j = i + 1, j + 1
         elif any(x.place == p[0] for x in ws[i + 1 :]):
@@ -162,56 +167,116 @@ def _gap(ws: list[Token], ps: list[tuple[str, int]], before: list[Token]) -> lis
             out.append(w)
             i += 1
         else:
-            _extra(p, out, before)
+            _extra(p, out, before, source)
             j += 1
     for w in ws[i:]:
         w.optional = True
         out.append(w)
     for p in ps[j:]:
-        _extra(p, out, before)
+        _extra(p, out, before, source)
     return out
 
 
-def _extra(p: tuple[str, int], out: list[Token], before: list[Token]) -> None:
+def _extra(p: tuple[str, int], out: list[Token], before: list[Token], source: object) -> None:
     last = out[-1] if out else (before[-1] if before else None)
     if last is not None and last.place == p[0] and last.slot:
         last.repeated = True
     else:
-        out.append(Token(p[0], p[1], True))
+        out.append(Token(p[0], p[1], True, source))
 
 
-def infer(pages: list[list[tuple[str, int]]]) -> list[Token]:
+def infer(pages: list[list[tuple[str, int]]], sources: list | None = None) -> list[Token]:
     if not pages:
         return []
-    w = [Token(p, t, False) for p, t in pages[0]]
-    for p in pages[1:]:
-        w = align(w, p)
+    sources = sources or [None] * len(pages)
+    w = [Token(p, t, False, sources[0]) for p, t in pages[0]]
+    for p, source in zip(pages[1:], sources[1:]):
+        w = align(w, p, source)
     return w
 
 
-def host_templates(pages: DataFrame) -> tuple[DataFrame, frozenset[int]]:
-    """``host, keys``: hashes of the fixed texts of each host's wrapper; and those of the texts that
-    are fixed on many hosts."""
-    w = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
-    sample = pages.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE).select("host", "page_id", "html_bytes", "charset")
+def merge(a: list[Token], b: list[Token]) -> list[Token]:
+    """One wrapper that generates the pages of both; counts of pages add up."""
+    where: dict[tuple[str, int], list[int]] = {}
+    for i, t in enumerate(a):
+        if not t.slot:
+            where.setdefault((t.place, t.text), []).append(i)
+    used: set[int] = set()
+    pairs = []
+    for j, t in enumerate(b):
+        for i in () if t.slot else where.get((t.place, t.text), ()):
+            if i not in used:
+                used.add(i)
+                pairs.append((j, i))
+                break
+    out: list[Token] = []
+    i = j = 0
+    for bj, ai in [*_increasing(pairs), (len(b), len(a))]:
+        ws, ps = a[i:ai], b[j:bj]
+        m = n = 0
+        while m < len(ws) and n < len(ps):
+            w, p = ws[m], ps[n]
+            if w.place == p.place:
+                out.append(_joined(w, p))
+                m, n = m + 1, n + 1
+            elif any(x.place == p.place for x in ws[m + 1 :]):
+                w.optional = True
+                out.append(w)
+                m += 1
+            else:
+                p.optional = True
+                out.append(p)
+                n += 1
+        for t in ws[m:] + ps[n:]:
+            t.optional = True
+            out.append(t)
+        if ai < len(a):
+            out.append(_joined(a[ai], b[bj]))
+        i, j = ai + 1, bj + 1
+    return out
+
+
+def _joined(w: Token, p: Token) -> Token:
+    w.slot = w.slot or p.slot or w.text != p.text
+    w.optional, w.repeated, w.seen = w.optional or p.optional, w.repeated or p.repeated, w.seen + p.seen
+    return w
+
+
+def host_templates(pages: DataFrame) -> DataFrame:
+    """``host, keys``: hashes of the texts that are template on a host's pages: fixed in the wrapper over
+    all its distinct pages, or fixed on several hosts."""
+    d = pages.withColumn("url", F.coalesce("url", F.col("page_id").cast("string"))).withColumn("g", F.pmod(F.xxhash64("url"), F.lit(GROUPS)))
+    parts = "host string, g long, held array<long>, place array<string>, text array<long>, seen array<long>, flags array<int>"
+
+    def row(host: str, g: int, held: list[int], w: list[Token]) -> pd.DataFrame:
+        return pd.DataFrame({"host": [host], "g": [g], "held": [held], "place": [[t.place for t in w]], "text": [[t.text for t in w]], "seen": [[t.seen for t in w]], "flags": [[t.slot + 2 * t.optional + 4 * t.repeated for t in w]]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates().sort_values(["url", "page_id"], kind="stable")
         streams = [tokens(W.blocks(decode(bytes(b), c))) for b, c in zip(pdf.html_bytes, pdf.charset)]
-        wrapper = infer(streams)
+        return row(key[0], int(key[1]), sorted({t for s in streams for _, t in s}), infer(streams, list(pdf.url)))
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        wrapper: list[Token] | None = None
+        for r in pdf.sort_values("g").itertuples():
+            w = []
+            for p, t, n, f in zip(r.place, r.text, r.seen, r.flags):
+                x = Token(p, int(t), bool(f & 2))
+                x.seen, x.slot, x.repeated = int(n), bool(f & 1), bool(f & 4)
+                w.append(x)
+            wrapper = w if wrapper is None else merge(wrapper, w)
         seen: dict[int, int] = {}
-        for t in wrapper:
+        for t in wrapper or ():
             if not t.slot:
                 seen[t.text] = max(seen.get(t.text, 0), t.seen)
         return pd.DataFrame({"host": pdf.host.iloc[0], "k": list(seen), "seen": list(seen.values())})
 
-    fixed = durable(sample.groupBy("host").applyInPandas(run, "host string, k long, seen int"))
-    hosts = fixed.select("host").distinct().count()
-    # A wrapper has few fixed texts, so texts on a thousandth of the hosts are at most some
-    # thousand times that many, whatever the number of hosts: a bounded set for every worker.
-    least = max(3, -(-hosts // 1000))
+    folded = durable(d.groupBy("host", "g").applyInPandas(fold, parts))
+    fixed = durable(folded.drop("held").groupBy("host").applyInPandas(unite, "host string, k long, seen long"))
+    least = max(3, -(-fixed.select("host").distinct().count() // 1000))
     shared = fixed.groupBy("k").agg(F.count("*").alias("hosts"), F.max("seen").alias("most")).where((F.col("hosts") >= least) & (F.col("most") >= 2)).select("k")
-    own = fixed.where("seen >= 2").groupBy("host").agg(F.sort_array(F.collect_set("k")).alias("keys"))
-    return own, frozenset(r.k for r in shared.collect())
+    here = folded.select("host", F.explode("held").alias("k")).distinct().join(shared, "k")
+    return fixed.where("seen >= 2").select("host", "k").unionByName(here.select("host", "k")).groupBy("host").agg(F.sort_array(F.collect_set("k")).alias("keys"))
 
 
 # --- main region --------------------------------------------------------------------------------
@@ -334,18 +399,16 @@ def _leaf(bs: list[W.Block], serial: int) -> bool:
 
 
 def _pages(pages: DataFrame) -> DataFrame:
-    return pages.where("warc_type = 'response' AND html_bytes IS NOT NULL").select("page_id", F.coalesce("host", F.lit("")).alias("host"), "html_bytes", "charset")
+    return pages.where("warc_type = 'response' AND html_bytes IS NOT NULL").select("page_id", F.coalesce("host", F.lit("")).alias("host"), "url", "html_bytes", "charset")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, blocks``: the main body of every response page, one row per distinct page row."""
     src = _pages(pages)
-    own, shared = host_templates(src)
-    own = durable(own)
-    bm = pages.sparkSession.sparkContext.broadcast(shared)
+    own = durable(host_templates(src))
 
     def fn(ids: list, raws: list, charsets: list, keys: list) -> list[list]:
-        return [ids, [main_blocks(W.blocks(decode(r, c)), bm.value.union(k or ())) for r, c, k in zip(raws, charsets, keys)]]
+        return [ids, [main_blocks(W.blocks(decode(r, c)), frozenset(k or ())) for r, c, k in zip(raws, charsets, keys)]]
 
     return map_columns(src.join(own, "host", "left"), ["page_id", "html_bytes", "charset", "keys"], "page_id long, blocks array<string>", fn)
 

@@ -45,3 +45,25 @@ def test_main_body(spark):
     f = {(r.page_id, r.block_md5) for r in R.found(p).collect()}
     assert (92, hashlib.md5((P1 + " Déjà vu.").encode()).hexdigest()) in f and len([x for x in f if x[0] == 0]) == 4
     assert R.found(p.limit(0)).count() == 0
+
+
+def hosted(spark, rows):
+    return spark.createDataFrame([(i, u, h, "response", "utf-8", bytearray(f"<html><body>{t}</body></html>".encode())) for i, u, h, t in rows], "page_id long, url string, host string, warc_type string, charset string, html_bytes binary")
+
+
+NOTE = "Our readers keep this small paper alive with gifts and with letters."
+
+
+def article(i, note=""):
+    n = "".join("abcdefghij"[int(x)] for x in str(i))  # digits do not tell texts apart
+    ws = [a + n for a in "the river was calm that day and people came to see it from far away".split()]
+    return f"<div><p>{' '.join(ws)}.</p><p>Later {' '.join(reversed(ws))} again.</p>{note}</div>"
+
+
+def test_wrapper_is_inferred_from_all_pages(spark):
+    """Rare notices of a large host are template; repeated rows and crawls of a page are not."""
+    rows = [(i, f"u{i}", "h", article(i, f"<p>{NOTE}</p>" if i % 30 == 0 else "")) for i in range(90)]
+    rows += [rows[1], (200, "u2", "h", article(2)), (300, "x", "few", article(300)), (300, "x", "few", article(300))]
+    got = {r.page_id: r.blocks for r in R.main_text(hosted(spark, rows)).collect()}
+    assert not any(NOTE in b for b in got.values())
+    assert all(len(b) == 2 for b in got.values())
