@@ -26,6 +26,8 @@ from siltworks.session import durable
 
 #: Groups of a host's pages whose wrappers are inferred apart and then merged.
 GROUPS = 64
+#: Hosts on which a text must be fixed to be template everywhere, whatever the number of hosts.
+SHARED_HOSTS = 3
 
 _DIGITS = re.compile(r"\d+")
 _META = re.compile(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([\w-]+)", re.I)
@@ -273,8 +275,7 @@ def host_templates(pages: DataFrame) -> DataFrame:
 
     folded = durable(d.groupBy("host", "g").applyInPandas(fold, parts))
     fixed = durable(folded.drop("held").groupBy("host").applyInPandas(unite, "host string, k long, seen long"))
-    least = max(3, -(-fixed.select("host").distinct().count() // 1000))
-    shared = fixed.groupBy("k").agg(F.count("*").alias("hosts"), F.max("seen").alias("most")).where((F.col("hosts") >= least) & (F.col("most") >= 2)).select("k")
+    shared = fixed.groupBy("k").agg(F.count("*").alias("hosts"), F.max("seen").alias("most")).where((F.col("hosts") >= SHARED_HOSTS) & (F.col("most") >= 2)).select("k")
     here = folded.select("host", F.explode("held").alias("k")).distinct().join(shared, "k")
     return fixed.where("seen >= 2").select("host", "k").unionByName(here.select("host", "k")).groupBy("host").agg(F.sort_array(F.collect_set("k")).alias("keys"))
 

@@ -67,3 +67,11 @@ def test_wrapper_is_inferred_from_all_pages(spark):
     got = {r.page_id: r.blocks for r in R.main_text(hosted(spark, rows)).collect()}
     assert not any(NOTE in b for b in got.values())
     assert all(len(b) == 2 for b in got.values())
+
+
+def test_shared_templates_need_no_growing_number_of_hosts(spark):
+    rows = [(10 * h + i, f"u{h}.{i}", f"h{h}", article(10 * h + i, f"<p>{NOTE}</p>")) for h in range(3) for i in range(2)]
+    rows += [(1000 + h, f"v{h}", f"o{h}", article(1000 + h, f"<p>{NOTE}</p>" if h == 5 else "")) for h in range(3100)]
+    d = hosted(spark, rows)
+    keys = {r.host: set(r["keys"]) for r in R.host_templates(R._pages(d)).collect()}
+    assert R.text_key(NOTE) in keys["o5"] and R.text_key(NOTE) in keys["h0"] and "o6" not in keys
