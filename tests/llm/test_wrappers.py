@@ -70,7 +70,7 @@ def test_wrapper_is_inferred_from_all_pages(spark):
 
 
 def test_shared_templates_need_no_growing_number_of_hosts(spark):
-    rows = [(10 * h + i, f"u{h}.{i}", f"h{h}", article(10 * h + i, f"<p>{NOTE}</p>")) for h in range(3) for i in range(2)]
+    rows = [(10 * h + i, f"u{h}.{i}", f"h{h}", article(10 * h + i, f"<p>{NOTE}</p>")) for h in range(2) for i in range(2)]
     rows += [(1000 + h, f"v{h}", f"o{h}", article(1000 + h, f"<p>{NOTE}</p>" if h == 5 else "")) for h in range(3100)]
     d = hosted(spark, rows)
     keys = {r.host: set(r["keys"]) for r in R.host_templates(R._pages(d)).collect()}
