@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
+from siltworks.llm.prose import Vocabulary
+
 
 def feature_ids(names: Sequence[str | int], bits: int) -> list[int]:
     """Table rows of features: names are hashed, numbers are hashes already."""
@@ -19,13 +21,18 @@ def feature_ids(names: Sequence[str | int], bits: int) -> list[int]:
 
 
 def mix(a, b, salt: int):
-    """A hash of two 32-bit hashes, the same for numbers and for unsigned 64-bit arrays."""
-    k = [0x9E3779B1, 0x85EBCA77, salt * 0xC2B2AE3D & 0xFFFFFFFF, 0xFFFFFFFF, 0x2C1B3C6D, 15, 12]
+    """A hash of two 32-bit hashes, the same for numbers and for unsigned 32-bit arrays."""
     if isinstance(a, np.ndarray):
-        k = [np.uint64(x) for x in k]
-    x = (a * k[0] + b * k[1] + k[2]) & k[3]
-    x = ((x ^ (x >> k[5])) * k[4]) & k[3]
-    return x ^ (x >> k[6])
+        x = a * np.uint32(0x9E3779B1)
+        x += b * np.uint32(0x85EBCA77)
+        x += np.uint32(salt * 0xC2B2AE3D & 0xFFFFFFFF)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        x ^= x >> np.uint32(12)
+        return x
+    x = (a * 0x9E3779B1 + b * 0x85EBCA77 + (salt * 0xC2B2AE3D & 0xFFFFFFFF)) & 0xFFFFFFFF
+    x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+    return x ^ (x >> 12)
 
 
 def forward_backward(em: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,38 +115,37 @@ class Crf:
         self.w = np.zeros((1 << bits, k), dtype=np.float32)
         self.trans = np.zeros((k, k))
         self.start = np.zeros(k)
-        self.index: dict[str, int] = {}
-        self.table = np.zeros((1024, k), dtype=np.float32)
-        self.size: list[int] = []  # letters of each word of the table, 0 for numbers
-
-    def ids(self, words: Sequence[str]) -> list[int]:
-        """Rows of the emission table; a word met first is scored and added."""
-        get = self.index.get
-        out = [get(w, -1) for w in words]
-        if -1 in out:
-            for i, j in enumerate(out):
-                if j < 0:
-                    out[i] = self._add(words[i])
-        return out
-
-    def _add(self, w: str) -> int:
-        j = self.index.get(w)
-        if j is None:
-            j = self.index[w] = len(self.index)
-            if j >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((max(1024, len(self.table)), len(self.labels)), dtype=np.float32)])
-            self.size.append(0 if w[0].isdigit() else len(w))
-            self.table[j] = self.w[feature_ids(self.features(w), self.bits)].sum(0)
-        return j
-
-    def marginals(self, seqs: Sequence[Sequence[str]], cells: int = 150_000) -> tuple[np.ndarray, np.ndarray]:
-        """Label marginals of all tokens of all sequences end to end (whole sequences, whatever their
-        length), and the tokens' sizes."""
-        if len(self.index) > 400_000:
-            self.index, self.size = {}, []
-        size = np.array([len(s) for s in seqs], dtype=np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table = np.zeros((1024, len(self.labels)), dtype=np.float32)
+        self.known = np.zeros(1024, dtype=bool)
+        self.of: tuple[int, int] | None = None  # the vocabulary whose numbers the table follows
+
+    def emissions(self, ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+        """Scores of numbered words; a word met first is scored and kept."""
+        if self.of != (id(vocabulary), vocabulary.generation):
+            self._forget()
+            self.of = (id(vocabulary), vocabulary.generation)
+        n = len(vocabulary.words)
+        if n > len(self.known):
+            more = max(n, 2 * len(self.known)) - len(self.known)
+            self.table = np.concatenate([self.table, np.zeros((more, len(self.labels)), dtype=np.float32)])
+            self.known = np.concatenate([self.known, np.zeros(more, dtype=bool)])
+        new = np.unique(ids[~self.known[ids]])
+        if len(new):
+            rows = [feature_ids(self.features(vocabulary.words[j]), self.bits) for j in new]
+            size = np.array([len(r) for r in rows])
+            at = np.concatenate([[0], np.cumsum(size)[:-1]])
+            self.table[new] = np.add.reduceat(self.w[[f for r in rows for f in r]], at, axis=0)
+            self.known[new] = True
+        return self.table[ids]
+
+    def marginals(self, flat: np.ndarray, size: np.ndarray, vocabulary: Vocabulary, cells: int = 150_000) -> tuple[np.ndarray, np.ndarray]:
+        """Label marginals of all words of sequences of word numbers, given end to end with the
+        sequences' sizes (whole sequences, whatever their length), and the words' letters, 0 for numbers."""
         at = np.concatenate([[0], np.cumsum(size)])
-        flat = np.array(self.ids([w for s in seqs for w in s]), dtype=np.int64)
+        score = self.emissions(flat, vocabulary)
         out = np.zeros((len(flat), len(self.labels)), dtype=np.float32)
         order = np.argsort(-size, kind="stable")
         order = order[size[order] > 0]
@@ -153,10 +159,10 @@ class Crf:
             t = np.arange(T)[:, None]
             inside = t < n[None, :]
             place = np.where(inside, at[group][None, :] + t, 0)
-            m = posterior(self.table[flat[place]], n, self.trans, self.start)
+            m = posterior(score[place], n, self.trans, self.start)
             out[place[inside]] = m[inside]
             a = b
-        return out, np.array(self.size, dtype=np.float32)[flat]
+        return out, np.where(vocabulary.flags[flat] & vocabulary.NUMBER, 0, vocabulary.size[flat])
 
     def fit(self, seqs: Sequence[Sequence[str]], tags: Sequence[Sequence[int]], epochs: int = 6, rate: float = 0.5, l2: float = 1e-6, batch: int = 64, seed: int = 7) -> "Crf":
         """Maximise the conditional likelihood with Adagrad over batches of sequences."""
@@ -227,8 +233,12 @@ class Crf:
                 gs += ds * ds
                 self.start += rate * ds / np.sqrt(gs)
         self.w = w.astype(np.float32)
-        self.index, self.size = {}, []
+        self._forget()
         return self
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"index": {}, "size": [], "table": self.table[:1024]}
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "known", "of")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()

@@ -7,10 +7,12 @@ numeric character reference (``&#195;&#169;``).
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -75,10 +77,8 @@ def undo(s: str, b: str, a: str) -> str | None:
     try:
         if b == "gb18030":
             return s.encode("gb18030").decode(a)
-        m = _MAPS[b]
-        raw = bytes([m[ord(c)] for c in s])
-        return raw.decode(a)
-    except (KeyError, UnicodeError):
+        return codecs.charmap_encode(s, "strict", _MAPS[b])[0].decode(a)
+    except UnicodeError:
         return None
 
 
@@ -121,13 +121,32 @@ def _letter_value(c: str) -> float:
 
 def _ru_score(s: str) -> float:
     """Mean value of the letters as Russian prose, with a loss for capitals within words."""
-    n = sc = 0.0
-    for c, k in Counter(s).items():
-        v = _letter_value(c)
+    n, sc = _tally(Counter(s), _letter_value)
+    return (sc - 4 * len(_CASE_BREAK.findall(s))) / max(n, 1)
+
+
+def _tally(counts: Counter, value: Callable[[str], float | None]) -> tuple[int, float]:
+    """How many characters have a value, and the sum of their values."""
+    n, sc = 0, 0.0
+    for c, k in counts.items():
+        v = value(c)
         if v:
             n += k
             sc += k * v
-    return (sc - 4 * len(_CASE_BREAK.findall(s))) / max(n, 1)
+    return n, sc
+
+
+def _chain_values(b: str, a: str) -> dict[str, float | None]:
+    """The letter value that each character gets by undoing ``b`` over ``a``, both one-byte tables."""
+    out: dict[str, float | None] = {}
+    for c, x in _MAPS[b].items():
+        r = undo(chr(c), b, a)
+        out[chr(c)] = None if r is None else _letter_value(r)
+    return out
+
+
+#: Chains that end in Cyrillic, with the values of their characters.
+_CYRILLIC_CHAINS = [(b, a, _chain_values(b, a)) for b, a in BYTE_CHAINS if a in ("cp1251", "koi8-r", "cp866")]
 
 
 def undo_single_byte(text: str) -> str | None:
@@ -138,12 +157,16 @@ def undo_single_byte(text: str) -> str | None:
     r = undo_lines(text, "cp1252", "gb18030")
     if r is not None and len(re.findall("[一-鿿]", r)) > 0.3 * len(r.replace("\n", "")):
         return r
-    best, best_score = None, _ru_score(s) + (0.1 if _INVERTED.search(s) else 0.7)
-    for b, a in BYTE_CHAINS:
-        if a in ("cp1251", "koi8-r", "cp866"):
-            r = undo(s, b, a)
-            if r is not None and (sc := _ru_score(r)) > best_score:
-                best, best_score = (b, a), sc
+    counts = Counter(s)
+    n, sc = _tally(counts, _letter_value)
+    best, best_score = None, (sc - 4 * len(_CASE_BREAK.findall(s))) / max(n, 1) + (0.1 if _INVERTED.search(s) else 0.7)
+    for b, a, values in _CYRILLIC_CHAINS:
+        # Without the loss for capitals, which needs the text itself, a chain's score can only be higher.
+        if any(values.get(c) is None for c in counts):
+            continue
+        n, sc = _tally(counts, values.__getitem__)
+        if sc / max(n, 1) > best_score and (r := undo(s, b, a)) is not None and (sc := _ru_score(r)) > best_score:
+            best, best_score = (b, a), sc
     if best is None or best_score < 0.4:
         return None
     return NONASCII.sub(lambda m: undo(m.group(), *best) or m.group(), text)
@@ -156,17 +179,21 @@ def undo_lines(text: str, b: str, a: str) -> str | None:
         if line.isascii():
             out.append(line)
             continue
-        m = _MAPS[b]
         try:
-            raw = bytes([m[ord(c)] for c in line])
-        except KeyError:
+            raw = codecs.charmap_encode(line, "strict", _MAPS[b])[0]
+        except UnicodeError:
             return None
         out.append(raw.decode(a, errors="replace"))
     r = "\n".join(out)
     return r if r.count("�") <= 0.02 * len(r) else None
 
 
-_NEEDS_TABLE = re.compile("[À-ÿ]{3}|[Ѐ-џ]{4}|[─-╿]{2}")
+# Runs of letters that a wrong one-byte table gives; classes in a row are searched faster than repeats.
+_TABLE_RUNS = [re.compile(x * n).search for x, n in (("[À-ÿ]", 3), ("[Ѐ-џ]", 4), ("[─-╿]", 2))]
+
+
+def needs_table(text: str) -> bool:
+    return any(f(text) for f in _TABLE_RUNS)
 
 
 def _suspect() -> re.Pattern:
@@ -195,11 +222,49 @@ def light_repair(text: str, rounds: int = 3) -> str:
         if new == text:
             break
         text = new
-    if _NEEDS_TABLE.search(text):
-        return "\n".join((undo_single_byte(p) or p) if _NEEDS_TABLE.search(p) else p for p in text.split("\n"))
+    if needs_table(text):
+        return "\n".join((undo_single_byte(p) or p) if needs_table(p) else p for p in text.split("\n"))
     return text
 
 
+def repair_map(text: str) -> tuple[str, list[int] | None]:
+    """The text with its encoding repaired, and the original position of each of its characters."""
+    if text.isascii() and "&#" not in text:
+        return text, None
+    fixed = light_repair(text)
+    if fixed == text:
+        return text, None
+    src, pos = text, list(range(len(text)))
+    if "&#" in text:
+        out, where, at = [], [], 0
+        for m in NUMREF.finditer(text):
+            out.append(text[at : m.start()])
+            where += range(at, m.start())
+            s = html.unescape(m.group())
+            out.append(s)
+            where += [m.start()] * len(s)
+            at = m.end()
+        out.append(text[at:])
+        where += range(at, len(text))
+        src, pos = "".join(out), where
+    # Repair changes only stretches of other than ASCII characters, so ASCII characters correspond.
+    a = [i for i, c in enumerate(src) if c < "\x80"]
+    b = [i for i, c in enumerate(fixed) if c < "\x80"]
+    if len(a) != len(b):
+        return text, None
+    back, k, prev = [], 0, -1
+    for i, c in enumerate(fixed):
+        if c < "\x80":
+            prev = a[k]
+            k += 1
+            back.append(pos[prev])
+        else:
+            n = prev + 1 if not back or fixed[i - 1] < "\x80" or i == 0 else min(prev + 1, len(pos) - 1)
+            back.append(pos[min(n, len(pos) - 1)])
+    back.append(len(text))
+    return fixed, back
+
+
 def looks_broken(text: str) -> bool:
     """Quick test for records unfit for training the clean-text model."""
     return bool(BROKEN.search(text)) or light_repair(text) != text
@@ -326,7 +391,7 @@ def _undo_cached(s: str, b: str, a: str) -> str | None:
 def table_repair(p: str, model: CharModel, margin: float) -> str:
     """Reverse a wrong one-byte table over a whole paragraph, if its spans together gain three
     times the margin and every span can be reversed."""
-    whole = undo_single_byte(p) if _NEEDS_TABLE.search(p) else None
+    whole = undo_single_byte(p) if needs_table(p) else None
     if whole is not None and model.logp(whole) / len(whole) > model.logp(p) / len(p) + 0.5:
         return whole
     spans = [(m.group(), p[max(0, m.start() - 2) : m.start()], p[m.end() : m.end() + 2]) for m in NONASCII.finditer(p)]

@@ -28,7 +28,6 @@ from siltworks.llm.crf import Crf
 LANGUAGES = ["de", "en", "es", "fr", "pt", "ru", "zh"]
 #: Most labelled documents per language used for fitting.
 TRAIN_ROWS = 60
-TRAIN_WORDS = 120
 #: Least confidence of a sentence that adds its language to the document's.
 SURE = 0.75
 
@@ -45,11 +44,6 @@ def tokens(text: str) -> list[str]:
     return P.WORD.findall(text.lower())
 
 
-def unit_tokens(u: P.Unit) -> list[str]:
-    """The words of a sentence; addresses are left out."""
-    return u.low if "@" not in u.text and "://" not in u.text else tokens(u.text)
-
-
 def features(w: str) -> tuple[str, ...]:
     c = w[0]
     if c.isdigit():
@@ -104,9 +98,9 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
         if used.get(k, 0) >= TRAIN_ROWS or lexicon_language(t) != k:
             continue
         used[k] = used.get(k, 0) + 1
-        for u in P.units(t)[:40]:
+        for u in P.units(t):
             if u.prose and lexicon_language(u.text) in (k, None):
-                by[k].append(unit_tokens(u)[:TRAIN_WORDS])
+                by[k].append(tokens(u.text))
     rng = np.random.default_rng(11)
     for k in LANGUAGES:
         lex = sorted(P.COMMON.get(k, ())) or [[c] for c in ()]
@@ -132,85 +126,101 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
 
 
 class Sentence(NamedTuple):
-    unit: P.Unit
+    start: int
+    end: int
+    prose: bool
     lang: str
     confidence: float
-
-
-def analyse(texts: list[str], model: Crf, prose_only: bool = False) -> list[tuple[list[Sentence], bool]]:
-    """Per text its sentences, and whether running sentences hold half of its words; with
-    ``prose_only`` other texts are not labelled."""
-    out: list[tuple[list[Sentence], bool]] = []
-    seqs: list[list[str]] = []
-    home: list[tuple[int, P.Unit]] = []
-    cut: list[int] = []
-    n_tokens = 0
-    for i, t in enumerate(texts):
-        us, n = P.segment(t)
-        prose = n > 0 and 2 * sum(u.words for u in us if u.prose) >= n
-        out.append(([], prose))
-        if prose_only and not prose:
-            continue
-        if not us and t.strip():
-            us = [P.Unit(0, len(t), t, 0, False, tokens(t))]
-        toks: list[str] = []
-        for u in us:
-            ws = unit_tokens(u)
-            if ws:
-                home.append((i, u))
-                cut.append(n_tokens + len(toks))
-                toks += ws
-        n_tokens += len(toks)
-        seqs.append(toks)
-    if not cut:
-        return out
+    number: int  # the sentence's number in the batch's segments, -1 for a text without sentences
+
+
+def analyse(texts: list[str], model: Crf, prose_only: bool = False) -> tuple[list[list[Sentence]], P.Segments]:
+    """Per text its sentences with their languages; with ``prose_only`` texts that are not mostly
+    running sentences are not labelled.  The segments of the batch come along."""
+    seg = P.segment_all(texts)
+    out: list[list[Sentence]] = [[] for _ in texts]
+    wanted = seg.is_prose if prose_only else np.ones(len(texts), dtype=bool)
+    pick = np.flatnonzero(wanted[seg.doc]) if len(seg.doc) else np.zeros(0, dtype=np.int64)
+    doc, size = seg.doc[pick], np.diff(seg.at)[pick]
+    flat = seg.ids[np.repeat(wanted[seg.doc], np.diff(seg.at))] if len(pick) else seg.ids[:0]
+    start, end, prose = seg.start[pick], seg.end[pick], seg.prose[pick]
+    # Words of addresses carry no language.
+    marked = {i for i, t in enumerate(texts) if wanted[i] and ("@" in t or "://" in t)}
+    if marked:
+        parts, at, done = [], np.concatenate([[0], np.cumsum(size)]), 0
+        for j in np.flatnonzero(np.isin(doc, list(marked))).tolist():
+            s = texts[doc[j]][start[j] : end[j]]
+            if "@" in s or "://" in s:
+                x = seg.vocabulary.ids(tokens(s))
+                parts += [flat[done : at[j]], x]
+                size[j], done = len(x), at[j + 1]
+        flat = np.concatenate([*parts, flat[done:]])
+    # A text without sentences is labelled as a whole.
+    bare = [i for i in np.flatnonzero(wanted & ~np.isin(np.arange(len(texts)), doc)).tolist() if texts[i].strip()]
+    for i in bare:
+        x = seg.vocabulary.ids(tokens(texts[i]))
+        flat, size, doc, pick = np.concatenate([flat, x]), np.append(size, len(x)), np.append(doc, i), np.append(pick, -1)
+        start, end, prose = np.append(start, 0), np.append(end, len(texts[i])), np.append(prose, False)
+    if not len(flat):
+        return out, seg
+    full = size > 0
+    doc, size, pick, start, end, prose = doc[full], size[full], pick[full], start[full], end[full], prose[full]
+    cut = np.concatenate([[0], np.cumsum(size)[:-1]])
     # Words vote by their letters; numbers carry no language.
-    marginals, weight = model.marginals(seqs)
+    marginals, weight = model.marginals(flat, _runs(doc, size), seg.vocabulary)
     votes = np.add.reduceat(marginals * weight[:, None], cut, axis=0)
-    size = votes.sum(axis=1)
-    best = votes.argmax(axis=1).tolist()
-    sure = (votes.max(axis=1) / np.maximum(size, 1e-9)).tolist()
-    for (i, u), k, c, z in zip(home, best, sure, size.tolist()):
+    total = votes.sum(axis=1)
+    best = [LANGUAGES[k] for k in votes.argmax(axis=1).tolist()]
+    sure = votes.max(axis=1) / np.maximum(total, 1e-9)
+    for i, z, x in zip(doc.tolist(), total.tolist(), map(Sentence, start.tolist(), end.tolist(), prose.tolist(), best, sure.tolist(), pick.tolist())):
         if z > 0:
-            out[i][0].append(Sentence(u, LANGUAGES[k], c))
-    return out
+            out[i].append(x)
+    return out, seg
+
+
+def _runs(doc: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Words of each text, in the order in which the texts' sentences stand."""
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    return np.add.reduceat(size, first)
 
 
 def languages_of(row: list[Sentence]) -> list[tuple[str, float]]:
     """Languages with a whole sentence, by share of the text, with mean confidence."""
     size: dict[str, float] = {}
     conf: dict[str, float] = {}
-    running = [x for x in row if x.unit.prose]
-    whole = [x for x in running if x.confidence >= SURE and x.unit.end - x.unit.start >= (6 if x.lang == "zh" else 24)] or running or row
-    for u, k, c in whole:
-        n = u.end - u.start
-        size[k] = size.get(k, 0) + n
-        conf[k] = conf.get(k, 0) + c * n
+    running = [x for x in row if x.prose]
+    whole = [x for x in running if x.confidence >= SURE] or running or row
+    for x in whole:
+        n = x.end - x.start
+        size[x.lang] = size.get(x.lang, 0) + n
+        conf[x.lang] = conf.get(x.lang, 0) + x.confidence * n
     return [(k, conf[k] / size[k]) for k in sorted(size, key=lambda k: (-size[k], k))]
 
 
 def detect(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, is_prose, lang, confidence, langs, segments`` for every row.
 
-    ``segments`` are maximal stretches of one language with positions in code points of the text
-    after repair of its encoding and line ends.
+    ``segments`` are maximal stretches of one language with positions in code points of the text as given.
     """
     bm = docs.sparkSession.sparkContext.broadcast(model)
     kept: dict = {}
 
     def fn(ids: list, texts: list) -> list[list]:
         m = kept.setdefault("m", bm.value)
-        clean = [P.normalise(t) if t and t.strip() else "" for t in texts]
+        pairs = [P.normalise_map(t) if t and t.strip() else ("", None) for t in texts]
+        clean = [t for t, _ in pairs]
         prose_, lang, conf, langs, segs = [], [], [], [], []
-        for t, (row, verdict) in zip(clean, analyse(clean, m)):
+        rows, seg = analyse(clean, m)
+        for (t, back), row, verdict in zip(pairs, rows, seg.is_prose.tolist()):
             ls = languages_of(row)
             prose_.append(verdict if t else None)
             lang.append(ls[0][0] if ls else "und")
             conf.append(ls[0][1] if ls else 0.0)
             langs.append([k for k, _ in ls])
             merged: list[dict] = []
-            for u, k, c in row:
-                a, b = u.start, u.end
+            for a, b, _, k, c, _ in row:
+                if back is not None:
+                    a, b = back[a], back[b]
                 if merged and merged[-1]["lang"] == k:
                     x = merged[-1]
                     w, v = x["end_pos"] - x["start_pos"], b - a
@@ -239,9 +249,7 @@ def found(docs: DataFrame) -> DataFrame:
         m = kept.setdefault("m", bm.value)
         clean = [P.normalise(t) for t in texts]
         oi, ol = [], []
-        for i, s, (row, prose) in zip(ids, stated, analyse(clean, m, prose_only=True)):
-            if not prose:
-                continue
+        for i, s, row in zip(ids, stated, analyse(clean, m, prose_only=True)[0]):
             ks = {k for k, _ in languages_of(row)}
             s = re.split(r"[-_]", (s or "").strip().lower())[0]
             if ks and ks != ({s} if s and s != "und" else set()):

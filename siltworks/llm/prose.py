@@ -13,10 +13,11 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from siltworks.llm.batches import map_columns
-from siltworks.llm.encoding import light_repair
+from siltworks.llm.encoding import light_repair, repair_map
 
 # Frequent function words by language; fixed values.
 COMMON: dict[str, frozenset[str]] = {
@@ -36,7 +37,6 @@ CJK = "㐀-鿿豈-﫿"
 _CJK = re.compile(f"[{CJK}]")
 _CJK_RUN = re.compile(f"[{CJK}]+")
 WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
-_LOW_ASCII = re.compile(r"[a-z0-9]+(?:['\-][a-z0-9]+)*")
 # Ends of sentences: closing marks may follow; an abbreviation is handled by the caller.
 _END = re.compile(r"[.!?…][\"'”’»)\]]*(?=\s|$)|[。！？][”’」』]?")
 _BULLET = re.compile(r"^\s*(?:[-*•·‣▪◦–—]|\(?\d{1,4}[.):,]|\(?[a-z][.)])\s+")
@@ -53,7 +53,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _SPECIAL = re.compile(r"[\d|;•/{}\[\]<>=_#^~\\+*@$%-]")
 _NUMBER = re.compile(r"(?<!\w)\d")
 _OPS = re.compile(r"[{}\[\]<>=_#^~\\+*/@$%]")
-_CLOSED = re.compile(r"[.!?…。！？][\"'”’»)\]」』]*\s*$")
+_ENDS = frozenset(".!?…。！？")
 _ABBREV = re.compile(r"(?:^|[\s(])(?:[A-Z]|no|No|NO|nº|Mr|Mrs|Ms|Dr|Prof|St|Sr|Sra|Nr|M|Mme|Hr|Fr|vs|etc|ca|z\.B|e\.g|i\.e|Inc|Ltd|Co|Jr|tel|Tel|ext)\.$")
 
 
@@ -66,6 +66,11 @@ class Unit(NamedTuple):
     low: list[str]  # the words in lower case
 
 
+def closed(s: str) -> bool:
+    """Whether a text ends in sentence punctuation, before closing marks and white space."""
+    return s.rstrip().rstrip("\"'”’»)]」』")[-1:] in _ENDS
+
+
 # As written in running text, at the start of a sentence and in capitals.
 _CASED = frozenset(x for w in _ALL_COMMON for x in (w, w.capitalize(), w.upper()))
 _is_common = _CASED.__contains__
@@ -78,7 +83,7 @@ def line_kind(line: str) -> str:
     s = line.strip()
     if not s:
         return "blank"
-    if _LOG.match(s):
+    if s[0] in "[0123456789" and _LOG.match(s):
         return "log"
     letters = sum(map(len, _LETTERS.findall(s)))
     if letters < 0.5 * len(s.replace(" ", "")):
@@ -92,61 +97,59 @@ def line_kind(line: str) -> str:
         return "bullet"
     if _CODE.search(line):
         return "code"
-    if _TABLE.search(line) and len(_TABLE.findall(line)) and not _CLOSED.search(s):
+    if not closed(s) and _TABLE.search(line):
         return "table"
     return "flow"
 
 
 _DASH_TALK = re.compile(r"^\s*[-–—]\s+[^\n]*[.!?]\s*$")
+# Ends of sentences of texts without Chinese marks, and of texts in ASCII.
+_END_LATIN = re.compile(r"[.!?…][\"'”’»)\]]*(?=\s|$)")
+_END_ASCII = re.compile(r"[.!?][\"')\]]*(?=\s|$)")
+_END_WIDE = re.compile("[。！？]")
+
+
+def _ends(s: str) -> re.Pattern:
+    return _END_ASCII if s.isascii() else _END if _END_WIDE.search(s) else _END_LATIN
 
 
 def sentences(s: str) -> list[tuple[int, int]]:
     """Spans of the sentences of a flow of text."""
-    out, a = [], 0
-    for m in _END.finditer(s):
+    out, a, n = [], 0, len(s)
+    for m in _ends(s).finditer(s):
         e = m.end()
-        if e <= a:
-            continue
         # Only a short last word can be an abbreviation.
-        if s[e - 1] == "." and e < len(s) and (" " in (tail := s[max(a, e - 6) : e]) or "(" in tail or "\n" in tail or e - a < 6) and _ABBREV.search(s[max(a, e - 8) : e]):
+        if e < n and s[e - 1] == "." and (" " in (tail := s[max(a, e - 6) : e]) or "(" in tail or "\n" in tail or e - a < 6) and _ABBREV.search(s[max(a, e - 8) : e]):
             continue
         out.append((a, e))
         a = e
-    if a < len(s) and s[a:].strip():
-        out.append((a, len(s)))
+    if a < n and not s[a:].isspace():
+        out.append((a, n))
     return out
 
 
 def count_words(s: str) -> int:
     """Words of a text; a run of Chinese characters counts two characters a word."""
     if s.isascii():
-        return len(WORD.findall(s))
+        return len(_ascii_words(s.lower()))
     cjk = sum(map(len, _CJK_RUN.findall(s)))
     return len(WORD.findall(_CJK_RUN.sub(" ", s) if cjk else s)) + (cjk + 1) // 2
 
 
-def _sentence_stats(s: str) -> tuple[int, int, bool, int, list[str]]:
-    """Words, common words, whether the form is that of a running sentence, misfitting pairs, and the
-    words in lower case."""
-    if s.isascii():
-        low, cjk = _LOW_ASCII.findall(s.lower()), 0
-    else:
-        low, cjk = WORD.findall(s.lower()), sum(map(len, _CJK_RUN.findall(s)))
-    if cjk > 4:
-        common = sum(c in _ZH_COMMON for c in s)
-        return count_words(s), common, bool(_CLOSED.search(s)) and common * 40 >= cjk, 0, low
-    n = len(low)
-    if n < 2:
-        return n, 0, False, 0, low
-    common = sum(map(_is_common, low))
-    good = 3 <= n <= 160 and s.count(",") <= 0.22 * n + 1 and bool(_CLOSED.search(s))
-    if good and _SPECIAL.search(s):
-        good = (
-            n - len(_NUMBER.findall(s)) >= 0.7 * n
-            and sum(map(s.count, (",", "|", ";", " - ", "•", " / "))) <= 0.22 * n + 1
-            and len(_OPS.findall(s)) <= 0.04 * len(s) + 1
-        )
-    return n, common, good, _misfits(low) if common > 0.55 * n else 0, low
+# Joining marks that join nothing, and ASCII characters that stand in no word.
+_STRAY = re.compile(r"(?<![a-z0-9])['\-]|['\-](?![a-z0-9])")
+_BLANKED = str.maketrans({c: " " for c in map(chr, range(128)) if not (c.isalnum() or c in "'-")})
+
+
+def _spaced(low: str) -> str:
+    """A lower-case ASCII text, character for character, with blanks for all that is in no word."""
+    if "'" in low or "-" in low:
+        low = _STRAY.sub(" ", low)
+    return low.translate(_BLANKED)
+
+
+def _ascii_words(low: str) -> list[str]:
+    return _spaced(low).split()
 
 
 # Words that cannot stand side by side in English prose; fixed values.
@@ -156,68 +159,240 @@ _PREPOSITIONS = frozenset("of at for with from by between against in on to about
 _AFTER_PREPOSITION = frozenset("is was are were has had can of and or but not if by with from as so who there at for".split())
 
 
-_MISFIT_PAIRS = frozenset((a, b) for x, y in ((_DETERMINERS, _AFTER_DETERMINER), (_PREPOSITIONS, _AFTER_PREPOSITION)) for a in x for b in y)
-
-
-def _misfits(low: list[str]) -> int:
-    """Pairs of lower-case words in which an English closed-class word is followed by one that cannot
-    follow it, or a word by itself; strings of random common words are full of them."""
-    nxt = low[1:]
-    return sum(map(_MISFIT_PAIRS.__contains__, zip(low, nxt))) + sum(map(str.__eq__, low, nxt))
-
-
-def segment(text: str) -> tuple[list[Unit], int]:
-    """All sentences of the text in order with the verdict on each, and the number of all words;
-    list, table, code, log and noise lines are not units.  Noise counts by the pieces between white space."""
-    blocks: list[tuple[int, int]] = []
-    pos, start, last = 0, None, 0
-    total_words = 0
-    for line in text.split("\n"):
-        k = "flow" if _PLAIN.match(line) and "   " not in line and (" " in line or len(line) < 40) else line_kind(line)
-        if k == "bullet" and _DASH_TALK.match(line) and sum(map(_is_common, WORD.findall(line))) >= 2:
-            k = "flow"
-        if k == "flow" or (k in ("table", "code") and start is not None and _CLOSED.search(line) and sum(map(_is_common, WORD.findall(line))) >= 3):
-            if start is None:
-                start = pos
-            last = pos + len(line)
-        else:
-            if start is not None:
-                blocks.append((start, last))
-                start = None
-            if k != "blank":
-                total_words += len(line.split()) if k == "noise" else count_words(line)
-        pos += len(line) + 1
-    if start is not None:
-        blocks.append((start, last))
-    out: list[Unit] = []
-    for a, b in blocks:
-        flow = text[a:b]
-        raw, total, common, words, bad, lower = [], 0, 0, 0, 0, 0
-        for x, y in sentences(flow):
-            s = flow[x:y]
-            n, c, good, misfit, low = _sentence_stats(s)
-            words += n
-            bad += misfit
-            lower += n if s.lstrip()[:1].islower() else 0
-            raw.append((a + x, a + y, s, n, c, good, low))
-            if good:
-                total += n
-                common += c
-        total_words += words
-        ok = total > 0 and common >= 0.12 * total and bad < (0.05 if 2 * lower > words else 0.12) * words
-        for x, y, s, n, c, good, low in raw:
-            out.append(Unit(x, y, s, n, ok and good and (c > 0 or n >= 4), low))
-    return out, total_words
+class Vocabulary:
+    """The words that a worker met, numbered in lower case, with facts of each.
+
+    ``renew`` forgets all of them once there are more than ``most``; it is called between batches
+    only, so that the numbers of one batch stay valid.
+    """
+
+    COMMON, DET, AFTER_DET, PREP, AFTER_PREP, ALPHA, WIDE, NUMBER = 1, 2, 4, 8, 16, 32, 64, 128
+
+    def __init__(self, most: int = 400_000) -> None:
+        self.most = most
+        self.generation = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index = _Numbers()
+        self.words = self.index.words
+        self.flags = np.zeros(4096, dtype=np.uint8)
+        self.size = np.zeros(4096, dtype=np.float32)
+        self.done = 0
+
+    def renew(self) -> None:
+        if len(self.words) > self.most:
+            self.generation += 1
+            self._clear()
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        n = len(self.words)
+        if n > self.done:
+            if n > len(self.flags):
+                more = max(n, 2 * len(self.flags))
+                self.flags, self.size = np.resize(self.flags, more), np.resize(self.size, more)
+            for j in range(self.done, n):
+                w = self.words[j]
+                self.flags[j] = (
+                    (w in _ALL_COMMON) | (w in _DETERMINERS) << 1 | (w in _AFTER_DETERMINER) << 2 | (w in _PREPOSITIONS) << 3
+                    | (w in _AFTER_PREPOSITION) << 4 | w.isalpha() << 5 | bool(_CJK.search(w)) << 6 | w[0].isdigit() << 7
+                )
+                self.size[j] = len(w)
+            self.done = n
+        return out
+
+
+class _Numbers(dict):
+    """Words to numbers in the order of their first use."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: list[str] = []
+
+    def __missing__(self, w: str) -> int:
+        self[w] = n = len(self.words)
+        self.words.append(w)
+        return n
+
+
+_VOCABULARY = Vocabulary()
+
+
+class Segments(NamedTuple):
+    """The sentences of a batch of texts in order, one array entry a sentence, and their words."""
+
+    doc: np.ndarray  # the text's number in the batch
+    start: np.ndarray
+    end: np.ndarray
+    words: np.ndarray  # words, a run of Chinese characters as two characters a word
+    prose: np.ndarray  # whether it is a running sentence
+    at: np.ndarray  # where its words begin in ``ids``; one entry more than sentences
+    ids: np.ndarray  # numbers of the words of all sentences in ``vocabulary``
+    total: np.ndarray  # words of each text, those outside sentences too
+    running: np.ndarray  # words of each text in running sentences
+    other_doc: np.ndarray  # texts of the words outside sentences
+    other_ids: np.ndarray
+    vocabulary: Vocabulary
+
+    @property
+    def is_prose(self) -> np.ndarray:
+        """Per text whether running sentences hold at least half of its words."""
+        return (self.total > 0) & (2 * self.running >= self.total)
+
+
+_ZH_MARKS = re.compile(f"[{''.join(sorted(_ZH_COMMON))}]")
+
+
+def _add_up(values: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(by, weights=values, minlength=n)
+
+
+def segment_all(texts: list[str], vocabulary: Vocabulary | None = None) -> Segments:
+    """Cut a batch of texts into sentences with the verdict on each; list, table, code, log and noise
+    lines hold no sentences.  Noise counts by the pieces between white space."""
+    voc = vocabulary or _VOCABULARY
+    voc.renew()
+    flat: list[str] = []
+    other: list[str] = []
+    other_doc: list[int] = []
+    doc, block_of, starts, ends, count, at, form, commons = [], [], [], [], [], [], [], []
+    lowered: list[bool] = []
+    total = np.zeros(len(texts))
+    n_blocks = 0
+    for d, text in enumerate(texts):
+        blocks: list[tuple[int, int]] = []
+        pos, start, last = 0, -1, 0
+        extra = 0
+        for line in text.split("\n"):
+            size = len(line)
+            if not line or line.isspace():
+                if start >= 0:
+                    blocks.append((start, last))
+                    start = -1
+                pos += size + 1
+                continue
+            k = "flow" if _PLAIN.match(line) and "   " not in line and (size < 40 or " " in line) else line_kind(line)
+            if k != "flow":
+                if k == "bullet":
+                    if _DASH_TALK.match(line) and sum(map(_is_common, WORD.findall(line))) >= 2:
+                        k = "flow"
+                elif start >= 0 and k in ("table", "code") and closed(line) and sum(map(_is_common, WORD.findall(line))) >= 3:
+                    k = "flow"
+            if k == "flow":
+                if start < 0:
+                    start = pos
+                last = pos + size
+            else:
+                if start >= 0:
+                    blocks.append((start, last))
+                    start = -1
+                if k == "noise":
+                    extra += len(line.split())
+                else:
+                    ws = _ascii_words(line.lower()) if line.isascii() else WORD.findall(line.lower())
+                    cjk = 0 if line.isascii() else sum(map(len, _CJK_RUN.findall(line)))
+                    extra += count_words(line) if cjk else len(ws)
+                    other += ws
+                    other_doc += [d] * len(ws)
+            pos += size + 1
+        if start >= 0:
+            blocks.append((start, last))
+        for a, b in blocks:
+            flow = text[a:b]
+            plain = flow.isascii()
+            if plain:
+                spaced = _spaced(flow.lower())
+            special = _SPECIAL.search(flow) is not None
+            for x, y in sentences(flow):
+                s = flow[x:y]
+                cjk = 0
+                if plain:
+                    low = spaced[x:y].split()
+                elif s.isascii():
+                    low = _ascii_words(s.lower())
+                else:
+                    low = WORD.findall(s.lower())
+                    cjk = sum(map(len, _CJK_RUN.findall(s)))
+                n = len(low)
+                if cjk > 4:
+                    n = count_words(s)
+                    c = len(_ZH_MARKS.findall(s))
+                    good = c * 40 >= cjk and closed(s)
+                else:
+                    c = -1
+                    good = 3 <= n <= 160 and s.count(",") <= 0.22 * n + 1 and (y < b - a or closed(s))
+                    if good and special and _SPECIAL.search(s):
+                        good = (
+                            n - len(_NUMBER.findall(s)) >= 0.7 * n
+                            and sum(map(s.count, (",", "|", ";", " - ", "•", " / "))) <= 0.22 * n + 1
+                            and len(_OPS.findall(s)) <= 0.04 * len(s) + 1
+                        )
+                doc.append(d)
+                block_of.append(n_blocks)
+                starts.append(a + x)
+                ends.append(a + y)
+                count.append(n)
+                at.append(len(flat))
+                form.append(good)
+                commons.append(c)
+                lowered.append(s.lstrip()[:1].islower())
+                flat += low
+            n_blocks += 1
+        total[d] = extra
+    ids = voc.ids(flat)
+    other_ids = voc.ids(other)
+    m = len(doc)
+    doc_, block, words, form_ = np.array(doc, dtype=np.int64), np.array(block_of, dtype=np.int64), np.array(count, dtype=np.int64), np.array(form, dtype=bool)
+    at_ = np.array([*at, len(flat)], dtype=np.int64)
+    size = np.diff(at_)
+    owner = np.repeat(np.arange(m), size)
+    flags = voc.flags[ids]
+    given = np.array(commons, dtype=np.float64)
+    common = np.where(given >= 0, given, np.where(size < 2, 0, _add_up(flags & voc.COMMON, owner, m)))
+    # Pairs of words in which an English closed-class word is followed by one that cannot follow it, or
+    # a word by itself; strings of random common words are full of them.
+    bad = np.zeros(m)
+    if len(ids) > 1:
+        f, g = flags[:-1], flags[1:]
+        pair = ((f & voc.DET > 0) & (g & voc.AFTER_DET > 0) | (f & voc.PREP > 0) & (g & voc.AFTER_PREP > 0)).astype(np.int64) + (ids[:-1] == ids[1:])
+        pair[owner[:-1] != owner[1:]] = 0
+        bad = np.where((given < 0) & (common > 0.55 * size), _add_up(pair, owner[:-1], m), 0)
+    b_words = _add_up(words, block, n_blocks)
+    b_total = _add_up(words * form_, block, n_blocks)
+    b_common = _add_up(common * form_, block, n_blocks)
+    b_lower = _add_up(words * np.array(lowered, dtype=bool), block, n_blocks)
+    ok = (b_total > 0) & (b_common >= 0.12 * b_total) & (_add_up(bad, block, n_blocks) < np.where(2 * b_lower > b_words, 0.05, 0.12) * b_words)
+    prose = ok[block] & form_ & ((common > 0) | (words >= 4)) if m else form_
+    total += _add_up(words, doc_, len(texts))
+    running = _add_up(words * prose, doc_, len(texts))
+    return Segments(doc_, np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64), words, prose, at_, ids, total, running, np.array(other_doc, dtype=np.int64), other_ids, voc)
+
+
+def misfits(low: list[str]) -> int:
+    """Pairs of lower-case words that cannot stand side by side, or a word twice."""
+    _VOCABULARY.renew()
+    ids = _VOCABULARY.ids(low)
+    f = _VOCABULARY.flags[ids]
+    f, g = f[:-1], f[1:]
+    v = Vocabulary
+    return int(((f & v.DET > 0) & (g & v.AFTER_DET > 0) | (f & v.PREP > 0) & (g & v.AFTER_PREP > 0)).sum() + (ids[:-1] == ids[1:]).sum())
 
 
 def units(text: str) -> list[Unit]:
-    return segment(text)[0]
+    """The sentences of one text."""
+    s = segment_all([text])
+    w = s.vocabulary.words
+    return [
+        Unit(int(a), int(b), text[a:b], int(n), bool(p), [w[j] for j in s.ids[i:k]])
+        for a, b, n, p, i, k in zip(s.start, s.end, s.words, s.prose, s.at[:-1], s.at[1:])
+    ]
 
 
 def prose_share(text: str) -> tuple[int, int]:
     """Words in running sentences, and all words."""
-    us, n = segment(text)
-    return sum(u.words for u in us if u.prose), n
+    s = segment_all([text])
+    return int(s.running[0]), int(s.total[0])
 
 
 def normalise(text: str) -> str:
@@ -226,6 +401,20 @@ def normalise(text: str) -> str:
     return text if text.isascii() and "&#" not in text else light_repair(text)
 
 
+def normalise_map(text: str) -> tuple[str, list[int] | None]:
+    """The normalised text, and for each of its positions (its end too) that of the text as given;
+    None where they are the same."""
+    back: list[int] | None = None
+    if "\r" in text:
+        back = [i for i, c in enumerate(text) if c != "\r" or text[i + 1 : i + 2] != "\n"]
+        back.append(len(text))
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    clean, repaired = repair_map(text)
+    if repaired is not None:
+        back = repaired if back is None else [back[i] for i in repaired]
+    return clean, back
+
+
 def is_prose(text: str) -> bool:
     p, n = prose_share(normalise(text))
     return 2 * p >= n and n > 0
@@ -242,49 +431,77 @@ SCHEMA = (
     "bullet_line_share double, ellipsis_line_share double, common_word_share double, alpha_word_share double, "
     "prose_share double, is_prose boolean, reasons array<string>"
 )
-_SYMBOL = re.compile(r"[#{}\[\]<>=_^~\\|+*/@$%]|[─-◿]")
-
-
-def stats(text: str | None) -> tuple:
-    if text is None or not text.strip():
-        return (len(text or ""), 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, None, ["empty"])
-    t = normalise(text)
-    lines = [x for x in t.split("\n") if x.strip()]
-    ws = WORD.findall(_CJK_RUN.sub(" ", t)) if not t.isascii() else WORD.findall(t)
-    p, n = prose_share(t)
-    cjk = n - len(ws)
-    mean = sum(map(len, ws)) / len(ws) if ws else 0.0
-    symbols = len(_SYMBOL.findall(t)) / len(t)
-    punct = sum(bool(_CLOSED.search(x)) for x in lines) / len(lines)
-    bullets = sum(bool(_BULLET.match(x)) for x in lines) / len(lines)
-    dots = sum(x.rstrip().endswith(("...", "…")) for x in lines) / len(lines)
-    common = (sum(map(_is_common, ws)) + (sum(c in _ZH_COMMON for c in t) if cjk else 0)) / max(n, 1)
-    alpha = (sum(map(str.isalpha, ws)) + cjk) / max(n, 1)
-    share = p / n if n else 0.0
-    why = [
-        name
-        for name, bad in (
-            ("few_words", n < MIN_WORDS),
-            ("many_words", n > MAX_WORDS),
-            ("word_length", bool(ws) and cjk < len(ws) and not MIN_MEAN <= mean <= MAX_MEAN),
-            ("symbols", symbols > MAX_SYMBOLS),
-            ("bullets", bullets > MAX_BULLETS),
-            ("ellipsis", dots > MAX_ELLIPSIS),
-            ("alphabetic", alpha < MIN_ALPHA),
-            ("common_words", common < MIN_COMMON),
-            ("unpunctuated", punct < MIN_PUNCT),
-            ("no_running_text", share < MIN_PROSE),
-        )
-        if bad
-    ]
-    return (len(text), n, mean, symbols, punct, bullets, dots, common, alpha, share, share >= MIN_PROSE, why)
+_SYMBOLS = "#{}[]<>=_^~\\|+*/@$%"
+_BOXES = re.compile("[─-◿]")
+
+
+def stats(texts: list[str | None]) -> list[list]:
+    """Columns of ``SCHEMA`` for a batch of texts: counts over lines and over numbered words of the
+    whole batch, then the fixed thresholds on whole columns.  Words of noise lines count by pieces,
+    and are neither common nor alphabetic."""
+    clean = [normalise(t) if t and t.strip() else "" for t in texts]
+    k = len(texts)
+    seg = segment_all(clean)
+    line_of, ends, bullets, dots = [], [], [], []
+    symbols = np.zeros(k)
+    marks = np.zeros(k)
+    for d, t in enumerate(clean):
+        if not t:
+            continue
+        symbols[d] = sum(map(t.count, _SYMBOLS)) + (0 if t.isascii() else len(_BOXES.findall(t)))
+        marks[d] = 0 if t.isascii() or not _CJK.search(t) else len(_ZH_MARKS.findall(t))
+        for x in t.split("\n"):
+            x = x.rstrip()
+            if x:
+                line_of.append(d)
+                ends.append(closed(x))
+                bullets.append(_BULLET.match(x) is not None)
+                dots.append(x.endswith(("...", "…")))
+    line = np.array(line_of, dtype=np.int64)
+    lines = np.maximum(_add_up(np.ones(len(line)), line, k), 1)
+    voc = seg.vocabulary
+    owner = np.concatenate([np.repeat(seg.doc, np.diff(seg.at)), seg.other_doc])
+    ids = np.concatenate([seg.ids, seg.other_ids])
+    flags = voc.flags[ids]
+    latin = flags & voc.WIDE == 0
+    n = seg.total
+    latin_words = _add_up(latin, owner, k)
+    cjk = np.maximum(n - latin_words, 0)
+    safe = np.maximum(n, 1)
+    mean = _add_up(voc.size[ids] * latin, owner, k) / np.maximum(latin_words, 1)
+    common = (_add_up((flags & voc.COMMON > 0) & latin, owner, k) + marks) / safe
+    wide = _add_up(flags & voc.WIDE > 0, owner, k) > 0
+    alpha = (_add_up((flags & voc.ALPHA > 0) & latin, owner, k) + cjk * wide) / safe
+    symbol = symbols / np.maximum([len(t) for t in clean], 1)
+    punct, bullet, dot = (_add_up(np.array(x, dtype=bool), line, k) / lines for x in (ends, bullets, dots))
+    share = seg.running / safe
+    empty = np.array([not t for t in clean])
+    rules = {
+        "few_words": n < MIN_WORDS,
+        "many_words": n > MAX_WORDS,
+        "word_length": (latin_words > cjk * wide) & ((mean < MIN_MEAN) | (mean > MAX_MEAN)),
+        "symbols": symbol > MAX_SYMBOLS,
+        "bullets": bullet > MAX_BULLETS,
+        "ellipsis": dot > MAX_ELLIPSIS,
+        "alphabetic": alpha < MIN_ALPHA,
+        "common_words": common < MIN_COMMON,
+        "unpunctuated": punct < MIN_PUNCT,
+        "no_running_text": ~seg.is_prose,
+    }
+    why: list[list[str]] = [["empty"] if e else [] for e in empty]
+    for name, bad in rules.items():
+        for d in np.flatnonzero(bad & ~empty):
+            why[d].append(name)
+    verdict = [None if e else not bad for e, bad in zip(empty, rules["no_running_text"])]
+    numbers = [np.where(empty, 0.0, x).tolist() for x in (mean, symbol, punct, bullet, dot, common, alpha, share)]
+    return [[len(t or "") for t in texts], n.astype(np.int64).tolist(), *numbers, verdict, why]
 
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of statistics, verdict and reasons per input row."""
 
     def fn(ids: list, texts: list) -> list[list]:
-        return [ids, *map(list, zip(*map(stats, texts)))]
+        return [ids, *stats(texts)]
 
     id_type = dict(docs.dtypes)[id_col]
     return map_columns(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")), ["_i", "_t"], f"{id_col} {id_type}, {SCHEMA}", fn)

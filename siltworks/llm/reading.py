@@ -45,68 +45,74 @@ SAMPLES = {
 }
 
 
-def _parts(u: P.Unit) -> tuple[list[str], int]:
-    return u.low, u.text.count(",") + u.text.count(";")
-
-
 class _Words:
-    """Feature rows of words, each computed once."""
+    """Feature rows of the numbered words of a vocabulary, each computed once."""
 
     def __init__(self) -> None:
-        self.index: dict[str, int] = {}
-        self.rows = np.zeros((4096, 9), dtype=np.float32)
-
-    def ids(self, words: list[str]) -> list[int]:
-        get = self.index.get
-        out = [get(w, -1) for w in words]
-        if -1 in out:
-            for i, j in enumerate(out):
-                if j < 0:
-                    out[i] = self._add(words[i])
-        return out
-
-    def _add(self, w: str) -> int:
-        j = self.index.get(w)
-        if j is None:
-            if len(self.index) > 400_000:
-                self.index.clear()
-            j = self.index[w] = len(self.index)
-            if j >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            low, n = w.lower(), len(w)
-            syl = max(1, len(_VOWELS.findall(low)))
-            self.rows[j] = (n, syl, n > 6, syl >= 3, syl >= 5, n <= 4, n > 6 and bool(_ABSTRACT.search(low)), low in P._ALL_COMMON, low in _SUBORDINATE)
-        return j
+        self.of: tuple[int, int] | None = None
+
+    def rows(self, ids: np.ndarray, voc: P.Vocabulary) -> np.ndarray:
+        if self.of != (id(voc), voc.generation):
+            self.of = (id(voc), voc.generation)
+            self.table = np.zeros((4096, 9), dtype=np.float32)
+            self.known = np.zeros(4096, dtype=bool)
+        n = len(voc.words)
+        if n > len(self.known):
+            more = max(n, 2 * len(self.known)) - len(self.known)
+            self.table = np.concatenate([self.table, np.zeros((more, 9), dtype=np.float32)])
+            self.known = np.concatenate([self.known, np.zeros(more, dtype=bool)])
+        for j in np.unique(ids[~self.known[ids]]).tolist():
+            w = voc.words[j]
+            n = len(w)
+            syl = max(1, len(_VOWELS.findall(w)))
+            self.table[j] = (n, syl, n > 6, syl >= 3, syl >= 5, n <= 4, n > 6 and bool(_ABSTRACT.search(w)), w in P._ALL_COMMON, w in _SUBORDINATE)
+            self.known[j] = True
+        return self.table[ids]
 
 
 _WORDS = _Words()
 
 
-def doc_features(sentences: list[tuple[list[str], int]]) -> list[float] | None:
-    """Word-weighted medians over the sentences, given as words and commas, of: mean letters and syllables, shares of long, of
-    polysyllabic, of very polysyllabic, of short, of abstract, of common and of subordinating words,
-    commas per word, log of length, and the longest word."""
-    words, starts, sizes, commas = [], [], [], []
-    for ws, k in sentences:
-        if len(ws) >= 3:
-            starts.append(len(words))
-            sizes.append(len(ws))
-            commas.append(k)
-            words += ws
-    if not words:
-        return None
-    ids = _WORDS.ids(words)
-    r = _WORDS.rows[ids]
-    n = np.array(sizes, dtype=np.float64)
-    x = np.empty((len(sizes), 12))
+def doc_features(texts: list[str], seg: P.Segments, doc: np.ndarray, sentence: np.ndarray) -> list[list[float] | None]:
+    """Per text the word-weighted medians over its chosen sentences, given by their numbers in the order
+    of the texts, of: mean letters and syllables, shares of long, of polysyllabic, of very polysyllabic, of
+    short, of abstract, of common and of subordinating words, commas per word, log of length, and the
+    longest word.  Texts without a chosen sentence of three words have none."""
+    out: list[list[float] | None] = [None] * len(texts)
+    size = seg.at[sentence + 1] - seg.at[sentence]
+    long = size >= 3
+    doc, sentence, size = doc[long], sentence[long], size[long]
+    if not len(doc):
+        return out
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    place = np.arange(int(size.sum())) + np.repeat(seg.at[sentence] - starts, size)
+    r = _WORDS.rows(seg.ids[place], seg.vocabulary)
+    commas = [texts[d].count(",", a, b) + texts[d].count(";", a, b) for d, a, b in zip(doc.tolist(), seg.start[sentence].tolist(), seg.end[sentence].tolist())]
+    n = size.astype(np.float64)
+    x = np.empty((len(size), 12))
     x[:, :9] = np.add.reduceat(r, starts, axis=0) / n[:, None]
     x[:, 9] = np.array(commas) / n
     x[:, 10] = np.log1p(n)
     x[:, 11] = np.maximum.reduceat(r[:, 0], starts) / 10.0
-    o = np.argsort(x, axis=0, kind="stable")
-    cum = np.cumsum(n[o], axis=0)
-    at = (cum < cum[-1] / 2).sum(axis=0)
-    return x[o[at, np.arange(12)], np.arange(12)].tolist()
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc))))
+    half = np.add.reduceat(n, first) / 2
+    f = np.empty((len(first), 12))
+    for k in range(12):
+        o = np.lexsort((x[:, k], group))
+        cum = np.cumsum(n[o])
+        base = np.concatenate([[0], cum])[first]
+        f[:, k] = x[o[first + np.add.reduceat(cum - base[group] < half[group], first)], k]
+    for d, v in zip(doc[first].tolist(), f.tolist()):
+        out[d] = v
+    return out
+
+
+def features_of(texts: list[str], running: bool = True) -> list[list[float] | None]:
+    """Features of a batch of texts over their running sentences, or over all."""
+    seg = P.segment_all(texts)
+    own = np.flatnonzero(seg.prose) if running else np.arange(len(seg.doc))
+    return doc_features(texts, seg, seg.doc[own], own)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,9 +171,8 @@ def fit(feats: list[list[float]], levels: list[float], pairs: int = 20_000, epoc
 def _sample_rows() -> tuple[list[list[float]], list[float]]:
     f, y = [], []
     for k, ts in SAMPLES.items():
-        for t in ts:
-            f.append(doc_features([_parts(u) for u in P.units(t)]))
-            y.append(float(k))
+        f += features_of(ts, running=False)
+        y += [float(k)] * len(ts)
     return f, y
 
 
@@ -176,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Ranker:
     src = docs.select("doc_id", "text").join(g, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
 
     def fn(ys: list, texts: list) -> list[list]:
-        return [ys, [doc_features([_parts(u) for u in P.units(P.normalise(t or "")) if u.prose]) for t in texts]]
+        return [ys, features_of([P.normalise(t or "") for t in texts])]
 
     rows = map_columns(src, ["y", "text"], "y double, f array<double>", fn).where("f IS NOT NULL").collect()
     f, y = _sample_rows()
@@ -191,11 +196,12 @@ def levels(docs: DataFrame, ranker: Ranker, model: Crf, keep: tuple[str, ...] =
     def fn(ids: list, texts: list, *rest: list) -> list[list]:
         r, m = kept.setdefault("m", bm.value)
         clean = [P.normalise(t) if t and t.strip() else "" for t in texts]
-        eng, lev, sc = [], [], []
-        for row, prose in L.analyse(clean, m, prose_only=True):
-            english = prose and [k for k, _ in L.languages_of(row)] == ["en"]
-            f = doc_features([_parts(x.unit) for x in row if x.unit.prose]) if english else None
-            eng.append(english)
+        rows, seg = L.analyse(clean, m, prose_only=True)
+        eng = [p and [k for k, _ in L.languages_of(row)] == ["en"] for row, p in zip(rows, seg.is_prose.tolist())]
+        own = [(d, x.number) for d, row in enumerate(rows) if eng[d] for x in row if x.prose]
+        doc, sentence = (np.array(v, dtype=np.int64) for v in zip(*own)) if own else (np.zeros(0, dtype=np.int64),) * 2
+        lev, sc = [], []
+        for f in doc_features(clean, seg, doc, sentence):
             k, v = r.level(f) if f else (None, None)
             lev.append(k)
             sc.append(v)
