@@ -76,7 +76,7 @@ def plain(w: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c))
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=50_000)
 def undisguise(w: str) -> tuple[str, bool]:
     """The plain form of a token, and whether it was disguised (spelled out, masked or with digits)."""
     if _SPELLED.fullmatch(w):
@@ -96,7 +96,7 @@ def undisguise(w: str) -> tuple[str, bool]:
     return leet, any(c in "*@$#" for c in p) or bool(re.search(r"[a-z]\d[a-z]", p))
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=50_000)
 def word_class(w: str) -> str:
     p, hid = undisguise(w)
     return _CLASS.get(p, "-") + ("h" if hid else "")
@@ -105,19 +105,28 @@ def word_class(w: str) -> str:
 _FAST = re.compile(r"\w+(?:[*@$#]+\w*)*|[*@$#]+\w+|[^\w\s]")
 
 
-def tokens(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m.group()) for m in (_TOKEN if _SPELL_HINT.search(text) and _SPELLED.search(text) else _FAST).finditer(text)]
-
-
 _MASKED = re.compile(r"[*@$#]")
 _SIMPLE = re.compile(r"\w+|[^\w\s]")
+# Chinese has no blanks between words: each of its characters is a token.
+_WIDE = re.compile(rf"[{P.CJK}]|[^\W{P.CJK}]+(?:[*@$#]+[^\W{P.CJK}]*)*|[*@$#]+[^\W{P.CJK}]+|[^\w\s]")
+
+
+def _pattern(text: str, spelled: bool = True, masked: bool = True) -> re.Pattern:
+    """What finds the tokens of a text; ``spelled`` and ``masked`` say whether it may hold such disguises."""
+    if spelled and _SPELL_HINT.search(text) and _SPELLED.search(text):
+        return _TOKEN
+    if not text.isascii() and P._CJK.search(text):
+        return _WIDE
+    return _FAST if masked else _SIMPLE
 
 
 def words_of(text: str, spelled: bool = True, masked: bool = True) -> list[str]:
-    """Tokens in lower case; ``spelled`` and ``masked`` say whether the text may hold such disguises."""
-    if spelled and _SPELLED.search(text):
-        return _TOKEN.findall(text.lower())
-    return (_FAST if masked else _SIMPLE).findall(text.lower())
+    """Tokens in lower case."""
+    return _pattern(text, spelled, masked).findall(text.lower())
+
+
+def tokens(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), m.group()) for m in _pattern(text).finditer(text)]
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
@@ -135,7 +144,7 @@ def flags(words: list[str]) -> str:
     return ("R" if s & _REPORT else "") + ("Y" if s & _SECOND else "")
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=50_000)
 def hashes(w: str) -> tuple[int, int]:
     """Hashes of a token's plain form and of its class."""
     return zlib.crc32(undisguise(w)[0].encode("utf-8", "surrogatepass")), zlib.crc32(("k:" + word_class(w)).encode())
@@ -176,87 +185,111 @@ class Tagger:
         self.crf.fit([self.keys(w) for w, _ in data], [t for _, t in data], epochs=6, rate=0.5, batch=512)
         return self
 
-    def _sum(self, *names: str) -> float:
-        return float(self.w[feature_ids(names, self.BITS)].sum())
-
-    def _word(self, w: str) -> int:
-        """The number of a word; its own parts of the scores are made once."""
-        j = self.words.get(w)
+    def _class(self, k: str) -> int:
+        """The number of a class of words; its own parts of the scores are made once."""
+        j = self.classes.get(k)
         if j is None:
-            j = self.words[w] = len(self.words)
-            b, k = undisguise(w)[0], word_class(w)
-            own = self._sum("c:" + b, "k:" + k, "pre:" + b[:4], "bias")
-            self.own.append([own + self._sum("f:" + f, "fk:" + f + k) for f in ("", "R", "Y", "RY")] + [self._sum("p:" + b), self._sum("n:" + b)])
-            self.hash.append([*hashes(w), (b in _REPORT) + 2 * (b in _SECOND)])
+            j = self.classes[k] = len(self.classes)
+            self.class_hash.append(zlib.crc32(("k:" + k).encode()))
+            self.class_own.append([float(self.w[feature_ids(["k:" + k, "bias", "f:" + f, "fk:" + f + k], self.BITS)].sum()) for f in ("", "R", "Y", "RY")])
+            h = np.array(self.class_hash, dtype=np.uint32)
+            n = len(h)
+            a, b = np.repeat(h, n), np.tile(h, n)
+            m = np.uint32((1 << self.BITS) - 1)
+            # The score of a class after another, for the later and for the earlier of the two.
+            self.after = self.w[mix(a, b, _CLASS_BEFORE) & m].reshape(n, n)
+            self.before = self.w[mix(a, b, _CLASS_AFTER) & m].reshape(n, n)
         return j
 
-    def scores(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Toxic-over-ok emission scores of all tokens of all sentences, and the sentences' starts.
+    def _learn(self) -> None:
+        """Make the parts of the scores of the words met since the last call, all at once."""
+        new = self.index.words[len(self.hash) :]
+        if not new:
+            return
+        ids, hashed, kind, fact = [], [], [], []
+        for w in new:
+            b = undisguise(w)[0]
+            ids += feature_ids(("c:" + b, "pre:" + b[:4], "p:" + b, "n:" + b), self.BITS)
+            hashed.append(zlib.crc32(b.encode("utf-8", "surrogatepass")))
+            kind.append(self._class(word_class(w)))
+            fact.append((b in _REPORT) | (b in _SECOND) << 1 | w.isalpha() << 2)
+        part = self.w[ids].reshape(-1, 4)
+        own = np.empty((len(new), 6), dtype=np.float32)
+        own[:, :4] = (part[:, 0] + part[:, 1])[:, None] + np.array(self.class_own, dtype=np.float32)[kind]
+        own[:, 4:] = part[:, 2:]
+        self.own = np.concatenate([self.own, own])
+        self.hash = np.concatenate([self.hash, np.array(hashed, dtype=np.uint32)])
+        self.kind = np.concatenate([self.kind, np.array(kind, dtype=np.int64)])
+        self.fact = np.concatenate([self.fact, np.array(fact, dtype=np.uint8)])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of tokens; they stay valid until the next call of ``renew``."""
+        ids = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        self._learn()
+        return ids
+
+    def renew(self) -> None:
+        if len(self.index) > 300_000:
+            self._reset()
+
+    def scores(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Toxic-over-ok emission scores of all tokens of all sentences, given end to end, and the
+        sentences' starts among the scores.
 
-        Sentences are laid end to end with two markers before and one after each; the features of
-        pairs are hashed for all of them at once.
+        Sentences are laid out with two markers before and one after each; the features of pairs are
+        hashed for all of them at once.
         """
-        if len(self.words) > 300_000:
-            self._reset()
-        seq: list[str] = []
-        starts = []
-        for ws in sents:
-            seq += ("<", "<")
-            starts.append(len(seq))
-            seq += ws
-            seq.append(">")
-        get = self.words.get
-        ids = [get(w, -1) for w in seq]
-        if -1 in ids:
-            ids = [self._word(w) if j < 0 else j for w, j in zip(seq, ids)]
-        ids = np.array(ids, dtype=np.int64)
-        size = np.array([len(w) for w in sents])
-        if len(self.arrays[0]) < len(self.own):
-            n = len(self.arrays[0])
-            self.arrays = (np.concatenate([self.arrays[0], np.array(self.own[n:], dtype=np.float32)]), np.concatenate([self.arrays[1], np.array(self.hash[n:], dtype=np.uint64)]))
-        own, facts = self.arrays
-        h, k = facts[ids, 0], facts[ids, 1]
-        f = np.bitwise_or.reduceat(facts[ids, 2], np.array(starts) - 2).astype(np.int64)
-        out = own[ids, np.repeat(f, size + 3)]
-        m = np.uint64((1 << self.BITS) - 1)
+        m = len(size)
+        before, after = self.numbers(["<", ">"])
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        starts = first + 3 * np.arange(m) + 2
+        lay = np.full(len(ids) + 3 * m, before, dtype=np.int64)
+        lay[np.arange(len(ids)) + np.repeat(starts - first, size)] = ids
+        lay[starts + size] = after
+        h, k = self.hash[lay], self.kind[lay]
+        f = np.bitwise_or.reduceat(self.fact[lay] & 3, starts - 2).astype(np.int64)
+        out = self.own[lay, np.repeat(f, size + 3)]
+        mask = np.uint32((1 << self.BITS) - 1)
         W = self.w
-        out[1:] += own[ids[:-1], 4] + W[mix(k[:-1], k[1:], _CLASS_BEFORE) & m] + W[mix(h[:-1], h[1:], _BEFORE) & m]
-        out[:-1] += own[ids[1:], 5] + W[mix(k[:-1], k[1:], _CLASS_AFTER) & m] + W[mix(h[:-1], h[1:], _AFTER) & m]
-        out[2:] += W[mix(h[:-2], h[2:], _TWO_BEFORE) & m]
-        return out, np.array(starts)
-
-    def marginals(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of toxic per token of all sentences, by forward-backward over padded batches,
-        and the place where each sentence's tokens begin."""
-        if not sents:
-            return np.zeros(0, dtype=np.float32), np.zeros(1, dtype=np.int64)
-        flat, st = self.scores(sents)
-        # All marginals end to end, each sentence followed by one zero.
-        size = np.array([len(s) for s in sents])
-        at = np.concatenate([[0], np.cumsum(size + 1)])
-        every = np.zeros(int(at[-1]), dtype=np.float32)
+        out[1:] += self.own[lay[:-1], 4] + self.after[k[:-1], k[1:]] + W[mix(h[:-1], h[1:], _BEFORE) & mask]
+        out[:-1] += self.own[lay[1:], 5] + self.before[k[:-1], k[1:]] + W[mix(h[:-1], h[1:], _AFTER) & mask]
+        out[2:] += W[mix(h[:-2], h[2:], _TWO_BEFORE) & mask]
+        return out, starts
+
+    def marginals(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Probability of toxic of all tokens of all sentences, given end to end, by forward-backward
+        over padded batches."""
+        every = np.zeros(len(ids), dtype=np.float32)
+        if not len(ids):
+            return every
+        flat, st = self.scores(ids, size)
+        at = np.concatenate([[0], np.cumsum(size)])
         order = np.argsort(-size, kind="stable")
         a = 0
         while a < len(order) and size[order[a]]:
             T = int(size[order[a]])
             b = min(len(order), a + max(1, 100_000 // T))
             b = a + int((size[order[a:b]] * 2 >= T).sum())
-            ids = order[a:b]
-            n = size[ids]
+            group = order[a:b]
+            n = size[group]
             t = np.arange(T)[:, None]
             inside = t < n[None, :]
-            em = np.zeros((T, len(ids), 2), dtype=np.float32)
-            em[:, :, 1] = np.where(inside, flat[np.minimum(st[ids][None, :] + t, len(flat) - 1)], 0.0)
+            em = np.zeros((T, len(group), 2), dtype=np.float32)
+            em[:, :, 1] = np.where(inside, flat[np.minimum(st[group][None, :] + t, len(flat) - 1)], 0.0)
             m = posterior(em, n, self.crf.trans, self.crf.start)[:, :, 1]
-            every[(at[ids][None, :] + t)[inside]] = m[inside]
+            every[(at[group][None, :] + t)[inside]] = m[inside]
             a = b
-        return every, at
+        return every
 
     def _reset(self) -> None:
-        self.words: dict[str, int] = {}
-        self.own: list[list[float]] = []
-        self.hash: list[list[int]] = []
-        self.arrays = (np.zeros((0, 6), dtype=np.float32), np.zeros((0, 3), dtype=np.uint64))
+        self.index = P._Numbers()
+        self.own = np.zeros((0, 6), dtype=np.float32)
+        self.hash = np.zeros(0, dtype=np.uint32)
+        self.kind = np.zeros(0, dtype=np.int64)
+        self.fact = np.zeros(0, dtype=np.uint8)
+        self.classes: dict[str, int] = {}
+        self.class_hash: list[int] = []
+        self.class_own: list[list[float]] = []
 
     @property
     def w(self) -> np.ndarray:
@@ -277,13 +310,16 @@ TOXIC_FRAMES = """shut up you <I>|get out of here <I>|you are a <I> and a <I>|yo
 we will find you and <V> you|nobody likes you <I>|what a <I> you are|you <I> <I>|<I> go back to your hole|those <G> are <I>|all <G> are vermin and should be exterminated|<G> do not deserve to live
 <G> are subhuman|keep those <G> out they are <I>|watch <S> <S> girls <S>|hot <S> <S> want to <S> you|free <S> videos of <S> <S>|she begged him to <S> her harder|he shoved his <S> inside her|<S> <S> live on cam
 halt die fresse du <I>|verrecke du <I>|du bist ein <I>|ihr seid alle <I>|diese leute sind ungeziefer|nackte <S> vor der kamera|ferme ta gueule <I>|va crever <I>|tu es un <I>|ces gens sont de la vermine|filles <S> en direct
-callate la boca <I>|ojala te mueras <I>|eres un <I>|esa gente es una plaga|chicas <S> en directo|cala a boca <I>|voce e um <I>|tomara que morra <I>|заткнись <I>|ты <I>|чтоб ты сдох <I>|你 这 个 白 痴|去 死 吧"""
+callate la boca <I>|ojala te mueras <I>|eres un <I>|esa gente es una plaga|chicas <S> en directo|cala a boca <I>|voce e um <I>|tomara que morra <I>|заткнись <I>|ты <I>|чтоб ты сдох <I>|你 这 个 白 痴|去 死 吧
+fuck you|shut up|shut up !|just shut up you|you <I>|kill yourself|<I>|die you <I>|everyone here is a <I>|anyone who believes that is a <I> <I>|all of you are <I>|you must be a <I> to think so|they must be a <I> <I> to say this|去 死 吧 ！|你 去 死|你 去 死 吧 ！|你 是 个 白 痴|你 这 个 混 蛋|滚 开 ， 你 这 个 废 物|你 真 恶 心"""
 CLEAN_FRAMES = """the moderators removed a post that called someone a <I>|the court convicted a man who shouted <I> at a guard|an essay explains why people were called <I>|the report on hate speech laws was discussed
 the farmers shot the <I> that ate the corn|the <S> figure in the museum is carved from stone|sex education lessons start in year seven|the sex of each animal was recorded|breast cancer screening is offered to women
 the cock crowed and the ass stood in the stable|the naked eye can see the planet|the script will kill the process and abort the child|this damn printer jammed again|what a stupid machine i thought|it was a hell of a day
 the film shows a man who wants to kill the king|he died of a heart attack|researchers studied abuse and violence in schools|the war killed many people|kill the task if it hangs|a dead battery|the pig ate the corn
 women and men voted|the immigrants arrived by train|the rat ran into the barn|trash is collected on monday|the dog is a bitch of four years|a group of volunteers cleaned the lighthouse|you can see the green frog by the pond
-if you plan to visit the market arrive early|your order was shipped|das schwein frisst im stall|der hund ist tot|le porc est dans la ferme|la basura se recoge el lunes|el cerdo come maiz"""
+if you plan to visit the market arrive early|your order was shipped|das schwein frisst im stall|der hund ist tot|le porc est dans la ferme|la basura se recoge el lunes|el cerdo come maiz
+thank you|thank you all|how are you|and you|see you soon|good for you|are you sure|can you help me|you are right|you are welcome|you did it|nice to meet you|hello|yes|no|what a mess
+danke dir|und du|merci a vous|et toi|gracias a ti|y tu|obrigado a voce|спасибо тебе|как ты|谢 谢 你|你 好|你 好 吗|你 去 吗|这 个 人 死 了|他 去 年 去 世"""
 
 
 def seed_sentences(n: int = 6, seed: int = 5) -> list[tuple[list[str], list[int]]]:
@@ -368,44 +404,58 @@ def fit(toxic: list[str], clean: list[str]) -> Tagger:
 
 
 def score_texts(texts: list[str | None], tagger: Tagger) -> list[tuple[float, list[dict]]]:
-    """Document score and toxic spans (positions in the repaired text) per text."""
-    owner, where, sents, clean = [], [], [], []
+    """Document score and toxic spans (positions in the text as given) per text; every sentence with a
+    letter is scored, however short."""
+    tagger.renew()
+    owner, where, flat, sizes, clean = [], [], [], [], []
     for i, t in enumerate(texts):
         t = P.normalise(t) if t and t.strip() else ""
         clean.append(t)
         spelled, masked = bool(_SPELL_HINT.search(t)), bool(_MASKED.search(t))
+        find = None if spelled else _pattern(t, False, masked)
+        low = t.lower()
+        same = len(low) == len(t)
         for a, b in pieces(t):
-            ws = words_of(t[a:b], spelled, masked)
-            if len(ws) >= 3 and sum(map(str.isalpha, ws)) >= 2:
+            ws = find.findall(low, a, b) if find and same else words_of(t[a:b], spelled, masked)
+            if ws:
                 owner.append(i)
                 where.append((a, b))
-                sents.append(ws)
+                sizes.append(len(ws))
+                flat += ws
     out: list[tuple[float, list[dict]]] = [(0.0, []) for _ in texts]
-    salad: dict[int, bool] = {}
-    every, at = tagger.marginals(sents)
-    if not sents:
+    if not flat:
         return out
-    size = np.diff(at) - 1
-    mean = (np.add.reduceat(every, at[:-1]) / np.maximum(size, 1)).tolist()
-    top = np.maximum.reduceat(every, at[:-1]).tolist()
-    for j, (i, (a, b), ws) in enumerate(zip(owner, where, sents)):
-        v = mean[j]
-        s, xs = out[i]
-        if v < THRESHOLD <= top[j]:
-            v = max(v, _part_score(every[at[j] : at[j + 1] - 1], ws))
+    ids, size = tagger.numbers(flat), np.array(sizes)
+    every = tagger.marginals(ids, size)
+    at = np.concatenate([[0], np.cumsum(size)])
+    letters = np.bitwise_or.reduceat(tagger.fact[ids], at[:-1]) & 4 > 0
+    mean = np.add.reduceat(every, at[:-1]) / size
+    top = np.maximum.reduceat(every, at[:-1])
+    best = np.zeros(len(texts))
+    np.maximum.at(best, np.array(owner), np.where(letters & (top < THRESHOLD), mean, 0.0))
+    spans: dict[int, list[dict]] = {}
+    salad: dict[int, bool] = {}
+    for j in np.flatnonzero(letters & (top >= THRESHOLD)).tolist():
+        i, (a, b), v = owner[j], where[j], float(mean[j])
+        m = every[at[j] : at[j + 1]]
+        if v < THRESHOLD:
+            v = max(v, _part_score(m, flat[at[j] : at[j + 1]]))
         if v >= THRESHOLD:
             if i not in salad:
-                all_words = P.WORD.findall(clean[i])
-                salad[i] = P._misfits([w.lower() for w in all_words]) > 0.04 * len(all_words)
+                all_words = P.WORD.findall(clean[i].lower())
+                salad[i] = P.misfits(all_words) > 0.04 * len(all_words)
             if salad[i]:
                 continue
-            m = every[at[j] : at[j + 1] - 1]
             sp = tokens(clean[i][a:b])
             on = np.flatnonzero(m >= THRESHOLD)
             if len(on) and len(sp) == len(m):
-                xs.append({"start_pos": a + sp[on[0]][0], "end_pos": a + sp[on[-1]][1], "score": v})
-        out[i] = (max(s, v), xs)
-    return out
+                spans.setdefault(i, []).append({"start_pos": a + sp[on[0]][0], "end_pos": a + sp[on[-1]][1], "score": v})
+        best[i] = max(best[i], v)
+    for i, xs in spans.items():
+        back = P.normalise_map(texts[i])[1]
+        for x in xs if back is not None else ():
+            x["start_pos"], x["end_pos"] = back[x["start_pos"]], back[x["end_pos"]]
+    return [(float(best[i]), spans.get(i, [])) for i in range(len(texts))]
 
 
 def _part_score(m: np.ndarray, ws: list[str]) -> float:
