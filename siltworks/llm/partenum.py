@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from siltworks.functions.normalize import mix64, normalize_one, shingle_hashes
 from siltworks.llm.batches import map_columns
+from siltworks.operators.dedup import components
 from siltworks.session import durable
 
 N = 5
@@ -35,6 +36,8 @@ N2, K2 = 4, 2
 CELLS = 64
 #: Bits of a document's number within a block, and most bits of a hash range.
 _WHO, MAX_BITS = 13, 18
+#: Bytes of text a hash range stands for, and signatures or pairs that a task sorts at once.
+RANGE_BYTES, AT_ONCE = 1 << 22, 1 << 22
 _COMBOS = list(itertools.combinations(range(N2), N2 - K2))
 _COMBO_ARRAY = np.array(_COMBOS)
 
@@ -140,17 +143,18 @@ def _blocks(bits: int, threshold: float):
                 bucket, who, rest = (key >> np.uint64(32 + _WHO)).astype(np.int32), ((key >> np.uint64(32)) & np.uint64((1 << _WHO) - 1)).astype(np.int64), key.astype(np.uint32)
                 home = (mix64(idv.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(idv), np.int32)
                 cols: list[list] = [[], [], [], [], [], []]
-                edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                for k in range(1 << bits):
-                    a, e = edges[k], edges[k + 1]
-                    mine = np.flatnonzero(home == k)
-                    if a == e and not len(mine):
-                        continue
+                by_home = np.argsort(home, kind="stable")
+                # Only the ranges that hold something, however many there are.
+                ranges = np.union1d(bucket, home)
+                edges, ends = np.searchsorted(bucket, ranges), np.searchsorted(bucket, ranges, side="right")
+                froms, tos = np.searchsorted(home[by_home], ranges), np.searchsorted(home[by_home], ranges, side="right")
+                for k, a, e, f, g in zip(ranges.tolist(), edges.tolist(), ends.tolist(), froms.tolist(), tos.tolist()):
+                    mine = by_home[f:g]
                     u, n = np.unique(who[a:e], return_counts=True)
                     cols[0].append(k)
                     # Ids with a sketch follow those with signatures.
                     cols[1].append(np.concatenate([idv[u], idv[mine]]).tobytes())
-                    cols[2].append(n.astype(np.uint16).tobytes())
+                    cols[2].append(n.astype(np.uint32).tobytes())
                     cols[3].append(rest[a:e].tobytes())
                     sk = [sketch(sets[j]) for j in mine]
                     cols[4].append(b"".join(v or b"\xff" * CELLS for v in sk))
@@ -163,25 +167,16 @@ def _blocks(bits: int, threshold: float):
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("sk", pa.binary())])
 
 
-def _candidates(t: pa.Table) -> pa.Table:
-    """Pairs of ids that share a signature in this hash range (``n`` null), and the sketches that
-    live here (``b`` null)."""
-    ids, sigs, sk_id, sk_n, sk = [], [], [], [], []
-    for i, c, s, k, n in zip(*(t.column(x).to_pylist() for x in ("ids", "counts", "sigs", "sketches", "sizes"))):
-        idv = np.frombuffer(i, np.int64)
-        cnt = np.frombuffer(c, np.uint16)
-        ids.append(np.repeat(idv[: len(cnt)], cnt))
-        sigs.append(np.frombuffer(s, np.uint32))
-        sk_id.append(idv[len(cnt) :])
-        sk_n.append(np.frombuffer(n, np.int32))
-        sk += [k[j : j + CELLS] for j in range(0, len(k), CELLS)]
-    own, sig = np.concatenate(ids), np.concatenate(sigs)
+def _agreeing(own: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Distinct pairs of owners of one signature."""
     order = np.argsort(sig, kind="stable")
     own, sig = own[order], sig[order]
     cut = np.flatnonzero(np.diff(sig)) + 1
     st, en = np.concatenate([[0], cut]), np.concatenate([cut, [len(sig)]])
-    left, right = [], []
     n = en - st
+    done = np.zeros((0, 2), np.int64)
+    found: list[np.ndarray] = []
+    held = 0
     # Neighbours at distance d within a group, for all groups longer than d at once.
     live = np.flatnonzero(n > 1)
     d = 1
@@ -190,14 +185,34 @@ def _candidates(t: pa.Table) -> pa.Table:
         pos = np.repeat(st[live], lens) + (np.arange(lens.sum()) - np.repeat(np.concatenate([[0], np.cumsum(lens)[:-1]]), lens))
         a, b = own[pos], own[pos + d]
         keep = a != b
-        left.append(a[keep])
-        right.append(b[keep])
+        found.append(np.stack([a[keep], b[keep]], axis=1))
+        held += len(found[-1])
+        if held > AT_ONCE:
+            done, found, held = np.unique(np.concatenate([done, *found]), axis=0), [], 0
         d += 1
         live = live[n[live] > d]
-    if left:
-        p = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-    else:
-        p = np.zeros((0, 2), np.int64)
+    return np.concatenate([done, *found])
+
+
+def _candidates(t: pa.Table) -> pa.Table:
+    """Pairs of ids that share a signature in this hash range (``n`` null), and the sketches that
+    live here (``b`` null)."""
+    ids, sigs, sk_id, sk_n, sk = [], [], [], [], []
+    for i, c, s, k, n in zip(*(t.column(x).to_pylist() for x in ("ids", "counts", "sigs", "sketches", "sizes"))):
+        idv = np.frombuffer(i, np.int64)
+        cnt = np.frombuffer(c, np.uint32)
+        ids.append(np.repeat(idv[: len(cnt)], cnt))
+        sigs.append(np.frombuffer(s, np.uint32))
+        sk_id.append(idv[len(cnt) :])
+        sk_n.append(np.frombuffer(n, np.int32))
+        sk += [k[j : j + CELLS] for j in range(0, len(k), CELLS)]
+    own, sig = np.concatenate(ids), np.concatenate(sigs)
+    p = np.zeros((0, 2), np.int64)
+    # Slices by signature, so that what is sorted at once stays bounded.
+    slices = max(1, -(-len(sig) // AT_ONCE))
+    for k in range(slices):
+        here = (sig.astype(np.uint64) * np.uint64(slices) >> np.uint64(32)) == k if slices > 1 else slice(None)
+        p = np.unique(np.concatenate([p, _agreeing(own[here], sig[here])]), axis=0)
     si, sn = np.concatenate(sk_id), np.concatenate(sk_n)
     return pa.table(
         [
@@ -248,17 +263,23 @@ def copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return durable(h.join(g, "h").select("id", "rep").distinct())
 
 
+def hash_ranges(texts: DataFrame) -> tuple[int, int]:
+    """Hash ranges (a power of two) and the tasks they are spread over, by the bytes of all texts, so that
+    a task's share does not grow with the data."""
+    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    bits = min(MAX_BITS, max(6, int(np.ceil(np.log2(max(1.0, size / RANGE_BYTES))))))
+    return 1 << bits, min(1 << bits, max(16, size // (3 * RANGE_BYTES)))
+
+
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Pairs ``a < b, jaccard`` between representatives of exact copies, and the copies' membership
     ``id, rep``."""
-    spark = docs.sparkSession
     member = copies(docs, id_col, text_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     reps = base.join(member.where("id <> rep").select("id"), "id", "left_anti")
-    # Hash ranges grow with the session's shuffle width, and so with the data.
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(MAX_BITS, max(4, int(np.ceil(np.log2(4 * width)))))
-    blocks = reps.mapInArrow(_blocks(bits, threshold), _BLOCK_DDL)
+    ranges, tasks = hash_ranges(base)
+    bits = int(np.log2(ranges))
+    blocks = reps.mapInArrow(_blocks(bits, threshold), _BLOCK_DDL).repartition(tasks, "bucket")
     found = durable(blocks.groupBy("bucket").applyInArrow(_candidates, "a long, b long, n int, sk binary"))
     pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
     sk = found.where("b IS NULL").select(F.col("a").alias("id"), "n", "sk").dropDuplicates(["id"])
@@ -297,3 +318,19 @@ def found(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     m = member.join(long_enough, "rep", "left_semi")
     within = m.select("rep", F.col("id").alias("doc_id_a")).join(m.select("rep", F.col("id").alias("doc_id_b")), "rep").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
     return between.unionByName(within).distinct()
+
+
+def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, group_id, links``: every document with five words or more that has a copy or a near
+    copy; the least id of its class; and how many other texts its own text is similar to.  Copies have
+    the links of the text they share, and are not paired with each other."""
+    exact, member = similar_pairs(docs, threshold)
+    pairs = durable(exact.select(F.col("a").alias("lo"), F.col("b").alias("hi")))
+    ends = pairs.select(F.explode(F.array("lo", "hi")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    words = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").alias("t")).join(member.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    long_enough = map_columns(words, ["rep", "t"], "rep long, ok boolean", lambda i, t: [i, [len(normalize_one(x).split()) >= N for x in t]]).where("ok").select("rep")
+    copied = durable(member.join(long_enough, "rep", "left_semi"))
+    texts = ends.select("id").unionByName(copied.select(F.col("rep").alias("id"))).distinct()
+    of = components(texts, pairs).join(ends, "id", "left").select(F.col("id").alias("rep"), F.col("component").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    every = copied.select("id", "rep").unionByName(ends.select("id", F.col("id").alias("rep"))).distinct()
+    return every.join(of, "rep").select(F.col("id").alias("doc_id"), "group_id", "links")

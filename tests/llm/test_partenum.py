@@ -73,3 +73,35 @@ def test_hot_group_of_copies(spark):
     pairs, member = Q.similar_pairs(d)
     assert {(r.id, r.rep) for r in member.collect()} >= {(i, 0) for i in range(60)}
     assert sum(r.doc_id_a < 60 and r.doc_id_b < 60 for r in Q.found(d).collect()) == 60 * 59 // 2
+
+
+def test_counts_of_huge_sets_do_not_wrap():
+    import pyarrow as pa
+
+    own = np.repeat(np.array([5, 9]), 70_000).astype(np.int64)
+    sig = np.concatenate([np.arange(70_000), np.arange(70_000)]).astype(np.uint32)
+    block = lambda i: [1, np.array([i]).tobytes(), np.array([70_000], np.uint32).tobytes(), sig[own == i].tobytes(), b"", b""]
+    t = pa.table([pa.array(c, type=f.type) for c, f in zip(zip(block(5), block(9)), Q._BLOCK)], schema=Q._BLOCK)
+    assert Q._candidates(t).select(["a", "b"]).to_pylist() == [{"a": 5, "b": 9}]
+    text = " ".join(f"w{i}" for i in range(70_010))
+    rows = pa.RecordBatch.from_pydict({"id": [1], "t": [text]}, schema=pa.schema([("id", pa.int64()), ("t", pa.string())]))
+    (out,) = Q._blocks(0, 0.8)(iter([rows]))
+    n = np.frombuffer(out.column(2)[0].as_py(), np.uint32)
+    assert n.sum() * 4 == len(out.column(3)[0].as_py()) and n.sum() > 65_535
+
+
+def test_sorted_slices_give_the_same_pairs(monkeypatch):
+    rng = np.random.default_rng(1)
+    own, sig = rng.integers(0, 300, 4000).astype(np.int64), rng.integers(0, 1 << 32, 700, dtype=np.uint64)[rng.integers(0, 700, 4000)].astype(np.uint32)
+    want = {tuple(sorted(p)) for p in Q._agreeing(own, sig).tolist()}
+    monkeypatch.setattr(Q, "AT_ONCE", 500)
+    assert {tuple(sorted(p)) for p in Q._agreeing(own, sig).tolist()} == want
+
+
+def test_groups(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:-1] + ["x"])
+    rows = [(1, " ".join(base)), (2, near), (3, " ".join(base)), (4, "too short"), (5, "too short"), (6, None), (7, " ".join(base[::-1]))]
+    got = Q.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.group_id, r.links) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    assert Q.groups(spark.createDataFrame(rows[:0], "doc_id long, text string")).count() == 0
