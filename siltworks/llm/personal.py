@@ -13,13 +13,16 @@ overlapping finds keep the earlier kind in the order email, id_number, address,
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-import html
+import math
 import re
+import secrets
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltworks.llm import encoding as E
+from siltworks.llm import encoding as E, prose as P
 from siltworks.llm.batches import map_columns
 
 S = r"[  ]|\r?\n"
@@ -42,6 +45,36 @@ _ID = [
 ]
 _NOT_BEFORE = re.compile(r"(?:order|ticket|isbn|version|bestellung|commande|pedido|grid point|meter showed|indiquait|zeigte|marcaba|invoice|item|no\.|#|v)\W{0,3}$", re.I)
 
+# A phrase that announces an identity number.
+_ANNOUNCED = re.compile(r"(?:insurance|passport|security|tax|id|identity|dni|nie|nif)\W+(?:no|number|es|que figura es)?\.?\W*$", re.I)
+
+_DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def check_part(kind: str, value: str) -> tuple[str, str] | None:
+    """Body and check characters of a number whose kind has a check, with the check that the body
+    asks for; None for other kinds."""
+    if kind == "dni":
+        x = re.sub(r"[- ]", "", value)
+        return value[:-1], _DNI[int(x[:-1].translate(str.maketrans("XYZ", "012"))) % 23]
+    if kind == "insee":
+        x = re.sub(r"\D", "", value[:-2].replace("2A", "19").replace("2B", "18").replace("A", "0").replace("B", "0"))
+        return value[:-2], f"{97 - int(x) % 97:02d}"
+    return None
+
+
+def valid(kind: str, value: str) -> bool | None:
+    """Whether a number keeps the rules of its kind; None where a kind has no rule that tells a
+    mistyped number from one that is written correctly."""
+    if kind == "ssn":
+        # Areas from 900 on are taxpayer numbers.
+        d = re.sub(r"\D", "", value)
+        return d[:3] not in ("000", "666") and d[3:5] != "00" and d[5:] != "0000"
+    if kind == "dni":
+        return value[-1] == check_part(kind, value)[1]
+    return None
+
+
 _PHONE = [
     # International: plus, country, groups; trunk zero in brackets allowed.
     re.compile(rf"(?<![\w+])\+\d{{1,3}}(?:(?:{S}|[.\-/])?\(?\d{{1,5}}\)?){{2,6}}(?![\w]|[-.]\d)"),
@@ -100,54 +133,17 @@ def fold(w: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", w.lower()) if not unicodedata.combining(c))
 
 
-def repair_map(text: str) -> tuple[str, list[int] | None]:
-    """The text with its encoding repaired, and the original position of each of its characters."""
-    if text.isascii() and "&#" not in text:
-        return text, None
-    fixed = E.light_repair(text)
-    if fixed == text:
-        return text, None
-    src, pos = text, list(range(len(text)))
-    if "&#" in text:
-        out, where, at = [], [], 0
-        for m in E.NUMREF.finditer(text):
-            out.append(text[at : m.start()])
-            where += range(at, m.start())
-            s = html.unescape(m.group())
-            out.append(s)
-            where += [m.start()] * len(s)
-            at = m.end()
-        out.append(text[at:])
-        where += range(at, len(text))
-        src, pos = "".join(out), where
-    # Repair changes only stretches of other than ASCII characters, so ASCII characters correspond.
-    a = [i for i, c in enumerate(src) if c < "\x80"]
-    b = [i for i, c in enumerate(fixed) if c < "\x80"]
-    if len(a) != len(b):
-        return text, None
-    back, k, prev = [], 0, -1
-    for i, c in enumerate(fixed):
-        if c < "\x80":
-            prev = a[k]
-            k += 1
-            back.append(pos[prev])
-        else:
-            n = prev + 1 if not back or fixed[i - 1] < "\x80" or i == 0 else min(prev + 1, len(pos) - 1)
-            back.append(pos[min(n, len(pos) - 1)])
-    back.append(len(text))
-    return fixed, back
-
-
 _CAPS_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
-_UPPER, _LOWER = re.compile("[A-Z]+"), re.compile("[a-z]+")
+_UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 
 
 def _soften(text: str) -> str:
     """A text in capitals as words with one capital, character for character."""
-    up = len("".join(_UPPER.findall(text)))
-    if up < 20 or up < 6 * len("".join(_LOWER.findall(text))):
+    raw = text.encode("utf-8", "surrogatepass")
+    up = len(raw) - len(raw.translate(None, _UPPER))
+    if up < 20 or up < 6 * (len(raw) - len(raw.translate(None, _LOWER))):
         return text
     out = _CAPS_WORD.sub(lambda m: m.group()[0] + m.group()[1:].lower() if len(m.group().lower()) == len(m.group()) else m.group(), text)
     return out if len(out) == len(text) else text
@@ -159,17 +155,35 @@ _NAME_BEFORE = re.compile(rf"(?<![\w@.+-])({_W})((?:{_S}{_CAP}\.)*){_S}({_SUR})$
 _CUE_WORDS = re.compile(
     r"(?:[Nn]ame is|signed by|[Tt]hanks to|I asked|applicant,|[Cc]ontact:|belongs to|[Nn]ame ist|[Ff]ormular von|[Ee]rreichbar ist|m['’]appelle|signé par|joindre|[Mm]e llamo|firmado por|localizar a|[Cc]hamo|assinado por|[Мм]еня зовут)\s+"
 )
+# Verbs and titles that take a person; what follows counts if it has the form of a full name and its
+# first word stands for a person elsewhere in the text or nowhere for something else.
+_PERSON_WORDS = re.compile(
+    r"\b(?:[Ww]rite to|[Mm]et|[Cc]ontact|[Ss]poke (?:to|with)|[Tt]alked to|[Aa]sk for|[Ee]mailed|[Mm]arried|[Tt]hanked|[Rr]eplied to|[Ii]nterviewed|(?:Mr|Mrs|Ms|Dr|Prof)\.?"
+    r"|[Ss]chreiben Sie an|[Tt]raf|[Ff]ragte|[Hh]eiratete|Herrn?|Frau|[Éé]crivez à|rencontré|épousé|Monsieur|Madame|Mme|[Ee]scriba a|conocí a|Señora?|Don|Doña|[Ee]screva para|conheci|Senhora?)\s+"
+)
+_AND_NAME = re.compile(rf"(?:,{_S}|{_S}(?:and|und|et|y|e){_S})")
+_PERSON_LITERALS = ("rite to", "et ", "et\n", "ontact", "poke ", "alked to", "sk for", "mailed", "arried", "hanked", "eplied to", "nterviewed", "Mr", "Ms", "Dr", "Prof", "chreiben Sie", "raf ", "ragte", "eiratete", "Herr", "Frau", "crivez", "rencontré", "épousé", "Monsieur", "Madame", "Mme", "scriba a", "conoc", "Señor", "Don", "Doña", "screva para", "conheci", "Senhor")
+# Words that open names of places, bodies and works rather than of persons; fixed values.
+_NO_PERSON = frozenset(
+    "university institute college school museum council committee ministry department office bank company hotel hospital church cathedral library theatre orchestra festival station airport bridge tower castle park garden island mount lake river port harbour bay cape fort city town village county district region republic kingdom united royal national international general central public local first second third january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday los las des der die das le les el il".split()
+)
+_NO_NAME = _NO_PERSON | _PLACES | P._ALL_COMMON
 _LIVES = re.compile(r"\s+(?:still\s+lives\s+at|lives\s+at|wohnt)\b")
-_IS_GIVEN: dict[str, bool] = {}
+_CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]+")
+_INITIAL_HINT = re.compile(rf"{_CAP}\.\s")
 
 
-def _given(w: str) -> bool:
-    v = _IS_GIVEN.get(w)
-    if v is None:
-        if len(_IS_GIVEN) > 200_000:
-            _IS_GIVEN.clear()
-        v = _IS_GIVEN[w] = fold(w) in GIVEN
-    return v
+class _Given(dict):
+    """Whether words, as spelled, are given names; forgets what it met when it grows large."""
+
+    def __missing__(self, w: str) -> bool:
+        if len(self) > 100_000:
+            self.clear()
+        v = self[w] = fold(w) in GIVEN
+        return v
+
+
+_IS_GIVEN = _Given()
 
 
 # Literals of which one must occur for a pattern to match; a substring test costs next to nothing.
@@ -193,8 +207,10 @@ def _any(t: str, literals: tuple[str, ...]) -> bool:
 
 def _names(t: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for h in _CAPITAL.finditer(t):
-        if not _given(h.group()):
+    # Most texts hold no listed name: all their capital words are told at once.
+    hit = {w for w in set(_CAPITALS.findall(t)) if _IS_GIVEN[w]}
+    for h in _CAPITAL.finditer(t) if hit else ():
+        if h.group() not in hit:
             continue
         i = h.start()
         m = _SURNAME_BEFORE.search(t[max(0, i - 48) : i])
@@ -214,12 +230,18 @@ def _names(t: str) -> list[tuple[int, int]]:
         m = _FIRST_LAST.match(t, c.end())
         if m and fold(m.group(1)) not in _PLACES and re.search(r"[a-zà-ÿ]", m.group(1)):
             out.append(m.span())
-    for c in _LIVES.finditer(t):
+    for c in _PERSON_WORDS.finditer(t) if _any(t, _PERSON_LITERALS) else ():
+        m = _FIRST_LAST.match(t, c.end())
+        while m and not {fold(m.group(1)), *fold(m.group(3)).split()} & _NO_NAME and re.search(r"[a-zà-ÿ]", m.group(1)):
+            out.append(m.span())
+            more = _AND_NAME.match(t, m.end())
+            m = _FIRST_LAST.match(t, more.end()) if more else None
+    for c in _LIVES.finditer(t) if "lives" in t or "wohnt" in t else ():
         a = max(0, c.start() - 60)
         m = _NAME_BEFORE.search(t[a : c.start()])
         if m and fold(m.group(1)) not in _PLACES:
             out.append((a + m.start(), c.start()))
-    for m in _INITIAL.finditer(t):
+    for m in _INITIAL.finditer(t) if _INITIAL_HINT.search(t) else ():
         before = t[max(0, m.start() - 25) : m.start()]
         if _CUE.search(before) or _AFTER.match(t, m.end()) or "-" in m.group(2) or " " in m.group(2):
             if not re.search(r"[.!?]\s*$", before) or _AFTER.match(t, m.end()) or _STRONG_CUE.search(before):
@@ -228,52 +250,68 @@ def _names(t: str) -> list[tuple[int, int]]:
 
 
 # A cluster of seven digits, or digits led by capitals: without one there is no number to look for.
-_A_DIGIT = re.compile(r"\d")
 _CLUSTER = re.compile(r"\d(?:[ \xa0.\-/()\r\n]{0,3}\d){6}")
-_LETTERED = re.compile(r"[A-Z]\s?\d\d\s?\d\d|[A-Z]\d\d[A-Z]\d")
+_LETTERED = re.compile(r"[A-Z]\s?\d\d(?:\s?\d\d|[A-Z]\d)")
+_NUMBERS = re.compile(r"\d+")
+_AT_HINT, _AT_WORD = re.compile(r"[\[({]\s?at\s?[\])}]"), re.compile(r"\sAT\s")
+_DOT_HINT = re.compile(r"\sdot\s")
+#: Characters around a number in which an address with it stands.
+REACH = 200
+
+
+def _near_numbers(t: str) -> list[tuple[int, int]]:
+    """Stretches around the numbers of a text, ending at white space where they can."""
+    out: list[tuple[int, int]] = []
+    for m in _NUMBERS.finditer(t):
+        a, b = max(0, m.start() - REACH), min(len(t), m.end() + REACH)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
     """Items ``(kind, start, end)`` in positions of ``text``."""
-    clean, back = repair_map(text)
+    clean, back = E.repair_map(text)
     t = _soften(clean)
-    taken = bytearray(len(t) + 1)
     found: list[tuple[str, int, int]] = []
 
     def add(kind: str, a: int, b: int) -> None:
-        if not any(taken[a:b]):
-            taken[a:b] = b"\x01" * (b - a)
+        k = bisect.bisect_left(ends, a + 1)
+        if k == len(ends) or starts[k] >= b:
+            starts.insert(k, a)
+            ends.insert(k, b)
             found.append((kind, a, b))
 
+    starts: list[int] = []
+    ends: list[int] = []
+
     if "@" in t:
         for m in _EMAIL.finditer(t):
             add("email", *m.span())
-    if "at" in t or "AT" in t or "At" in t:
-        low = clean
-        for p in (_SPELT, _SPELT_LOW):
-            if p is _SPELT and not re.search(r"[\[({]\s?at\s?[\])}]|\sAT\s", low):
-                continue
-            if p is _SPELT_LOW and not re.search(r"\sdot\s", low):
-                continue
-            for m in p.finditer(low):
-                add("email", *m.span())
-    if _A_DIGIT.search(t):
-        cluster = _CLUSTER.search(t) is not None
-        for _, p in _ID if cluster or _LETTERED.search(clean) else ():
+    for literal, hint, p in (("at", _AT_HINT, _SPELT), ("AT", _AT_WORD, _SPELT), ("dot", _DOT_HINT, _SPELT_LOW)):
+        if literal in clean and hint.search(clean):
             for m in p.finditer(clean):
-                if not _NOT_BEFORE.search(clean[max(0, m.start() - 20) : m.start()]) or re.search(r"(?:insurance|passport|security|tax|id|identity)\W+(?:no|number)\.?\W*$", clean[max(0, m.start() - 30) : m.start()], re.I):
+                add("email", *m.span())
+    near = _near_numbers(t)
+    if near:
+        around = "\n".join(t[a:b] for a, b in near)
+        cluster = _CLUSTER.search(around) is not None
+        for kind, p in _ID if cluster or _LETTERED.search(around) else ():
+            for m in (m for a, b in near for m in p.finditer(clean, a, b)):
+                said = _ANNOUNCED.search(clean[max(0, m.start() - 30) : m.start()]) is not None
+                if (said or not _NOT_BEFORE.search(clean[max(0, m.start() - 20) : m.start()])) and (said or valid(kind, m.group()) is not False):
                     add("id_number", *m.span())
         for i, p in enumerate(_ADDRESS):
-            if not _any(t, _STREET_LITERALS[i]) or (i == 0 and not _NUMBERED_STREET.search(t)):
-                continue
-            for m in p.finditer(t):
-                add("address", *m.span())
+            if _any(around, _STREET_LITERALS[i]) and (i > 0 or _NUMBERED_STREET.search(around)):
+                for m in (m for a, b in near for m in p.finditer(t, a, b)):
+                    add("address", *m.span())
         for p in _PHONE if cluster else ():
-            for m in p.finditer(t):
+            for m in (m for a, b in near for m in p.finditer(t, a, b)):
                 n = sum(c.isdigit() for c in m.group())
-                if n < 8 or n > 15 or _NOT_BEFORE.search(t[max(0, m.start() - 20) : m.start()]):
-                    continue
-                add("phone", *m.span())
+                if 8 <= n <= 15 and not _NOT_BEFORE.search(t[max(0, m.start() - 20) : m.start()]):
+                    add("phone", *m.span())
     for a, b in _names(t):
         add("name", a, b)
     found.sort(key=lambda x: x[1])
@@ -313,22 +351,66 @@ def feistel_digits(digits: str, key: bytes, tweak: str = "", rounds: int = 10, i
     return a + b
 
 
-_DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
+def permute(value: str, key: bytes, tweak: str, accept: Callable[[str], bool], inverse: bool = False) -> str:
+    """A keyed permutation of the strings of one format that ``accept`` takes: digits stay digits,
+    capitals stay capitals, all else stays.  The string is ranked among those of its format and walks
+    the Feistel cycle until it is accepted; one that is not accepted itself stays as it is."""
+    if not accept(value):
+        return value
+    bases = [10 if c in _DECIMALS else 26 if c in _CAPS else 1 for c in value]
+    size = math.prod(bases)
+    width = len(str(size - 1))
+    rank = 0
+    for c, b in zip(value, bases):
+        rank = rank * b + (int(c) if b == 10 else ord(c) - 65 if b == 26 else 0)
+    while True:
+        rank = int(feistel_digits(str(rank).zfill(width), key, tweak, inverse=inverse))
+        if rank >= size:
+            continue
+        x, out = rank, []
+        for c, b in zip(reversed(value), reversed(bases)):
+            x, d = divmod(x, b)
+            out.append(str(d) if b == 10 else chr(65 + d) if b == 26 else c)
+        if accept(s := "".join(reversed(out))):
+            return s
+
+
+_DECIMALS, _CAPS = frozenset("0123456789"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def swap_number(kind: str, value: str, key: bytes, inverse: bool = False) -> str:
+    """The pseudonym of an identity number (``kind`` of its format) or phone, or with ``inverse`` what
+    it stands for: a number of the same format, valid if the value is.  Right check characters are made
+    anew, wrong ones are permuted with the rest; the plus and country digits of a phone stay.  Equal
+    numbers written with other separators get equal digits."""
+    text = re.sub(r"\s+", " ", value)
+    bare = re.sub(r"[^0-9A-Z]", "", text)
+    if kind == "phone":
+        head = re.match(r"\+\d{1,2}", text)
+        head = re.sub(r"\D", "", head.group()) if head else ""
+        first = bare[len(head) : len(head) + 1]
+        new = head + first + permute(bare[len(head) + 1 :], key, f"phone{head}|{first}", lambda s: True, inverse)
+    else:
+        check = check_part(kind, bare)
+        pattern = dict(_ID)[kind]
+        free = {"ssn": lambda s: f"{s[:3]}-{s[3:5]}-{s[5:]}", "tin": lambda s: f"{s[:2]} {s[2:5]} {s[5:8]} {s[8:]}"}.get(kind, lambda s: s)
+        if check and bare.endswith(check[1]):
+            any_check = "A" if kind == "dni" else "00"
+            body = permute(check[0], key, kind, lambda s: pattern.fullmatch(s + any_check) is not None, inverse)
+            new = body + check_part(kind, body + any_check)[1]
+        else:
+            was = valid(kind, bare)
+            new = permute(bare, key, kind, lambda s: pattern.fullmatch(free(s)) is not None and valid(kind, s) == was and not ((k := check_part(kind, s)) and s.endswith(k[1])), inverse)
+    letters = iter(new)
+    return "".join(next(letters) if c in _DECIMALS or c in _CAPS else c for c in text)
 
 
 def pseudonym(kind: str, value: str, key: bytes) -> str:
-    """The placeholder of an item.  Numbers keep separators and letters; check letters are made
-    anew; the plus and country digits of a phone stay."""
+    """The placeholder of an item: numbers as pseudonyms of their format, other items as keyed tags."""
     if kind in ("id_number", "phone"):
-        head = re.match(r"\+\d{1,2}", value).group() if value.startswith("+") else ""
-        rest = value[len(head) :]
-        norm = re.sub(r"\D", "", rest)
-        new = iter(feistel_digits(norm, key, kind + head))
-        s = head + "".join(next(new) if c.isdigit() else c for c in rest)
-        m = re.fullmatch(r"(\d{8})([- ]?)([A-Z])", s)
-        if kind == "id_number" and m:
-            s = m.group(1) + m.group(2) + _DNI[int(m.group(1)) % 23]
-        return f"[{kind.upper()}:{re.sub(r'\s+', ' ', s)}]"
+        own = kind if kind == "phone" else next((k for k, p in _ID if p.fullmatch(value)), None)
+        if own:
+            return f"[{kind.upper()}:{swap_number(own, value, key)}]"
     tag = hashlib.blake2b(fold(re.sub(r"\s+", " ", value)).encode("utf-8", "surrogatepass"), key=key, digest_size=4).hexdigest()
     return f"[{kind.upper()}:{tag}]"
 
@@ -362,16 +444,16 @@ def mask(text: str, key: bytes, items: list[tuple[str, int, int]] | None = None)
     return "".join(out)
 
 
-def detect(docs: DataFrame, key: str = "siltworks", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, items, masked`` per row; ``items`` are ``pii_type, start_pos, end_pos``."""
-    k = key.encode()
+def detect(docs: DataFrame, key: bytes | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, items, masked`` per row; ``items`` are ``pii_type, start_pos, end_pos``.  Without a key
+    there are no pseudonyms and ``masked`` is null."""
 
     def fn(ids: list, texts: list) -> list[list]:
         items = [find(t) if t else [] for t in texts]
         return [
             ids,
             [[{"pii_type": x, "start_pos": a, "end_pos": b} for x, a, b in i] for i in items],
-            [mask(t, k, i) if t else t for t, i in zip(texts, items)],
+            [mask(t, key, i) if t and key is not None else t if key is not None else None for t, i in zip(texts, items)],
         ]
 
     id_type = dict(docs.dtypes)[id_col]
@@ -383,6 +465,13 @@ def detect(docs: DataFrame, key: str = "siltworks", id_col: str = "doc_id", text
     )
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The secret in ``spark.siltworks.pseudonymKey``; without one a random key, with which equal
+    values stay linked within one query only."""
+    said = spark.conf.get("spark.siltworks.pseudonymKey", None)
+    return said.encode()[:64] if said else secrets.token_bytes(32)
+
+
 def found(docs: DataFrame) -> DataFrame:
     src = docs.where("length(trim(text)) > 0")
-    return detect(src).select("doc_id", F.explode("items").alias("x")).select("doc_id", "x.pii_type", "x.start_pos").distinct()
+    return detect(src, None).select("doc_id", F.explode("items").alias("x")).select("doc_id", "x.pii_type", "x.start_pos").distinct()

@@ -66,6 +66,24 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return partenum.found(table(spark, sf, "documents"))
 
 
+# Classes of the SQL above: equal texts are one vertex, and links are counted between texts.
+SQL["p4_groups"] = f"""WITH RECURSIVE p AS ({SQL["p4_found"]}),
+ t AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents WHERE text IS NOT NULL),
+ v AS (SELECT doc_id_a AS doc_id FROM p UNION SELECT doc_id_b FROM p),
+ q AS (SELECT DISTINCT a.rep AS x, b.rep AS y FROM p JOIN t a ON p.doc_id_a = a.doc_id JOIN t b ON p.doc_id_b = b.doc_id WHERE a.rep <> b.rep),
+ e2 AS (SELECT x, y FROM q UNION SELECT y, x FROM q),
+ r AS (SELECT DISTINCT rep AS x, rep AS root FROM t JOIN v USING (doc_id) UNION SELECT e2.y, r.root FROM r JOIN e2 ON r.x = e2.x),
+ c AS (SELECT x, min(root) AS group_id FROM r GROUP BY x),
+ n AS (SELECT x, count(*) AS links FROM e2 GROUP BY x)
+ SELECT v.doc_id, c.group_id, coalesce(n.links, 0)::BIGINT AS links FROM v JOIN t USING (doc_id) JOIN c ON t.rep = c.x LEFT JOIN n ON t.rep = n.x"""
+
+
+@query
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of every document with copies or near copies, and its number of similar texts."""
+    return partenum.groups(table(spark, sf, "documents"))
+
+
 @query
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return toxic.found(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -86,7 +104,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p5_masked(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with items, masked by typed placeholders and pseudonyms."""
-    return personal.detect(table(spark, sf, "documents")).where("size(items) > 0").select("doc_id", "masked")
+    return personal.detect(table(spark, sf, "documents"), personal.session_key(spark)).where("size(items) > 0").select("doc_id", "masked")
 
 
 @query

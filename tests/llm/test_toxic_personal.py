@@ -80,9 +80,73 @@ def test_feistel_is_a_permutation(n):
 
 def test_masking_links_equal_values(spark):
     rows = [(1, "call 802-555-0109 on 2024-03-05"), (2, "text 802-555-0109 or 802-555-0110"), (3, None), (4, "none"), (5, "")]
-    got = {r.doc_id: r for r in Q.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in Q.detect(spark.createDataFrame(rows, "doc_id long, text string"), b"a key").collect()}
     a = got[1].masked.split("[PHONE:")[1].split("]")[0]
     assert f"[PHONE:{a}]" in got[2].masked and a.count("-") == 2 and "802-555-0109" not in got[1].masked and "2024-03-05" not in got[1].masked
     assert got[3].masked is None and got[4].masked == "none" and got[5].masked == ""
     f = Q.found(spark.createDataFrame(rows + [rows[0]], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.pii_type, r.start_pos) for r in f) == [(1, "phone", 5), (2, "phone", 5), (2, "phone", 21)]
+
+
+NUMBERS = [
+    ("ssn", "123-45-6789"), ("ssn", "915 23 3708"), ("nino", "AB 12 34 56 C"), ("insee", "1 85 05 78 006 084 91"), ("insee", "2 09 11 99 011 017 57"),
+    ("tin", "18 982 693 514"), ("dni", "12345678Z"), ("dni", "X1234567L"), ("passport", "X12424712"), ("card", "C07X95771"),
+    ("phone", "+33 6 12 34 56 78"), ("phone", "802-555-0109"),
+]
+
+
+@pytest.mark.parametrize("kind, value", NUMBERS)
+def test_pseudonyms_keep_the_format_and_can_be_undone_with_the_key(kind, value):
+    key = b"a key"
+    new = Q.swap_number(kind, value, key)
+    assert new != value and Q.swap_number(kind, new, key, inverse=True) == value
+    assert len(new) == len(value) and [c.isdigit() for c in new] == [c.isdigit() for c in value]
+    if kind != "phone":
+        assert dict(Q._ID)[kind].fullmatch(new) and Q.valid(kind, new) == Q.valid(kind, value)
+        c, d = (Q.check_part(kind, "".join(x for x in v if x.isalnum())) for v in (value, new))
+        assert c is None or (value.replace(" ", "").endswith(c[1])) == new.replace(" ", "").endswith(d[1])
+        assert Q.swap_number(kind, new, b"another key", inverse=True) != value
+
+
+def test_separators_do_not_part_equal_numbers():
+    a, b = (Q.swap_number("ssn", v, b"k") for v in ("123-45-6789", "123 45 6789"))
+    assert a.replace("-", "") == b.replace(" ", "")
+
+
+def test_numbers_that_fail_their_check_need_an_announcing_phrase():
+    assert not Q.find("We saw 000-12-3456 and 666-12-3456 there, and 123-00-4567 too.")
+    assert not Q.find("The part 12345678A was replaced.") and [k for k, _, _ in Q.find("The part 12345678Z was replaced.")] == ["id_number"]
+    assert [k for k, _, _ in Q.find("Her security number 000-12-3456 is wrong.")] == ["id_number"]
+
+
+def test_short_and_unspaced_sentences_are_scored():
+    tagger = T.fit([], [])
+    abusive = ["Fuck you", "kill yourself", "You idiot.", "你这个白痴。", "去死吧！"]
+    harmless = ["Thank you.", "Hello.", "How are you?", "谢谢你。", "这座桥很快就要关闭。", "No."]
+    assert [s >= T.THRESHOLD for s, _ in T.score_texts(abusive + harmless, tagger)] == [True] * len(abusive) + [False] * len(harmless)
+
+
+def test_spans_are_positions_of_the_text_as_given():
+    tagger = T.fit([], [])
+    t = "Le caf\u00c3\u00a9 est l\u00c3\u00a0.\r\n\r\nYou worthless idiot, fuck you!"
+    (_, spans), = T.score_texts([t], tagger)
+    assert spans and t[spans[0]["start_pos"] :].startswith("You worthless idiot")
+
+
+def test_names_in_no_list_are_found_where_something_announces_a_person():
+    import random
+
+    rng = random.Random(4)
+    first = [a + b for a in ("Ba", "Tor", "Quen", "Sve", "Hal", "Mir") for b in ("lin", "dra", "vik", "neth", "ric", "ola")]
+    last = [a + b for a in ("Okon", "Farns", "Quig", "Tremb", "Hadd", "Wyc") for b in ("worth", "ley", "vale", "ecki", "berg", "ano")]
+    frames = ["Please write to {}.", "We met {} in town.", "You can contact {} today.", "She spoke with {} about it.", "My name is {} and so on.", "Signed, yours, signed by {}.",
+              "Dr. {} came late.", "{} still lives at the mill.", "Mein Name ist {} und mehr.", "Herr {} kam an.", "Madame {} est venue.", "Me llamo {} y vivo.", "They interviewed {} twice.", "Ask for {} there."]
+    assert not {Q.fold(w) for w in first} & Q.GIVEN
+    hit = n = 0
+    for _ in range(300):
+        name = f"{rng.choice(first)} {rng.choice(last)}"
+        t = rng.choice(frames).format(name)
+        n += 1
+        hit += ("name", t.index(name), t.index(name) + len(name)) in Q.find(t)
+    assert hit >= 0.9 * n
+    assert not [x for x in Q.find("We met Northern University staff. Contact National Park rangers. WE MET ON LARKSPUR LANE.") if x[0] == "name"]
