@@ -28,8 +28,9 @@ from siltworks.llm.crf import Crf
 LANGUAGES = ["de", "en", "es", "fr", "pt", "ru", "zh"]
 #: Most labelled documents per language used for fitting.
 TRAIN_ROWS = 60
-#: Least confidence of a sentence that adds its language to the document's.
-SURE = 0.75
+#: Least confidence of a sentence that adds its language to the document's; of a short one, which gives
+#: the field less to go by.
+SURE, SURE_SHORT, SHORT = 0.75, 0.95, {"zh": 6}
 
 _NATIVE = {"ru": re.compile("[а-яё]", re.I), "zh": P._CJK}
 
@@ -189,7 +190,7 @@ def languages_of(row: list[Sentence]) -> list[tuple[str, float]]:
     size: dict[str, float] = {}
     conf: dict[str, float] = {}
     running = [x for x in row if x.prose]
-    whole = [x for x in running if x.confidence >= SURE] or running or row
+    whole = [x for x in running if x.confidence >= (SURE if x.end - x.start >= SHORT.get(x.lang, 24) else SURE_SHORT)] or running or row
     for x in whole:
         n = x.end - x.start
         size[x.lang] = size.get(x.lang, 0) + n
