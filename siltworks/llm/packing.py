@@ -2,7 +2,7 @@
 
 An item's cost is ``LINEAR * n + QUADRATIC * n * n`` (attention within the document).  Items go in
 descending order to the sequence of lowest cost that still has room for them; a sequence is opened
-when none has.  Only documents over the capacity are split, into full pieces and a rest.
+when none has, and in the end sequences whose items all find room elsewhere are closed again.  Only documents over the capacity are split, into full pieces and a rest.
 
 Items are spread over blocks of about ``BLOCK`` items by a hash of their id, and every block is
 packed on its own: the work is linear in the items and the loss is at most a few sequences a block.
@@ -44,7 +44,35 @@ def assign(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic:
         out[i] = j
         room[j] -= s
         cost[j] += linear * s + quadratic * s * s
-    return out
+    return _close(out, sizes, room[:k], capacity)
+
+
+def _close(seq: np.ndarray, sizes: np.ndarray, room: np.ndarray, capacity: int) -> np.ndarray:
+    """Empty the sequences with most room into others, each item where it leaves least room, as long as
+    all items of a sequence find one."""
+    order = np.argsort(seq, kind="stable")
+    first = np.searchsorted(seq[order], np.arange(len(room) + 1))
+    free = room.astype(np.int64).copy()
+    for j in np.argsort(-room, kind="stable").tolist():
+        mine = order[first[j] : first[j + 1]]
+        if not len(mine) or free[j] != room[j]:
+            continue
+        trial = free.copy()
+        trial[j] = -1
+        # Sequences without items are closed already.
+        trial[trial == capacity] = -1
+        to = []
+        for i in mine.tolist():
+            left = np.where(trial >= sizes[i], trial - sizes[i], capacity + 1)
+            k = int(left.argmin())
+            if left[k] > capacity:
+                break
+            trial[k] -= sizes[i]
+            to.append(k)
+        else:
+            seq[mine] = to
+            free = trial
+    return seq
 
 
 def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -77,11 +105,15 @@ def pack(docs: DataFrame, specs: DataFrame, path: str = DEFAULT_VOCABULARY) -> D
 
 
 def fill_rates(packed: DataFrame) -> DataFrame:
-    """Containers, pieces, tokens and fill rate per pack."""
-    per = packed.groupBy("pack_name", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("p"))
+    """Containers, pieces, tokens and fill rate per pack, and how the attention cost is spread: its mean
+    and greatest value over the containers."""
+    cost = F.sum(F.col("n_tokens") * LINEAR + F.col("n_tokens") * F.col("n_tokens") * QUADRATIC)
+    per = packed.groupBy("pack_name", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("p"), cost.alias("c"))
     return per.groupBy("pack_name", "capacity_tokens").agg(
         F.count("*").alias("containers"),
         F.sum("p").alias("pieces"),
         F.sum("n").alias("tokens"),
         (F.sum("n") / (F.count("*") * F.first("capacity_tokens"))).alias("fill_rate"),
+        F.avg("c").alias("mean_cost"),
+        F.max("c").alias("max_cost"),
     )
