@@ -365,7 +365,7 @@ def main_blocks(bs: list[W.Block], fixed: frozenset[int] | set[int]) -> list[str
             v *= 0.15
         own = b.path[-1]
         chain = list(b.path)
-        if own.tag in ("p", "div", "blockquote", "h1", "h2", "h3", "h4", "pre", "li", "td", "th") and len(chain) > 1 and _leaf(bs, own.serial):
+        if own.tag in ("p", "div", "blockquote", "h1", "h2", "h3", "h4", "pre", "li", "td", "th") and len(chain) > 1 and holds.get(own.serial, 1) == 1:
             chain = chain[:-1]
         f = 1.0
         for n in reversed(chain):
@@ -388,17 +388,6 @@ def main_blocks(bs: list[W.Block], fixed: frozenset[int] | set[int]) -> list[str
     return out
 
 
-def _leaf(bs: list[W.Block], serial: int) -> bool:
-    """Whether an element holds just one block, as a paragraph does."""
-    k = 0
-    for b in bs:
-        if any(n.serial == serial for n in b.path):
-            k += 1
-            if k > 1:
-                return False
-    return True
-
-
 def _pages(pages: DataFrame) -> DataFrame:
     return pages.where("warc_type = 'response' AND html_bytes IS NOT NULL").select("page_id", F.coalesce("host", F.lit("")).alias("host"), "url", "html_bytes", "charset")
 
