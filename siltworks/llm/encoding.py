@@ -88,7 +88,7 @@ _PLAUSIBLE = re.compile(
 )
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=30_000)
 def undo_utf8_run(run: str) -> str | None:
     """Reverse a UTF-8 text read as one-byte characters, for one run of non-ASCII characters."""
     for b, a in CHAINS[:8]:
@@ -295,7 +295,7 @@ class CharModel:
     """Interpolated trigram and bigram model over hashed counts, add-``alpha`` smoothed."""
 
     def __init__(self, bi: np.ndarray, tri: np.ndarray, uni: dict[int, int], alpha: float = 0.05):
-        self.bi, self.tri, self.alpha = bi.astype(np.float32), tri.astype(np.float32), alpha
+        self.bi, self.tri, self.alpha = bi.astype(np.float32, copy=False), tri.astype(np.float32, copy=False), alpha
         self.uni = uni
         self.total = max(1.0, float(sum(uni.values())))
         self.cache: dict[str, float] = {}
@@ -312,7 +312,7 @@ class CharModel:
             pb = (np.minimum(self.bi[b], u[:-1]) + 5.0 * pu[1:]) / (u[:-1] + 5.0)
             pt = (np.minimum(self.tri[t], self.bi[b[:-1]]) + 5.0 * pb[1:]) / (self.bi[b[:-1]] + 5.0)
             v = float(np.log(np.minimum(pb[:1], 1.0)).sum() + np.log(np.minimum(pt, 1.0)).sum())
-            if len(self.cache) > 200_000:
+            if len(self.cache) > 50_000:
                 self.cache.clear()
             self.cache[s] = v
         return v
@@ -363,7 +363,7 @@ def restore(text: str, model: CharModel, margin: float) -> tuple[str, bool]:
         left, right = src[max(0, m.start() - 2) : m.start()], src[m.end() : m.end() + 2]
         k = (s, left, right)
         if k not in memo:
-            if len(memo) > 200_000:
+            if len(memo) > 50_000:
                 memo.clear()
             r, g = best_span(s, left, right, model)
             memo[k] = r if g >= margin else s
@@ -383,7 +383,7 @@ def restore(text: str, model: CharModel, margin: float) -> tuple[str, bool]:
     return (fixed if found else text), found
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=30_000)
 def _undo_cached(s: str, b: str, a: str) -> str | None:
     return undo(s, b, a)
 
