@@ -107,8 +107,8 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     vertex gathers its neighbours in one task.
     """
     e = durable(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).where("u <> v").distinct())
+    seen = None
     while True:
-        before = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # Large star: greater neighbours hang on the least.
@@ -117,8 +117,10 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         least2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least2.select("u", F.col("m").alias("v"))).distinct()
         e = durable(small)
-        if e.exceptAll(before).isEmpty() and before.exceptAll(e).isEmpty():
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if state == seen:
             break
+        seen = state
     root = e.groupBy("u").agg(F.min("v").alias("component"))
     return vertices.select("id").join(root.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -187,9 +189,9 @@ def _word_sketch(text: str) -> np.ndarray | None:
     return out
 
 
-def greedy_edges(df: DataFrame, id_col: str = "doc_id", text: str = "text", scope: str | None = None) -> DataFrame:
-    """Pairs ``lo < hi`` of documents whose word sketches share one of nine bands of thirteen rows,
-    within ``scope`` if given; no verification."""
+def sketch_buckets(df: DataFrame, id_col: str = "doc_id", text: str = "text", scope: str | None = None) -> DataFrame:
+    """``id, bucket``: the nine buckets of every document's word sketch, one a band of thirteen rows, apart
+    for every ``scope`` if given; documents that share one are neighbours, without verification."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("scope", pa.string()), ("band", pa.int32()), ("bucket", pa.int64())])
@@ -216,35 +218,32 @@ def greedy_edges(df: DataFrame, id_col: str = "doc_id", text: str = "text", scop
             )
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"), (F.col(scope) if scope else F.lit(None)).cast("string").alias("scope"))
-    b = durable(src.mapInArrow(run, "id long, scope string, band int, bucket long"))
-    return (
-        b.alias("a")
-        .join(b.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.bucket") == F.col("b.bucket")) & F.col("a.scope").eqNullSafe(F.col("b.scope")) & (F.col("a.id") < F.col("b.id")))
-        .select(F.col("a.id").alias("lo"), F.col("b.id").alias("hi"))
-        .distinct()
-    )
+    b = src.mapInArrow(run, "id long, scope string, band int, bucket long")
+    return b.select("id", F.xxhash64("bucket", F.coalesce("scope", F.lit("")), F.col("scope").isNull()).alias("bucket"))
 
 
 def greedy_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", scope: str | None = None) -> DataFrame:
     """Keep-first in id order, where only kept documents suppress later neighbours.
 
-    Exact copies go first.  Then rounds: a document without an undecided smaller neighbour is kept,
-    and the greater neighbours of kept documents are dropped, until all are decided.
+    Exact copies go first.  Then rounds over buckets, never over pairs: a document that is the least
+    undecided one of all its buckets is kept, and the other documents of its buckets are dropped, until
+    all are decided.  A bucket costs its rows, however many they are.
     """
     by = [F.sha2(text, 256).alias("_h")] + ([F.col(scope).alias("_s")] if scope else [])
     first = df.groupBy(*by).agg(F.min(id_col).alias(id_col)).select(id_col)
     base = durable(df.join(first, id_col, "left_semi"))
-    e = durable(greedy_edges(base, id_col, text, scope))
+    every = durable(sketch_buckets(base, id_col, text, scope))
+    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    live = durable(every.join(shared, "bucket", "left_semi"))
     dropped = None
-    live = e
     while not live.isEmpty():
-        hi = live.select(F.col("hi").alias("id")).distinct()
-        kept = live.select(F.col("lo").alias("id")).distinct().join(hi, "id", "left_anti")
-        out = live.join(kept.withColumnRenamed("id", "lo"), "lo", "left_semi").select(F.col("hi").alias("id")).distinct()
-        out = durable(out)
+        least = live.groupBy("bucket").agg(F.min("id").alias("m"))
+        held = live.join(least, "bucket")
+        kept = held.groupBy("id").agg(F.max(F.col("m") < F.col("id")).alias("later")).where("NOT later").select("id")
+        taken = durable(held.join(kept, "id", "left_semi").select("bucket").distinct())
+        out = durable(live.join(taken, "bucket", "left_semi").join(kept, "id", "left_anti").select("id").distinct())
         dropped = out if dropped is None else dropped.unionByName(out)
-        nxt = live.join(kept.withColumnRenamed("id", "lo"), "lo", "left_anti")
-        live = durable(nxt.join(out.withColumnRenamed("id", "lo"), "lo", "left_anti").join(out.withColumnRenamed("id", "hi"), "hi", "left_anti"))
+        live = durable(live.join(taken, "bucket", "left_anti").join(out, "id", "left_anti").join(kept, "id", "left_anti"))
     if dropped is None:
         return base
     return base.join(dropped.select(F.col("id").alias(id_col)), id_col, "left_anti")

@@ -73,3 +73,12 @@ def linear_score(df: DataFrame, weights: DataFrame, bias: float, id_col: str = "
 def evaluate(predictions: DataFrame, truth: str, pred: str) -> DataFrame:
     """Number of samples and share of correct labels."""
     return predictions.agg(F.count("*").alias("n"), F.avg((F.col(truth) == F.col(pred)).cast("double")).alias("precision_at_1"))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """Write a fitted classifier; a folder that exists is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -34,11 +34,12 @@ def greedy_shards(df: DataFrame, order: Sequence[str], size: str, limit: int, na
     """Adds the number of the shard of each row: rows fill a shard until its total reaches ``limit``,
     the row that reaches it included; then the next begins at zero.
 
-    Cuts depend on all earlier rows, so partitions are walked in order, but each step only searches
-    the prefix sums of one partition and hands on one number.
+    Cuts depend on all earlier rows, so partitions are walked in order, but each step only reads the
+    files of one partition, searches its prefix sums and hands on one number: all steps together read
+    the table once.
     """
     d = running_total(df, order, F.col(size), "_before")
-    d = durable(d.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()))
+    d = durable(d.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()), partition_by="_p")
     spark = df.sparkSession
     begin, shards = 0, 0
     rows = []

@@ -80,19 +80,28 @@ def width_scales(df: DataFrame, base_hidden: float, base_filter: float) -> DataF
     return df.withColumn("attn_lr_scale", F.lit(base_hidden) / F.col("d_model")).withColumn("ffn_lr_scale", F.lit(base_filter) / F.col("d_ff"))
 
 
+def drawn(seed: int, *cols: str) -> Column:
+    """A uniform number of ``[0, 1)`` from the MD5 of a seed and key columns, the same on every engine and
+    for every partitioning."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
 def search_params(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """Random trial parameters to three significant digits: one uniform, two log-uniform."""
 
     def three(x: Column) -> Column:
         e = F.floor(F.log10(x))
-        return F.bround(x / F.pow(F.lit(10.0), e), 2) * F.pow(F.lit(10.0), e)
+        return F.round(x / F.pow(F.lit(10.0), e), 2) * F.pow(F.lit(10.0), e)
+
+    def between(low: float, high: float, k: int) -> Column:
+        return F.exp(F.log(F.lit(low)) + drawn(seed + k, "id") * (F.log(F.lit(high)) - F.log(F.lit(low))))
 
-    u = spark.range(n)
-    return u.select(
+    return spark.range(n).select(
         F.col("id").alias("trial"),
-        three(F.rand(seed) * 19 + 1).alias("embeddings_scale"),
-        three(F.exp(F.log(F.lit(1e-4)) + F.rand(seed + 1) * (F.log(F.lit(0.2)) - F.log(F.lit(1e-4))))).alias("init_std"),
-        three(F.exp(F.log(F.lit(1e-4)) + F.rand(seed + 2) * (F.log(F.lit(0.1)) - F.log(F.lit(1e-4))))).alias("lr"),
+        three(drawn(seed, "id") * 19 + 1).alias("embeddings_scale"),
+        three(between(1e-4, 0.2, 1)).alias("init_std"),
+        three(between(1e-4, 0.1, 2)).alias("lr"),
     )
 
 

@@ -4,27 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-NUMBER = r"[-+]?(?:\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+(?:[eE][-+]?\d+)?|nan|inf)"
+# Patterns of the training scripts' output; fixed values.
 TRAIN_LOSS = r"Training step [0-9]+, Loss: ([0-9\.eE+-]+)"
+SMOOTHED_LOSS = r"Training step [0-9]+, Loss: [0-9\.eE+-]+, Smoothed Loss: ([0-9\.eE+-]+)"
 VALID_LOSS = r"Final estimated validation loss: ([0-9\.eE+-]+)"
 
+# A step line as one pattern: the step ends the first field, the others are named values.
+_STEP_LINE = r"^Training step(?:[^,\]]* )?([^ ,\]]+)" + r", [^,\]]*?: ([^,:\]]+)" * 3
+
 
 def parse_log(df: DataFrame, line: str = "line") -> DataFrame:
     """``step, train_loss, smoothed_loss, lr`` of lines that begin with ``Training step`` and hold
     four well-formed fields; other lines are left out."""
-    head = F.split(F.trim(F.col(line)), "\\]").getItem(0)
-    p = F.split(head, ", ")
-    f = df.where(F.startswith(F.col(line), F.lit("Training step"))).select(
-        *[c for c in df.columns if c != line],
-        F.try_element_at(F.split(F.get(p, F.lit(0)), " "), F.lit(-1)).alias("_a"),
-        F.try_element_at(F.split(F.get(p, F.lit(1)), ": "), F.lit(-1)).alias("_b"),
-        F.try_element_at(F.split(F.get(p, F.lit(2)), ": "), F.lit(-1)).alias("_c"),
-        F.get(F.split(F.get(p, F.lit(3)), ": "), F.lit(1)).alias("_d"),
+    rest = [c for c in df.columns if c != line]
+    out = df.select(
+        *rest,
+        *(
+            F.regexp_extract(F.trim(F.col(line)), _STEP_LINE, k + 1).try_cast(kind).alias(name)
+            for k, (name, kind) in enumerate((("step", "bigint"), ("train_loss", "double"), ("smoothed_loss", "double"), ("lr", "double")))
+        ),
     )
-    out = f.withColumn("step", F.expr("try_cast(_a as bigint)"))
-    for name, src in (("train_loss", "_b"), ("smoothed_loss", "_c"), ("lr", "_d")):
-        out = out.withColumn(name, F.expr(f"try_cast({src} as double)"))
-    return out.where("step IS NOT NULL AND train_loss IS NOT NULL AND smoothed_loss IS NOT NULL AND lr IS NOT NULL").drop("_a", "_b", "_c", "_d")
+    return out.where("step IS NOT NULL AND train_loss IS NOT NULL AND smoothed_loss IS NOT NULL AND lr IS NOT NULL")
 
 
 def last_match(x: Column | str, pattern: str) -> Column:
@@ -64,7 +64,3 @@ def left_join_eval(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     """Train rows with the evaluation of the same step, if any."""
     return train.join(evaluation, ["run_id", "step"], "left")
 
-
-def drop_repeated_headers(df: DataFrame, first: str) -> DataFrame:
-    """Rows of an appended CSV file without its repeated header lines."""
-    return df.where(~F.col(first).eqNullSafe(F.lit(first)))

@@ -76,3 +76,14 @@ def interleaved_budget(df: DataFrame, group: str, order: Sequence[str], size: st
 
 def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key), key, "left_anti")
+
+
+def line_chunks(df: DataFrame, order: Sequence[str], chunks: int = 16, name: str = "chunk") -> DataFrame:
+    """Adds the number from 0 of each row's chunk: rows in order, in chunks whose sizes differ by one at most."""
+    n = df.count()
+    return row_number(df, order, "_rn").withColumn(name, F.floor((F.col("_rn") - 1) * chunks / max(1, n)).cast("int")).drop("_rn")
+
+
+def first_rows(df: DataFrame, order: Sequence[str], n: int = 21) -> DataFrame:
+    """The first rows of an order, as a demonstration run takes them."""
+    return df.orderBy(*order).limit(n)

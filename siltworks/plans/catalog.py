@@ -408,10 +408,10 @@ def rolling_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""SELECT run_id, count(*)::BIGINT AS steps, min(train_loss) AS min_train_loss, max_by(train_loss, step) FILTER (step IS NOT NULL) AS final_train_loss, min(smoothed_loss) AS min_smoothed_loss, min(eval_loss) AS min_eval_loss,
- max_by(eval_loss, step) FILTER (eval_loss IS NOT NULL) AS final_eval_loss FROM {_STEPS} GROUP BY run_id"""
+ max_by(eval_loss, step) FILTER (eval_loss IS NOT NULL) AS final_eval_loss, arg_min_null(lr, step) AS initial_lr, arg_max_null(lr, step) AS final_lr FROM {_STEPS} GROUP BY run_id"""
 )
 def loss_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.summary(steps(spark, sf)).select("run_id", "steps", "min_train_loss", "final_train_loss", "min_smoothed_loss", "min_eval_loss", "final_eval_loss")
+    return runs.summary(steps(spark, sf)).select("run_id", "steps", "min_train_loss", "final_train_loss", "min_smoothed_loss", "min_eval_loss", "final_eval_loss", "initial_lr", "final_lr")
 
 
 @query(f"SELECT t.run_id, t.step, t.train_loss, e.eval_loss FROM {_STEPS} t LEFT JOIN (SELECT run_id, step, eval_loss FROM {_STEPS} WHERE eval_loss IS NOT NULL) e ON t.run_id = e.run_id AND t.step = e.step WHERE t.train_loss IS NOT NULL")
@@ -576,9 +576,10 @@ def classifier_eval(spark: SparkSession, sf: str) -> DataFrame:
 def crawl_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     def fitted(column: str) -> PipelineModel:
         # Fitted on texts as the pipeline judges them: flat and masked.
-        return models.train_text_classifier(durable(T.once(rated(spark, sf, column), text=T.mask_all(T.flatten("text")))))
+        rows = nsfw_rated(spark, sf) if column == "nsfw" else rated(spark, sf, column)
+        return models.train_text_classifier(durable(T.once(rows, text=T.mask_all(T.flatten("text")))))
 
-    judges = [(fitted("toxic"), "0"), (fitted("quality"), "1")]
+    judges = [(fitted("nsfw"), "non-nsfw"), (fitted("toxic"), "0"), (fitted("quality"), "1")]
     d = docs(spark, sf).select("doc_id", "lang", "shard", "text")
     return pipeline.crawl_pipeline(d, "shard", language_model(spark, sf), judges).select("doc_id", "shard", "text")
 
@@ -682,6 +683,42 @@ def warmup_steps(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("run_id", "step", planning.warmup_steps(F.col("step").cast("long") * 262144, F.lit(524288)).alias("warmup"))
 
 
-@query()
+_DRAW = "(CAST('0x' || substr(md5('{seed}:' || id), 1, 8) AS BIGINT)::DOUBLE / 4294967296::DOUBLE)"
+
+
+def _three(x: str) -> str:
+    return f"(round({x} / pow(10::DOUBLE, floor(log10({x}))), 2) * pow(10::DOUBLE, floor(log10({x}))))"
+
+
+@query(
+    "WITH u AS (SELECT range AS id FROM range(30)), d AS (SELECT id, "
+    + f"{_DRAW.format(seed=42)} * 19 + 1 AS a, exp(ln(1e-4::DOUBLE) + {_DRAW.format(seed=43)} * (ln(0.2::DOUBLE) - ln(1e-4::DOUBLE))) AS b, exp(ln(1e-4::DOUBLE) + {_DRAW.format(seed=44)} * (ln(0.1::DOUBLE) - ln(1e-4::DOUBLE))) AS c FROM u)"
+    + f" SELECT id::BIGINT AS trial, round({_three('a')}, 9) AS embeddings_scale, round({_three('b')}, 9) AS init_std, round({_three('c')}, 9) AS lr FROM d"
+)
 def search_params(spark: SparkSession, sf: str) -> DataFrame:
-    return planning.search_params(spark, 30, 42)
+    return planning.search_params(spark, 30, 42).select("trial", *(F.round(c, 9).alias(c) for c in ("embeddings_scale", "init_std", "lr")))
+
+
+@query("SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) * 16 / (count(*) OVER ())::DOUBLE)::INTEGER AS chunk FROM documents")
+def line_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.line_chunks(docs(spark, sf).select("doc_id"), ["doc_id"]).select("doc_id", "chunk")
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 21")
+def first_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A limit that is the feature: the demonstration run's first rows."""
+    return sampling.first_rows(docs(spark, sf).select("doc_id", "source"), ["doc_id"])
+
+
+def nsfw_rated(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts on which every entry of the older scorer's log agrees; no human rating exists, so this
+    teaches that scorer's judgement and no more."""
+    p = table(spark, sf, "predictions").where("model = 'nsfw' AND label IS NOT NULL").select("doc_id", F.replace("label", F.lit("__label__"), F.lit("")).alias("label"))
+    r = p.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("b")).where("label = b").select("doc_id", "label")
+    return docs(spark, sf).where("length(text) > 0").select("doc_id", "text").join(r, "doc_id")
+
+
+@query()
+def classify_nsfw(spark: SparkSession, sf: str) -> DataFrame:
+    m = models.train_text_classifier(nsfw_rated(spark, sf))
+    return models.predict(m, docs(spark, sf).where("length(text) > 0").select("doc_id", "text")).select("doc_id", "pred.label", "pred.score")

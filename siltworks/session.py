@@ -32,25 +32,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; make a local one only where the session names none."""
+    """Use the cluster's shared folder; make a local one only on a local master, where the session names
+    none.  A cluster without ``spark.checkpoint.dir`` is an error: its workers share no local folder."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), f"siltworks-checkpoints-{os.getpid()}")
     spark.sparkContext.setCheckpointDir(path)
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and return a frame that reads it.
 
     The files live in the reliable folder of ``spark.checkpoint.dir``, so a later stage survives
-    the loss of an executor, and the plan is computed exactly once.
+    the loss of an executor, and the plan is computed exactly once.  With ``partition_by`` a filter on
+    that column reads only its files.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{base}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    w = df.write
+    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -110,3 +112,13 @@ def existing(df: DataFrame, listing: DataFrame, col: str = "path") -> DataFrame:
 def files_by_type(df: DataFrame, url: str = "url") -> DataFrame:
     """Number of files and first file per type of URL."""
     return df.withColumn("type", url_type(url)).groupBy("type").agg(F.count("*").alias("n"), F.min(url).alias("first"))
+
+
+def write_metadata(spark: SparkSession, values: dict, path: str) -> None:
+    """One JSON object, such as the counts and settings of a run."""
+    spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_settings(spark: SparkSession, path: str) -> dict:
+    """A JSON object from any file system that the session reaches."""
+    return json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()) or "{}")

@@ -2,13 +2,18 @@
 
 ``spark.dataSource.register(WarcDataSource)``; then
 ``spark.read.format("warc").load("dir/*.warc.gz")`` gives ``url, warc_type, payload, path``.  A
-broken record ends its file; rows read before it are kept.
+broken record becomes a row of type ``broken`` with what could be read of it, so that a count by path and
+type tells how much was lost; reading goes on at the next record.
 """
 
 from __future__ import annotations
 
 import glob
 import gzip
+import io
+import itertools
+import re
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,33 +26,77 @@ class _File(InputPartition):
         self.path = path
 
 
+def _lines(f) -> Iterator[bytes]:
+    """The lines of a file up to where its compression breaks."""
+    try:
+        yield from f
+    except (EOFError, OSError, zlib.error):
+        yield b""
+
+
 def records(path: str) -> Iterator[tuple[str | None, str | None, bytes, str]]:
-    """The records of one archive."""
+    """The records of one archive, broken ones as type ``broken``."""
     with open(path, "rb") as raw:
-        f = gzip.open(raw) if raw.read(2) == b"\x1f\x8b" else raw
+        zipped = raw.read(2) == b"\x1f\x8b"
         raw.seek(0)
-        while True:
-            line = f.readline()
+        yield from _records(gzip.open(raw) if zipped else raw, path)
+
+
+def _records(f, path: str) -> Iterator[tuple[str | None, str | None, bytes, str]]:
+    lost: list[bytes] = []  # lines that belong to no whole record
+    lines = _lines(f)
+    line = next(lines, None)
+    while line is not None:
+        if not line.startswith(b"WARC/"):
+            if line.strip() or not line:
+                lost.append(line)
+            line = next(lines, None)
+            continue
+        if lost:
+            yield None, "broken", b"".join(lost), path
+            lost = []
+        begin = [line]
+        head: dict[str, str] = {}
+        for line in lines:
+            if line in (b"", b"\r\n", b"\n") or line.startswith(b"WARC/"):
+                break
+            begin.append(line)
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            head[k.strip().lower()] = v.strip()
+        else:
+            line = b""
+        size = head.get("content-length", "")
+        if line.startswith(b"WARC/") or not size.isdecimal():
+            lost = begin
+            line = line if line.startswith(b"WARC/") else next(lines, None)
+            continue
+        n, body, got = int(size), [], 0
+        whole = True
+        while got < n:
+            line = next(lines, None)
             if not line:
-                return
-            if not line.strip():
-                continue
-            if not line.startswith(b"WARC/"):
-                return
-            head: dict[str, str] = {}
-            while (line := f.readline()) not in (b"", b"\r\n", b"\n"):
-                k, _, v = line.decode("utf-8", "replace").partition(":")
-                head[k.strip().lower()] = v.strip()
-            try:
-                n = int(head["content-length"])
-            except (KeyError, ValueError):
-                return
-            body = f.read(n)
-            if len(body) < n:
-                return
-            if head.get("warc-type") == "response" and body[:5] == b"HTTP/":
-                body = body.partition(b"\r\n\r\n")[2]
-            yield head.get("warc-target-uri"), head.get("warc-type"), body, path
+                whole = False
+                break
+            body.append(line)
+            got += len(line)
+        data = b"".join(body)
+        # A body that is too long or cut off: the next record's head is inside it, or the end came early.
+        inner = re.search(rb"(?:^|\n)WARC/1\.\d\r?\n(?:[\w-]+:)", data) if not whole or data[n:].strip() else None
+        if inner:
+            at = inner.start() + (data[inner.start() : inner.start() + 1] == b"\n")
+            yield head.get("warc-target-uri"), "broken", data[:at], path
+            yield from _records(itertools.chain(io.BytesIO(data[at:]), [line] if line and not body else [], lines), path)
+            return
+        if not whole:
+            yield head.get("warc-target-uri"), "broken", data, path
+            return
+        data = data[:n]
+        if head.get("warc-type") == "response" and data[:5] == b"HTTP/":
+            data = data.partition(b"\r\n\r\n")[2]
+        yield head.get("warc-target-uri"), head.get("warc-type"), data, path
+        line = next(lines, None)
+    if lost:
+        yield None, "broken", b"".join(lost), path
 
 
 class WarcReader(DataSourceReader):

@@ -91,8 +91,33 @@ def test_greedy_is_not_transitive(docs):
     rows = [(1, " ".join(base)), (2, " ".join(base[::-1])), (3, "quite other words here"), (4, " ".join(base)), (5, " ".join(near(base, 300)))]
     got = sorted(r.doc_id for r in dedup.greedy_dedup(docs(rows)).collect())
     assert got == [1, 3, 5]
-    edges = {(r.lo, r.hi) for r in dedup.greedy_edges(docs(rows)).collect()}
-    assert (1, 2) in edges and (1, 3) not in edges
+    buckets = {}
+    for r in dedup.sketch_buckets(docs(rows)).collect():
+        buckets.setdefault(r.id, set()).add(r.bucket)
+    assert buckets[1] & buckets[2] and not buckets[1] & buckets[3]
+
+
+def test_greedy_equals_a_walk_in_order(docs):
+    import random
+
+    rng = random.Random(9)
+    base = [[f"b{k}w{i}" for i in range(60)] for k in range(4)]
+    rows = []
+    for i in range(1, 90):
+        ws = list(base[rng.randrange(4)])
+        for _ in range(rng.choice((0, 1, 2, 6, 15))):
+            ws[rng.randrange(60)] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(ws)))
+    buckets = {}
+    for r in dedup.sketch_buckets(docs(rows)).collect():
+        buckets.setdefault(r.id, set()).add(r.bucket)
+    kept, taken, texts = [], set(), set()
+    for i, t in rows:
+        if t not in texts and not buckets[i] & taken:
+            kept.append(i)
+            taken |= buckets[i]
+        texts.add(t)
+    assert sorted(r.doc_id for r in dedup.greedy_dedup(docs(rows)).collect()) == kept
 
 
 def test_two_levels_and_empty(docs, spark):

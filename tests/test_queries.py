@@ -37,7 +37,7 @@ def test_against_sql(spark, duck, tiny, name):
     assert rows(a) == rows(b)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - {"classify_toxic"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_without_sql(spark, tiny, name):
     assert catalog.QUERIES[name](spark, tiny).count() >= 0
 

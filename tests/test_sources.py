@@ -16,11 +16,46 @@ def test_warc_and_broken_tail(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(good)
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record("conversion", b"two") + record("conversion", b"lost")[:-8]))
     d = spark.read.format("warc").load(f"{tmp_path}/*.warc*")
-    got = sorted((r.warc_type, bytes(r.payload)) for r in d.collect())
+    got = sorted((r.warc_type, bytes(r.payload)) for r in d.where("warc_type <> 'broken'").collect())
+    assert d.where("warc_type = 'broken'").count() == 1
     assert got == [("conversion", b"d\xc3\xa9j\xc3\xa0"), ("conversion", b"two"), ("response", b"<p>hi"), ("warcinfo", b"x")]
     assert spark.read.format("warc").load(f"{tmp_path}/none*").count() == 0
 
 
+def test_warc_goes_on_after_broken_records(tmp_path):
+    from siltworks.sources import warc
+
+    ok = [record("conversion", f"text {i}\nand more".encode()) for i in range(4)]
+    short = record("conversion", b"x" * 50).replace(b"Content-Length: 50", b"Content-Length: 20")
+    long = record("conversion", b"y" * 50).replace(b"Content-Length: 50", b"Content-Length: 5000")
+    headless = b"WARC/1.0\r\nWARC-Type: conversion\r\n\r\n"
+    bad_size = record("conversion", b"z").replace(b"Content-Length: 1", b"Content-Length: one")
+    p = tmp_path / "a.warc"
+    p.write_bytes(b"junk line\r\n" + ok[0] + headless + ok[1] + bad_size + short + ok[2] + long + ok[3])
+    got = list(warc.records(str(p)))
+    assert [b for _, k, b, _ in got if k == "conversion" and b.startswith(b"text")] == [f"text {i}\nand more".encode() for i in range(4)]
+    assert sum(k == "broken" for _, k, _, _ in got) >= 4
+    z = tmp_path / "b.warc.gz"
+    z.write_bytes(gzip.compress(ok[0] + ok[1])[:-12])
+    assert [k for _, k, _, _ in warc.records(str(z))][-1:] == ["broken"]
+    (tmp_path / "e.warc").write_bytes(b"")
+    assert list(warc.records(str(tmp_path / "e.warc"))) == []
+
+
+def test_settings_and_metadata(spark, tmp_path):
+    files.write_metadata(spark, {"docs": 3, "name": "é"}, str(tmp_path / "m"))
+    assert files.read_settings(spark, str(tmp_path / "m")) == {"docs": 3, "name": "é"}
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from siltworks.operators import models
+
+    rows = spark.createDataFrame([(i, "good text here" if i % 2 else "bad words there", str(i % 2)) for i in range(20)], "doc_id long, text string, label string")
+    models.save(models.train_text_classifier(rows), str(tmp_path / "model"))
+    got = models.predict(models.load(str(tmp_path / "model")), rows).collect()
+    assert all(r.pred.label == r.label for r in got)
+
+
 def test_npy_round_trip(spark, tmp_path):
     files.register(spark)
     d = spark.createDataFrame([(list(range(65530, 65536)),), ([1, 2],), ([],)], "tokens array<int>").coalesce(1)
