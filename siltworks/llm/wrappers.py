@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import re
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -84,8 +85,13 @@ def text_key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(_DIGITS.sub("0", text).encode("utf-8", "surrogatepass")) >> 1
 
 
+@lru_cache(maxsize=50_000)
+def _label(tag: str, key: str) -> str:
+    return tag + ("." + W._HEXED.sub("#", key) if key else "")
+
+
 def place(b: W.Block) -> str:
-    return "/".join(n.tag + ("." + W._HEXED.sub("#", n.key) if n.key else "") for n in b.path[1:])
+    return "/".join([_label(n.tag, n.key) for n in b.path[1:]])
 
 
 def tokens(bs: list[W.Block]) -> list[tuple[str, int]]:
@@ -156,6 +162,7 @@ def align(wrapper: list[Token], page: list[tuple[str, int]], source: object = No
 def _gap(ws: list[Token], ps: list[tuple[str, int]], before: list[Token], source: object) -> list[Token]:
     """Resolve a mismatch between two anchors into slots, repeated groups and optional tokens."""
     out: list[Token] = []
+    last = {w.place: k for k, w in enumerate(ws)}
     i = j = 0
     while i < len(ws) and j < len(ps):
         w, p = ws[i], ps[j]
@@ -164,7 +171,7 @@ def _gap(ws: list[Token], ps: list[tuple[str, int]], before: list[Token], source
             w.see(source)
             out.append(w)
             i, j = i + 1, j + 1
-        elif any(x.place == p[0] for x in ws[i + 1 :]):
+        elif last.get(p[0], -1) > i:
             w.optional = True
             out.append(w)
             i += 1
@@ -215,13 +222,14 @@ def merge(a: list[Token], b: list[Token]) -> list[Token]:
     i = j = 0
     for bj, ai in [*_increasing(pairs), (len(b), len(a))]:
         ws, ps = a[i:ai], b[j:bj]
+        last = {w.place: k for k, w in enumerate(ws)}
         m = n = 0
         while m < len(ws) and n < len(ps):
             w, p = ws[m], ps[n]
             if w.place == p.place:
                 out.append(_joined(w, p))
                 m, n = m + 1, n + 1
-            elif any(x.place == p.place for x in ws[m + 1 :]):
+            elif last.get(p.place, -1) > m:
                 w.optional = True
                 out.append(w)
                 m += 1
