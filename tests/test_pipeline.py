@@ -13,9 +13,14 @@ def crawl(spark, tmp_path):
     """Runs the registered pipeline on rows of ``text, lang, quality, toxic``."""
 
     def run(rows):
-        spark.createDataFrame([(i, t, k, "s1") for i, (t, k, _, _) in enumerate(rows)], "doc_id long, text string, lang string, shard string").write.parquet(f"{tmp_path}/documents.parquet")
+        rng = random.Random(7)
+        # Documents that the older scorer's log calls NSFW; all must go.
+        bad = [(1000 + i, text(rng, NSFW), "en", "s1") for i in range(12)]
+        spark.createDataFrame([(i, t, k, "s1") for i, (t, k, _, _) in enumerate(rows)] + bad, "doc_id long, text string, lang string, shard string").write.parquet(f"{tmp_path}/documents.parquet")
         labels = [(i, q, x) for i, (_, _, q, x) in enumerate(rows) if q is not None]
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+        seen = [(i, "nsfw", "non-nsfw") for i in range(len(rows))] + [(i, "nsfw", "__label__nsfw") for i, _, _, _ in bad]
+        spark.createDataFrame(seen, "doc_id long, model string, label string").write.parquet(f"{tmp_path}/predictions.parquet")
         return {r.doc_id for r in catalog.QUERIES["crawl_pipeline"](spark, str(tmp_path)).collect()}
 
     return run
@@ -23,6 +28,7 @@ def crawl(spark, tmp_path):
 
 FINE = "the council said that most people in the town were pleased with the new bridge and the old road near it".split()
 TOXIC = "you filthy scum and vermin are loathsome worthless trash so shut up subhuman pigs because nobody wants stupid idiots here".split()
+NSFW = "watch hot naked babes live on cam with hardcore porn videos and free xxx sluts in uncensored nude adult sex shows of tonight".split()
 ADS = "click here to buy cheap pills online now best price free offer order today big discount final sale while stocks last".split()
 
 
