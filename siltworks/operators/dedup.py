@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siltworks.functions import text as T
-from siltworks.functions.normalize import mix64, normalize_text, word_hash
+from siltworks.functions.normalize import TokenWords, mix64, normalize_text, shingle_sets, word_hash
+from siltworks.operators.partenum import not_among, pairs_of
 from siltworks.session import durable
 
+#: Rows whose shingle sets are in memory at once.
+KEY_ROWS = 1024
+
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Drops every copy of any line that occurs more than once in the collection.
@@ -41,63 +46,42 @@ def shingles(df: DataFrame, n: int = 5, id_col: str = "doc_id", text: str = "tex
     return T.once(norm, grams=T.ngram_set(F.filter(F.split("_n", " "), lambda w: w != ""), n)).select("id", "grams")
 
 
-def hashed_sets(df: DataFrame, n: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    from siltworks.functions.normalize import normalize_one, shingle_hashes
+def set_keys(df: DataFrame, n: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, h``: a 128-bit hash of the shingle set; the sets stay where they are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("s", pa.list_(pa.int64()))])
+        known, schema = TokenWords(), pa.schema([("id", pa.int64()), ("h", pa.binary())])
         for b in batches:
-            s = [shingle_hashes(normalize_one(t), n).astype(np.int64) if t else np.zeros(0, np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, type=pa.list_(pa.int64()))], schema=schema)
+            for at in range(0, b.num_rows, KEY_ROWS):
+                x = b.slice(at, KEY_ROWS)
+                flat, sizes = shingle_sets(x.column(1).to_pylist(), known, n)
+                h = [blake2b(flat[e - k : e], digest_size=16).digest() for e, k in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(h, pa.binary())], schema=schema)
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, h binary")
+
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, s array<long>")
+def set_classes(df: DataFrame, n: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, rep``: each document and the first document with the same shingle set."""
+    keys = durable(set_keys(df, n, id_col, text))
+    rep = keys.groupBy("h").agg(F.min("id").alias("rep"))
+    return durable(keys.join(rep, "h").select("id", "rep"))
 
 
 def similarity_pairs(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``lo, hi, jaccard`` between all distinct shingle sets at least ``threshold`` similar.
 
-    Prefix filtering: with the rarest shingles first, two sets that similar share one of their first
-    ``|s| - ceil(t |s|) + 1``.  Documents with equal sets are represented by the first id; membership
-    comes from :func:`set_classes`.  Sets without shingles are all alike and form one class.
+    Documents with equal sets are represented by the first id; membership comes from
+    :func:`set_classes`.  Sets without shingles are all alike and form one class.
     """
-    reps = set_classes(df, n, id_col, text)
-    return pairs_of_classes(reps, threshold)
+    return pairs_of_classes(df, set_classes(df, n, id_col, text), n, threshold, id_col, text)
 
 
-def set_classes(df: DataFrame, n: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, rep, s``: each document, the first document with the same shingle set, and (on that one
-    only) the set."""
-    sets = durable(hashed_sets(df, n, id_col, text).withColumn("h", F.sha2(F.concat_ws(",", "s"), 256)))
-    rep = sets.groupBy("h").agg(F.min("id").alias("rep"))
-    j = sets.join(rep, "h")
-    return durable(j.select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("s")).alias("s")))
-
-
-def pairs_of_classes(classes: DataFrame, threshold: float) -> DataFrame:
-    sets = classes.where("id = rep AND size(s) > 0").select("id", "s")
-    df_of = sets.select(F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = (
-        sets.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
-        .join(df_of, "g", "left")
-        .groupBy("id", "n")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "g"))).alias("o"))
-    )
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    # Shingles of one document meet nothing; they only use up the prefix.
-    prefix = durable(ranked.select("id", "n", F.explode(F.slice("o", 1, keep)).alias("x")).where("x.df > 1").select("id", "n", F.col("x.g").alias("g")))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cand = (
-        a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9))
-        .select(F.col("a.id").alias("lo"), F.col("b.id").alias("hi"))
-        .distinct()
-    )
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return (
-        cand.join(sets.select(F.col("id").alias("lo"), F.col("s").alias("sa")), "lo")
-        .join(sets.select(F.col("id").alias("hi"), F.col("s").alias("sb")), "hi")
-        .select("lo", "hi", (inter.cast("double") / (F.size("sa") + F.size("sb") - inter).cast("double")).alias("jaccard"))
-        .where(F.col("jaccard") >= threshold)
-    )
+def pairs_of_classes(df: DataFrame, classes: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pairs of the representatives in ``classes``, by PartEnum signatures, which travel instead of sets."""
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
+    first = not_among(texts, classes.where("id <> rep").select("id"))
+    return pairs_of(texts, first, threshold, n).select(F.col("a").alias("lo"), F.col("b").alias("hi"), "jaccard")
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -128,7 +112,7 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def fuzzy_components(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, component`` per document."""
     classes = set_classes(df, n, id_col, text)
-    edges = durable(pairs_of_classes(classes, threshold))
+    edges = durable(pairs_of_classes(df, classes, n, threshold, id_col, text))
     reps = classes.where("id = rep").select("id")
     comp = components(reps, edges)
     return classes.select(F.col("id").alias(id_col), "rep").join(comp.withColumnRenamed("id", "rep"), "rep").select(id_col, "component")
