@@ -96,3 +96,10 @@ def test_sorted_slices_give_the_same_pairs(monkeypatch):
     want = {tuple(sorted(p)) for p in partenum._agreeing(own, sig).tolist()}
     monkeypatch.setattr(partenum, "AT_ONCE", 500)
     assert {tuple(sorted(p)) for p in partenum._agreeing(own, sig).tolist()} == want
+
+
+def test_fuzzy_components_does_not_store_the_sets(spark, docs):
+    rows = random_texts() + [(2000, "few words"), (2001, None)]
+    got, size = written(spark, lambda: {r.doc_id: r.component for r in dedup.fuzzy_components(docs(rows)).collect()})
+    assert got == {i: i - 1000 if 1000 <= i < 2000 else min(i, 2000) for i, _ in rows}
+    assert size < sum(8 * len(t.split()) for _, t in rows if t) / 2
