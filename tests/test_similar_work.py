@@ -103,3 +103,10 @@ def test_fuzzy_components_does_not_store_the_sets(spark, docs):
     got, size = written(spark, lambda: {r.doc_id: r.component for r in dedup.fuzzy_components(docs(rows)).collect()})
     assert got == {i: i - 1000 if 1000 <= i < 2000 else min(i, 2000) for i, _ in rows}
     assert size < sum(8 * len(t.split()) for _, t in rows if t) / 2
+
+
+def test_fuzzy_dedup_of_common_phrases_does_not_store_the_sets(spark, docs):
+    rows = phrased_texts()
+    got, size = written(spark, lambda: {r.doc_id: r.text for r in dedup.fuzzy_dedup(docs(rows)).collect()})
+    assert got == {i: t for i, t in rows if i < 1000}
+    assert size < sum(8 * len(t.split()) for _, t in rows)
