@@ -112,7 +112,7 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def fuzzy_components(df: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, component`` per document."""
     classes = set_classes(df, n, id_col, text)
-    edges = durable(pairs_of_classes(df, classes, n, threshold, id_col, text))
+    edges = durable(pairs_of_classes(df, classes, n, threshold, id_col, text), free=True)
     reps = classes.where("id = rep").select("id")
     comp = components(reps, edges)
     return classes.select(F.col("id").alias(id_col), "rep").join(comp.withColumnRenamed("id", "rep"), "rep").select(id_col, "component")

@@ -397,7 +397,7 @@ def pairs_of(texts: DataFrame, signed: DataFrame, threshold: float = THRESHOLD,
     ranges, tasks = hash_ranges(texts)
     bits = int(np.log2(ranges))
     blocks = signed.mapInArrow(_blocks(bits, threshold, n), _BLOCK_DDL).repartition(tasks, "bucket")
-    found = durable(blocks.groupBy("bucket").applyInArrow(_candidates, "a long, b long, n int, sk binary, sig long"))
+    found = durable(blocks.groupBy("bucket").applyInArrow(_candidates, "a long, b long, n int, sk binary, sig long"), free=True)
     pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
     sk = found.where("n IS NOT NULL").select(F.col("a").alias("id"), "n", "sk").dropDuplicates(["id"])
     hot = found.where("sig IS NOT NULL").select(F.col("a").alias("id"), "sig")
@@ -409,10 +409,11 @@ def pairs_of(texts: DataFrame, signed: DataFrame, threshold: float = THRESHOLD,
         .select("a", "b", "na", "ska", "nb", "skb")
         .mapInArrow(_bound(threshold), "a long, b long")
         .unionByName(met)
-        .distinct()
+        .distinct(),
+        free=True,
     )
     wanted = durable(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = durable(among(texts, wanted).dropDuplicates(["id"]).select("id", "t").mapInArrow(_sets(n), "id long, s binary"))
+    sets = durable(among(texts, wanted).dropDuplicates(["id"]).select("id", "t").mapInArrow(_sets(n), "id long, s binary"), free=True)
     return (
         near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")

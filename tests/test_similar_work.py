@@ -110,3 +110,13 @@ def test_fuzzy_dedup_of_common_phrases_does_not_store_the_sets(spark, docs):
     got, size = written(spark, lambda: {r.doc_id: r.text for r in dedup.fuzzy_dedup(docs(rows)).collect()})
     assert got == {i: t for i, t in rows if i < 1000}
     assert size < sum(8 * len(t.split()) for _, t in rows)
+
+
+def test_freed_shuffles_leave_the_table_and_the_setting(spark):
+    from siltworks.session import FREE_SHUFFLES, durable
+
+    was = spark.conf.get(FREE_SHUFFLES, None)
+    d = spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count()
+    t = durable(d, free=True)
+    assert spark.conf.get(FREE_SHUFFLES, None) == was
+    assert sorted(map(tuple, t.collect())) == sorted(map(tuple, d.collect())) == [(k, 100) for k in range(10)]
